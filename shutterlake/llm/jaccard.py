@@ -48,31 +48,50 @@ SKETCH_BITS = 22
 CHUNK = 256
 #: Share of list length and probe cost in DivideSkip's choice of the long lists.
 MU = 0.0085
-REMEMBER = 500_000
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-class _Words(dict):
-    """64-bit hashes of words, in a table of bounded size."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(self) >= REMEMBER:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = h
-        return h
-
-
-_WORDS = _Words()
-
-
-def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct shingle hashes. bytes.lower and bytes.split know ASCII alone, which is the words' definition."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, found), np.uint64, len(found))
+#: Bytes that are hashed together; a bound on memory only.
+HASH_BYTES = 1 << 19
+_TABLE = np.random.default_rng(20240607).integers(0, 1 << 64, 64 * 256, np.uint64)
+_BLANK, _LOWER = np.zeros(256, bool), np.arange(256)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_LOWER[65:91] += 32
+
+
+def _word_hashes(b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words of a run of bytes, and where they start: sums of random numbers by byte and place."""
+    a = np.frombuffer(b, np.uint8)
+    blank = _BLANK[a]
+    edges = np.diff(np.concatenate(([True], blank, [True])).view(np.int8))
+    starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts
+    lengths = ends - starts
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+    values = _TABLE[((place & 63) << 8) + _LOWER[a[~blank]]]
+    if int(lengths.max()) > 64:
+        values *= ((place >> 6) * 2 + 1).astype(np.uint64)
+    h = np.add.reduceat(values, first) + lengths.astype(np.uint64) * _P2
+    h ^= h >> np.uint64(31)
+    return h * _P1, starts
+
+
+def _long_word_hashes(b: bytes) -> np.ndarray:
+    """The same for any length, cut at white space."""
+    out, at = [], 0
+    while at < len(b):
+        end = min(len(b), at + HASH_BYTES)
+        while end < len(b) and b[end] not in b" \t\n\v\f\r":
+            end += 1
+        out.append(_word_hashes(b[at:end])[0])
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def _mixed(h: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each run of `width` words; of all words, if they are fewer."""
     n = len(h)
     parts = [h[i : n - width + 1 + i] for i in range(width)] if n >= width else [h[i : i + 1] for i in range(n)]
     mixed = np.full(len(parts[0]), n if n < width else 0, np.uint64)
@@ -81,7 +100,43 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
         mixed ^= mixed >> np.uint64(29)
         mixed = mixed * _P2 + p
     mixed ^= mixed >> np.uint64(32)
-    return np.unique(mixed)
+    return mixed
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
+def shingle_sets(texts: list, width: int = WIDTH) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text. Words are runs of what is no ASCII white space, A-Z lower-cased."""
+    out: list[np.ndarray] = []
+    encoded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    at = 0
+    while at < len(encoded):
+        end, size = at, 0
+        while end < len(encoded) and (size + len(encoded[end]) <= HASH_BYTES or end == at):
+            size += len(encoded[end]) + 1
+            end += 1
+        if size > HASH_BYTES + 1:
+            h = _long_word_hashes(encoded[at])
+            out.append(_distinct(_mixed(h, width)) if len(h) else h)
+        else:
+            lot = encoded[at:end]
+            h, starts = _word_hashes(b"\n".join(lot))
+            cuts = np.searchsorted(starts, np.cumsum([0, *(len(x) + 1 for x in lot)]))
+            every = _mixed(h, width) if len(h) >= width else None
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if b - a >= width:
+                    out.append(_distinct(every[a : b - width + 1]))
+                else:
+                    out.append(_mixed(h[a:b], width) if b > a else np.zeros(0, np.uint64))
+        at = end
+    return out
+
+
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    return shingle_sets([text], width)[0]
 
 
 def set_key(s: np.ndarray) -> bytes:
@@ -158,7 +213,7 @@ def _summarise(docs: DataFrame, width: int) -> DataFrame:
         counts, low = np.zeros(1 << SKETCH_BITS, np.int64), np.uint64((1 << SKETCH_BITS) - 1)
         names = ["kind", "doc_id", "n", "key", "seg", "counts"]
         for batch in batches:
-            sets = [shingles(t, width) for t in batch.column(1).to_pylist()]
+            sets = shingle_sets(batch.column(1).to_pylist(), width)
             if sets:
                 counts += np.bincount((np.concatenate(sets) & low).astype(np.int64), minlength=len(counts))
             m = len(sets)
@@ -205,8 +260,7 @@ def _postings(docs: DataFrame, nodes: DataFrame, ranks: bytes, width: int, perce
         logs = np.frombuffer(sent.value, np.uint8)
         for batch in batches:
             hs, keys, ns = [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = shingles(text, width)
+            for key, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), width), strict=True):
                 if set_key(s) == key:  # a repeated doc_id brings other texts too
                     p = prefix(s, logs, percent)
                     hs.append(p)
@@ -243,12 +297,9 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, per
     def check(pdf: pd.DataFrame) -> pd.DataFrame:
         query, sets, keys = None, [], []
         seen = set()
-        for key, role, text in zip(pdf["key"], pdf["role"], pdf["text"], strict=True):
+        for key, role, s in zip(pdf["key"], pdf["role"], shingle_sets(pdf["text"].tolist(), width), strict=True):
             key = bytes(key)
-            if (key, role) in seen:
-                continue
-            s = shingles(text, width)
-            if set_key(s) != key:
+            if (key, role) in seen or set_key(s) != key:
                 continue
             seen.add((key, role))
             if role == 0:

@@ -29,17 +29,17 @@ from pyspark.sql import types as T
 
 LENGTH, LOT = 2048, 1 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
-REMEMBER = 600_000
+REMEMBER = 1_000_000
 _ENCODERS: dict = {}
 
 
 class Encoder(dict):
     """Token ids of whole texts as little-endian uint32 bytes.
 
-    The pre-tokenizer never joins characters across a blank that stands
-    between two characters that are no white space; so such words are encoded
-    once each and remembered in a table of bounded size. Any other text, and
-    one that holds a special token's string, is encoded whole.
+    The pre-tokenizer begins anew at a blank or line end that stands between
+    two characters that are no white space; so the words that start there are
+    encoded once each and remembered in a table of bounded size. Any other
+    text, and one that holds a special token's string, is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -67,9 +67,10 @@ class Encoder(dict):
         return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __missing__(self, word: str) -> bytes:
-        if not word or word[0].isspace() or word[-1].isspace():
-            raise ValueError("white space beside a blank")
-        b = np.asarray(self.word(" " + word), "<u4").tobytes()
+        bare = word.removeprefix("\n")
+        if not bare or bare[0].isspace() or bare[-1].isspace():
+            raise ValueError("white space beside white space")
+        b = np.asarray(self.word(word if bare is not word else " " + word), "<u4").tobytes()
         if len(self) >= REMEMBER:
             self.clear()
         if len(word) <= 48:
@@ -79,11 +80,11 @@ class Encoder(dict):
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return self.whole(text)
-        first, _, rest = text.partition(" ")
-        if not rest or not first or first[-1].isspace():
+        first, *rest = text.replace("\n", " \n").split(" ")
+        if not first or first[0].isspace() or first[-1].isspace():
             return self.whole(text)
         try:
-            body = b"".join(map(self.__getitem__, rest.split(" ")))
+            body = b"".join(map(self.__getitem__, rest))
         except ValueError:
             return self.whole(text)
         return np.asarray(self.word(first), "<u4").tobytes() + body

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Words that a worker remembers.
-REMEMBER = 400_000
+REMEMBER = 1_000_000
 _LOADED: dict = {}
 
 
@@ -74,34 +74,45 @@ class Counter(dict):
         return n
 
     def pieces(self, word: str) -> int:
-        """Pieces of the best path over a word."""
+        """Pieces of the best path over a word.
+
+        Matches come by their end, and of one end the longest first, so that a
+        strict comparison prefers the earlier start; the single unknown
+        character, the latest start of all, is tried when an end is closed.
+        """
         size = len(word)
-        ending: list[list] = [[] for _ in range(size + 1)]
-        single = bytearray(size)
+        best, count = [0.0] * (size + 1), [0] * (size + 1)
+        unknown: set[int] = set()
+        now, top, came, single = 0, None, 0, True
+
+        def close(to: int) -> None:
+            """Settles the ends up to `to`; of the first of them matches have been seen."""
+            nonlocal top, single
+            for end in range(now, to):
+                if not single and (top is None or best[end - 1] + self.unknown > top):
+                    if self.byte_fallback:
+                        n = count[end - 1] + len(word[end - 1].encode("utf-8", "surrogatepass"))
+                    else:
+                        n = count[end - 1] + (end - 1 not in unknown)
+                    best[end], count[end] = best[end - 1] + self.unknown, n
+                    unknown.add(end)
+                elif end:
+                    best[end], count[end] = top, count[came] + 1
+                top, single = None, False
+
         for last, (length, score) in self.automaton.iter(word):
-            start = last + 1 - length
-            ending[last + 1].append((start, score))
+            if last >= now:
+                if now < last or not single or top is None:
+                    close(last + 1)
+                else:
+                    best[now], count[now] = top, count[came] + 1
+                now, top, single = last + 1, None, False
+            total = score + best[now - length]
+            if top is None or total > top:
+                top, came = total, now - length
             if length == 1:
-                single[last] = 1
-        best = [0.0] * (size + 1)
-        count = [0] * (size + 1)
-        unknown = [False] * (size + 1)
-        for end in range(1, size + 1):
-            top, came, n, unk = None, 0, 0, False
-            matches = ending[end]
-            if not single[end - 1]:
-                matches.append((end - 1, None))
-            for start, score in sorted(matches, key=lambda m: m[0]):
-                total = (self.unknown if score is None else score) + best[start]
-                if top is None or total > top:
-                    top, came, unk = total, start, score is None
-            if not unk:
-                n = count[came] + 1
-            elif self.byte_fallback:
-                n = count[came] + len(word[end - 1].encode("utf-8", "surrogatepass"))
-            else:
-                n = count[came] + (not unknown[came])
-            best[end], count[end], unknown[end] = top, n, unk
+                single = True
+        close(size + 1)
         return count[size]
 
     def count(self, text: str | None) -> int:
