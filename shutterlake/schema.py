@@ -1,0 +1,12 @@
+"""Schemas of the media relations."""
+
+FRAME = "struct<hash:bigint,timestamp:double>"
+FILES = "path string, ext string, file_type string"
+FILE_STATS = "path string, content_hash string, size bigint, created_at timestamp, modified_at timestamp"
+METADATA = "content_hash string, width int, height int, lat double, lon double, camera string, image_date timestamp"
+MEDIA = f"content_hash string, duration double, frames array<{FRAME}>"
+SCENE_INPUT = "path string, ts double, scene double"
+EDGES = "a string, b string, similarity double, pair_class string"
+CLUSTERS = "path string, cluster_id string, cluster_size bigint, score double, role string"
+PLAN = "src string, dst string, kind string, action string"
+CACHE_CONFIG = "struct<resolution:int,scene_threshold:double,min_frames:int,max_scene_frames:int,target_fps:double>"
