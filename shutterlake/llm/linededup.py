@@ -2,105 +2,107 @@
 
 A line is parsed to a leaf of a tree of fixed depth: first the number of its
 tokens, then its leading tokens; a token with a digit counts as a field. In a
-leaf, a token stays if it stands at its position in at least `min_docs`
-documents, and becomes a field otherwise. If enough of a line's tokens stay,
-what results is its template; otherwise its template is the line itself (with
-fields for numbers), as a mask of few words would join unlike lines. A template
-that occurs in `min_docs` documents or more recurs: its first line (least
-doc_id, then position) is kept, and all its others are dropped.
+leaf, a token stays if it stands at its position in two documents or more, and
+becomes a field otherwise. If enough of a line's tokens stay, what results is
+its template; otherwise its template is the line itself (with fields for
+numbers), as a mask of few words would join unlike lines. A template that
+occurs in `min_docs` documents or more recurs: its lines in the first document
+(of least doc_id) are kept, and those in all others are dropped.
 
 Work follows recurrence: lines are first reduced to hashes and counted with
 map-side combine, and only lines of leaves that hold more than one text and
-document are taken apart.
+document are taken apart. Tokens, lines and templates are compared by 64-bit
+hashes.
 
 Cases: null text stays null; text of nothing but dropped lines becomes empty.
 Lines of fewer than `min_tokens` tokens are never dropped, nor are empty ones.
-Null doc_ids: one document per text. Repeated rows (same doc_id and text) are
-one document and fare alike; equal ids with other texts are other documents of
-the same rank. Extra columns pass through, whatever their names but those
-starting with `_ld_`. Lines end at \\n.
+Rows of one doc_id are one document, whose repeated lines do not recur; null
+doc_ids are one document, the first. Repeated rows fare alike. Extra columns
+pass through, whatever their names but those starting with `_ld_`. Lines end
+at \\n, other white space parts tokens.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import words
 from shutterlake.session import spool
 
 DEPTH, MIN_DOCS, MIN_TOKENS, KEEP_SHARE = 3, 2, 4, 0.7
 FIELD = "<*>"
+_WHITE = r"[\x20\x09-\x0D]"
+_NO_ID = -(1 << 63)
 
 
-def masked(tokens: Column) -> Column:
-    """Tokens, those with a digit as fields."""
-    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
+def is_tidy(text: Column) -> Column:
+    """Whether no line of a text needs tidying: cheap tests, made once a document."""
+    odd = ["\t", "\r", "\x0b", "\x0c", "  ", " \n", "\n "]
+    clean = ~text.startswith(" ") & ~text.endswith(" ")
+    for x in odd:
+        clean = clean & ~text.contains(x)
+    return clean & ~text.rlike("[0-9]")
 
 
-def lines_of(docs: DataFrame, min_tokens: int = MIN_TOKENS, depth: int = DEPTH) -> DataFrame:
-    """id, row hash, line number, masked tokens, leaf and line hashes of every line of min_tokens tokens or more."""
-    d = docs.select(F.col("doc_id").alias("_ld_id"), F.xxhash64("text").alias("_ld_row"), F.posexplode(F.split("text", "\n")).alias("_ld_no", "_ld_line"))
-    d = d.withColumn("_ld_tokens", words("_ld_line")).where(F.size("_ld_tokens") >= min_tokens).withColumn("_ld_tokens", masked(F.col("_ld_tokens")))
-    return d.select("_ld_id", "_ld_row", "_ld_no", "_ld_tokens", F.xxhash64(F.size("_ld_tokens"), F.slice("_ld_tokens", 1, depth)).alias("_ld_leaf"), F.xxhash64("_ld_tokens").alias("_ld_hash"))
+def tidy(line: Column) -> Column:
+    """The line's tokens with one blank between them, those with a digit as fields."""
+    single = F.regexp_replace(F.regexp_replace(line, rf"^{_WHITE}+|{_WHITE}+$", ""), rf"{_WHITE}+", " ")
+    return F.regexp_replace(single, "[^ ]*[0-9][^ ]*", FIELD)
 
 
-def _doc() -> Column:
-    """Orders documents: null ids first, as min() skips none of a struct's rows."""
-    return F.struct(F.col("_ld_id").isNotNull().alias("some"), F.col("_ld_id").alias("id"), F.col("_ld_row").alias("row"))
+def lines_of(docs: DataFrame, min_tokens: int = MIN_TOKENS, depth: int = DEPTH) -> DataFrame:
+    """_ld_id, _ld_row (hash of the text), _ld_no (line, from 0), _ld_line (tidy), _ld_leaf and _ld_hash of every line of min_tokens tokens or more."""
+    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_ld_id"), F.xxhash64("text").alias("_ld_row"), is_tidy(F.col("text")).alias("_ld_tidy"), F.posexplode(F.split("text", "\n")).alias("_ld_no", "_ld_raw"))
+    d = d.select("_ld_id", "_ld_row", "_ld_no", F.when(F.col("_ld_tidy"), F.col("_ld_raw")).otherwise(tidy(F.col("_ld_raw"))).alias("_ld_line"))
+    tokens = F.octet_length("_ld_line") - F.octet_length(F.replace("_ld_line", F.lit(" "), F.lit(""))) + 1
+    d = d.withColumn("_ld_n", tokens).where(F.col("_ld_n") >= min_tokens)
+    return d.select("_ld_id", "_ld_row", "_ld_no", "_ld_line", F.xxhash64("_ld_n", F.substring_index("_ld_line", " ", depth)).alias("_ld_leaf"), F.xxhash64("_ld_line").alias("_ld_hash"))
 
 
-def templates(docs: DataFrame, occurrences: DataFrame, min_docs: int, min_tokens: int, depth: int, keep_share: float) -> DataFrame:
+def templates(docs: DataFrame, per_line: DataFrame, min_tokens: int, depth: int, keep_share: float) -> DataFrame:
     """_ld_hash and _ld_template of the lines whose template is not the line itself."""
-    per_line = occurrences.groupBy("_ld_leaf", "_ld_hash").agg(F.min(_doc()).alias("lo"), F.max(_doc()).alias("hi"))
     leaves = per_line.groupBy("_ld_leaf").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("n > 1 and lo <> hi").select("_ld_leaf")
-    lines = lines_of(docs, min_tokens, depth).join(leaves, "_ld_leaf", "left_semi")
-    # one row per text and leaf, with the documents that bound its occurrences
-    distinct = lines.groupBy("_ld_leaf", "_ld_hash").agg(F.first("_ld_tokens").alias("tokens"), F.min(_doc()).alias("lo"), F.max(_doc()).alias("hi"))
-    distinct = spool(distinct)
-    each = distinct.select("_ld_leaf", "_ld_hash", "lo", "hi", F.posexplode("tokens").alias("at", "token"))
-    if min_docs == 2:
-        stays = each.groupBy("_ld_leaf", "at", "token").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).where("a <> b")
-    else:
-        seen = lines.select("_ld_leaf", _doc().alias("doc"), F.posexplode("_ld_tokens").alias("at", "token")).distinct()
-        stays = seen.groupBy("_ld_leaf", "at", "token").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    stays = stays.select("_ld_leaf", "at", "token", F.lit(True).alias("stays"))
-    marked = each.join(stays, ["_ld_leaf", "at", "token"], "left")
-    token = F.when(F.coalesce("stays", F.lit(False)), F.col("token")).otherwise(F.lit(FIELD))
-    built = marked.groupBy("_ld_leaf", "_ld_hash").agg(F.sort_array(F.collect_list(F.struct("at", token.alias("token")))).alias("cells"))
-    parts = F.col("cells.token")
-    fixed = F.size(F.filter(parts, lambda t: t != FIELD))
-    return built.where(fixed >= F.lit(keep_share) * F.size(parts)).select("_ld_hash", F.xxhash64(parts, F.lit("t")).alias("_ld_template"))
+    # one row per text of those leaves
+    some = per_line.join(leaves, "_ld_leaf", "left_semi")
+    lines = lines_of(docs, min_tokens, depth).select("_ld_leaf", "_ld_hash", "_ld_line").join(leaves, "_ld_leaf", "left_semi")
+    texts = lines.groupBy("_ld_leaf", "_ld_hash").agg(F.first("_ld_line").alias("line"))
+    each = texts.select("_ld_leaf", "_ld_hash", F.posexplode(F.split("line", " ")).alias("at", "token"))
+    field = F.col("token") == FIELD
+    each = each.select("_ld_hash", "_ld_leaf", "at", F.when(field, F.lit(0).cast("long")).otherwise(F.xxhash64("token")).alias("token"), F.xxhash64("_ld_leaf", "at", "token").alias("cell"))
+    each = spool(each.join(some.select("_ld_hash", "_ld_leaf", "lo", "hi"), ["_ld_hash", "_ld_leaf"]))
+    stays = each.where("token <> 0").groupBy("cell").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).where("a <> b").select("cell", F.lit(True).alias("stays"))
+    marked = each.select("_ld_hash", "_ld_leaf", "at", "token", "cell").join(stays, "cell", "left")
+    fixed = F.coalesce("stays", F.lit(False))
+    built = marked.groupBy("_ld_hash", "_ld_leaf").agg(F.bit_xor(F.xxhash64("at", F.when(fixed, F.col("token")).otherwise(F.lit(0).cast("long")))).alias("mask"), F.count_if(fixed).alias("fixed"), F.count("*").alias("n"))
+    return built.where(F.col("fixed") >= F.lit(keep_share) * F.col("n")).select("_ld_hash", F.xxhash64("_ld_leaf", "mask", F.lit("template")).alias("_ld_template"))
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, keep_share: float = KEEP_SHARE) -> DataFrame:
-    """_ld_id, _ld_row and the array _ld_drop of line numbers (from 0) to drop, of the documents that lose any."""
-    occurrences = spool(lines_of(docs, min_tokens, depth).select("_ld_id", "_ld_row", "_ld_no", "_ld_leaf", "_ld_hash"))
-    own = templates(docs, occurrences, min_docs, min_tokens, depth, keep_share)
-    per_hash = occurrences.groupBy("_ld_hash").agg(F.min(F.struct(_doc().alias("doc"), "_ld_no")).alias("first"), F.max(_doc()).alias("last"), F.approx_count_distinct(_doc(), 0.01).alias("about"))
-    per_hash = per_hash.join(own, "_ld_hash", "left").withColumn("_ld_template", F.coalesce("_ld_template", "_ld_hash"))
-    per_hash = spool(per_hash.select("_ld_hash", "_ld_template", "first", "last"))
-    ends = per_hash.groupBy("_ld_template").agg(F.min("first").alias("keep"), F.max("last").alias("last")).where("keep.doc <> last")
+    """_ld_id, _ld_row and the array _ld_drop of line numbers to drop, of the texts that lose any."""
+    occurrences = spool(lines_of(docs, min_tokens, depth).drop("_ld_line"))
+    per_line = spool(occurrences.groupBy("_ld_leaf", "_ld_hash").agg(F.min("_ld_id").alias("lo"), F.max("_ld_id").alias("hi")))
+    own = templates(docs, per_line, min_tokens, depth, keep_share)
+    per_line = spool(per_line.join(own, "_ld_hash", "left").select("_ld_hash", F.coalesce("_ld_template", "_ld_hash").alias("_ld_template"), "lo", "hi"))
+    ends = per_line.groupBy("_ld_template").agg(F.min("lo").alias("keep"), F.max("hi").alias("last")).where("keep <> last").select("_ld_template", "keep")
     if min_docs > 2:
-        docs_of = occurrences.join(per_hash.select("_ld_hash", "_ld_template"), "_ld_hash").select("_ld_template", _doc().alias("doc")).distinct()
+        docs_of = occurrences.join(per_line.select("_ld_hash", "_ld_template"), "_ld_hash").select("_ld_template", "_ld_id").distinct()
         enough = docs_of.groupBy("_ld_template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
         ends = ends.join(enough.select("_ld_template"), "_ld_template", "left_semi")
-    recurring = per_hash.join(ends, "_ld_template").select("_ld_hash", "keep")
-    here = F.struct(_doc().alias("doc"), F.col("_ld_no"))
-    lost = occurrences.join(recurring, "_ld_hash").where(here != F.col("keep")).select("_ld_id", "_ld_row", "_ld_no").distinct()
-    return lost.groupBy("_ld_id", "_ld_row").agg(F.collect_list("_ld_no").alias("_ld_drop"))
+    recurring = per_line.join(ends, "_ld_template").select("_ld_hash", "keep")
+    lost = occurrences.select("_ld_id", "_ld_row", "_ld_no", "_ld_hash").join(recurring, "_ld_hash").where("_ld_id <> keep")
+    return lost.groupBy("_ld_id", "_ld_row").agg(F.collect_set("_ld_no").alias("_ld_drop"))
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, keep_share: float = KEEP_SHARE, counts: bool = False) -> DataFrame:
     """docs without their recurring lines. counts adds n_lines and n_dropped."""
     lost = dropped_lines(docs, min_docs, min_tokens, depth, keep_share)
-    rows = docs.withColumn("_ld_own", F.xxhash64("text"))
-    joined = rows.join(lost, rows["doc_id"].eqNullSafe(lost["_ld_id"]) & (rows["_ld_own"] == lost["_ld_row"]), "left")
+    rows = docs.withColumn("_ld_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn("_ld_own", F.xxhash64("text"))
+    joined = rows.join(lost, (rows["_ld_key"] == lost["_ld_id"]) & (rows["_ld_own"] == lost["_ld_row"]), "left")
     lines = F.split("text", "\n")
-    kept = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("_ld_drop", s["i"]))
-    text = F.when(F.col("_ld_drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
+    kept = F.filter(lines, lambda x, i: ~F.array_contains("_ld_drop", i))
+    text = F.when(F.col("_ld_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
     out = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
     if counts:
-        out += [F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("_ld_drop"), F.lit(0)).cast("long").alias("n_dropped")]
+        out += [(breaks + 1).cast("long").alias("n_lines"), F.coalesce(F.size("_ld_drop"), F.lit(0)).cast("long").alias("n_dropped")]
     return joined.select(*out)

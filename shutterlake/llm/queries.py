@@ -155,8 +155,8 @@ g as (
   from x left join st on x.n = st.n and x.head = st.head and x.pos = st.pos and x.token = st.token group by all),
 t as (select tokens, cells from g where len(list_filter(cells, lambda c: c <> '<*>')) >= 0.7 * len(cells)),
 p as (select o.doc_id, o.line_no, case when t.cells is null then {'k': 'line', 'v': o.tokens} else {'k': 'template', 'v': t.cells} end as template from o left join t on o.tokens = t.tokens),
-r as (select template, min({'d': doc_id, 'no': line_no}) as keep from p group by template having min(doc_id) <> max(doc_id)),
-gone as (select p.doc_id, p.line_no from p join r using (template) where {'d': p.doc_id, 'no': p.line_no} <> keep),
+r as (select template, min(doc_id) as keep from p group by template having min(doc_id) <> max(doc_id)),
+gone as (select p.doc_id, p.line_no from p join r using (template) where p.doc_id <> keep),
 k as (
   select l.doc_id, count(*)::bigint as n_lines, count(gone.line_no)::bigint as n_dropped, coalesce(string_agg(line, chr(10) order by l.line_no) filter (where gone.line_no is null), '') as text
   from l left join gone on l.doc_id = gone.doc_id and l.line_no = gone.line_no group by l.doc_id)
