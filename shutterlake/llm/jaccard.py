@@ -1,18 +1,21 @@
 """Similarity join of documents on word n-grams: every link of Jaccard similarity at or above a threshold.
 
 What must be found follows from T-occurrence: a pair at the threshold shares at
-least T shingles, so in any order of all shingles its sets share l of their
-first |set| - T + l (the prefixes). Shingles are ordered rarest first, by a
-count sketch over all documents, so the lists of prefix shingles are short; a
-pair is a candidate if it shares l lists. Each query document's candidates are
-then searched in an inverted index over them for those that occur T times:
-short lists are merged by a heap, long ones are probed by binary search
-(DivideSkip). Its counts are exact and decide the links.
+least T shingles, so in any order of all shingles the first |set| - T + 1 of its
+two sets (the prefixes) meet. Shingles are ordered rarest first, by a count
+sketch over all documents, so the lists of prefix shingles are short. Pairs
+that meet in a list pass two lossless bounds, on their sizes and on a parity
+sketch (each differing shingle flips one bit, so the bits that differ are never
+more than the shingles that do). Each query document's candidates are then
+searched in an inverted index over them for those that occur T times: short
+lists are merged by a heap, long ones are probed by binary search (DivideSkip).
+Its counts are exact and decide the links.
 
 Only connectivity is returned, so no group's pairs are written out. Equal sets
-are one node. Each list first links its documents to its two ends alone; after
+are one node. Each list first links its documents to two of them alone; after
 the components of these links are known, a second search looks only at pairs
-that lie in different components, which loses no link that joins anything.
+that lie in different components, which loses no link that joins anything. A
+list is compared in tiles of bounded size, inside arrays.
 
 Cases: null text or no words: an empty set, linked with nothing. Fewer words
 than the width: the whole sequence is one shingle. Rows are separate documents
@@ -154,9 +157,41 @@ def pair_overlap(n: int, m: int, percent: int) -> int:
     return -(-percent * (n + m) // (100 + percent))
 
 
-def lists_needed(n: int) -> int:
-    """l: prefix lists a set of n must share with a partner. A larger set has more chances of sharing one by accident."""
-    return 1 + n // 50
+def parity_bits(n: int) -> int:
+    """Bits of the parity sketch of a set of n: a power of two, n or more."""
+    return max(256, 1 << max(0, n - 1).bit_length())
+
+
+def parity(s: np.ndarray) -> bytes:
+    """Bit i: whether the number of hashes that are i modulo the bits is odd. Halves fold by XOR to the sketch of half the bits."""
+    bits = parity_bits(len(s))
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def most_differing(n, m, percent: int):
+    """Shingles in which sets of n and m may differ at most."""
+    return n + m - 2 * (-(-percent * (n + m) // (100 + percent)))
+
+
+def near_by_parity(a: list, b: list, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of sketches a[i], b[i] of sets of n[i], m[i] can reach the threshold."""
+    bound = most_differing(n, m, percent)
+    ok = np.zeros(len(n), bool)
+    size_a, size_b = np.fromiter(map(len, a), np.int64, len(a)), np.fromiter(map(len, b), np.int64, len(b))
+    least = np.minimum(size_a, size_b)
+    for size in np.unique(least):
+        at = np.flatnonzero(least == size)
+        half = [np.zeros((len(at), size // 8), np.uint64), np.zeros((len(at), size // 8), np.uint64)]
+        for out, side, sizes in ((half[0], a, size_a), (half[1], b, size_b)):
+            for k in np.unique(sizes[at]):
+                mine = np.flatnonzero(sizes[at] == k)
+                x = np.frombuffer(b"".join([side[i] for i in at[mine]]), np.uint64).reshape(len(mine), -1)
+                while x.shape[1] > size // 8:
+                    x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+                out[mine] = x
+        ok[at] = np.bitwise_count(half[0] ^ half[1]).sum(1) <= bound[at]
+    return ok
 
 
 def divide_skip(lists: list[list[int]], need: int) -> dict[int, int]:
@@ -205,25 +240,25 @@ def search(query: np.ndarray, others: list[np.ndarray], percent: int) -> list[in
 
 
 def _summarise(docs: DataFrame, width: int) -> DataFrame:
-    """Of every row doc_id, n and key (kind 0); and the count sketch of its task in segments (kind 1)."""
+    """Of every row doc_id, n, key and parity sketch (kind 0); and the count sketch of its task in segments (kind 1)."""
     only = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     segment = 1 << 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, low = np.zeros(1 << SKETCH_BITS, np.int64), np.uint64((1 << SKETCH_BITS) - 1)
-        names = ["kind", "doc_id", "n", "key", "seg", "counts"]
+        names = ["kind", "doc_id", "n", "key", "parity", "seg", "counts"]
         for batch in batches:
             sets = shingle_sets(batch.column(1).to_pylist(), width)
             if sets:
                 counts += np.bincount((np.concatenate(sets) & low).astype(np.int64), minlength=len(counts))
             m = len(sets)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([parity(s) for s in sets], pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
         for i in range(0, len(counts), segment):
             part = counts[i : i + segment]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([i // segment], pa.int32()), pa.array([zlib.compress(part.astype("<i8").tobytes(), 1)], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([i // segment], pa.int32()), pa.array([zlib.compress(part.astype("<i8").tobytes(), 1)], pa.binary())], names=names)
 
-    return only.mapInArrow(run, "kind int, doc_id long, n long, key binary, seg int, counts binary")
+    return only.mapInArrow(run, "kind int, doc_id long, n long, key binary, parity binary, seg int, counts binary")
 
 
 def _ranks(summary: DataFrame) -> bytes:
@@ -242,9 +277,9 @@ def _ranks(summary: DataFrame) -> bytes:
 
 
 def prefix(s: np.ndarray, logs: np.ndarray, percent: int) -> np.ndarray:
-    """The rarest |s| - T + l shingles, in the order of (sketched count, hash)."""
+    """The rarest |s| - T + 1 shingles, in the order of (sketched count, hash)."""
     n = len(s)
-    size = min(n, n - least_overlap(n, percent) + lists_needed(n))
+    size = min(n, n - least_overlap(n, percent) + 1)
     rank = logs[(s & np.uint64(len(logs) - 1)).astype(np.int64)]
     order = np.argsort(rank, kind="stable")  # s is sorted, so hashes decide among equals
     return s[order[:size]]
@@ -278,9 +313,87 @@ def _near_size(n, m, percent: int):
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def _enough(n, m):
-    """The l that both prefixes hold."""
-    return F.floor(F.least(n, m) / 50) + 1
+#: Rows of a list that are compared with each other in one tile.
+TILE = 2048
+#: Pairs of a tile that are looked at together.
+SLAB = 1 << 19
+
+
+def _plausible(pairs: DataFrame, percent: int) -> DataFrame:
+    """u, v of the pairs (u, v, n, m, pu, pv) whose sketches may be of linked sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "m"))
+            ok = near_by_parity(batch.column("pu").to_pylist(), batch.column("pv").to_pylist(), n, m, percent)
+            yield batch.select(["u", "v"]).filter(pa.array(ok))
+
+    return pairs.select("u", "v", "n", "m", "pu", "pv").mapInArrow(run, "u binary, v binary")
+
+
+def tile_pairs(comp: np.ndarray, n: np.ndarray, block: np.ndarray, mixed: bool, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places i < j of rows of one tile that lie in different components and are near in size; of a mixed tile, in different blocks."""
+    size = len(n)
+    step = max(1, SLAB // size)
+    for lo in range(0, size - 1, step):
+        i, j = np.divmod(np.arange(lo * size, min(size, lo + step) * size), size)
+        ok = (i < j) & (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent)
+        if mixed:
+            ok &= block[i] != block[j]
+        if ok.any():
+            yield i[ok], j[ok]
+
+
+def _cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """u, v of plausible pairs that meet in a list of (h, key, n, comp, parity) and lie in different components."""
+    by_list = W.partitionBy("h")
+    tiles = F.ceil(F.count("*").over(by_list) / F.lit(TILE)).cast("int")
+    rows = lists.withColumn("tiles", tiles).withColumn("block", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    rows = rows.withColumn("other", other).select("h", F.least("block", "other").alias("t0"), F.greatest("block", "other").alias("t1"), "block", "key", "n", F.xxhash64("comp").alias("comp"), "parity")
+    rows = rows.repartition("h", "t0", "t1").sortWithinPartitions("h", "t0", "t1")
+
+    def compare(key, n, comp, block, sketch, mixed) -> Iterator[pa.RecordBatch]:
+        for i, j in tile_pairs(comp, n, block, mixed, percent):
+            ok = near_by_parity([sketch[x] for x in i], [sketch[x] for x in j], n[i], n[j], percent)
+            if ok.any():
+                yield pa.RecordBatch.from_arrays([pa.array([key[x] for x in i[ok]], pa.binary()), pa.array([key[x] for x in j[ok]], pa.binary())], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: pa.Table | None = None
+
+        def work(t: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal left
+            h, t0, t1 = (t.column(c).to_numpy() for c in ("h", "t0", "t1"))
+            cuts = np.flatnonzero((np.diff(h) != 0) | (np.diff(t0) != 0) | (np.diff(t1) != 0)) + 1
+            bounds = [0, *cuts.tolist(), len(h)]
+            if not last:
+                left = t.slice(bounds[-2])
+                bounds.pop()
+            key, sketch = t.column("key").to_pylist(), t.column("parity").to_pylist()
+            n, comp, block = (t.column(c).to_numpy() for c in ("n", "comp", "block"))
+            pairs = [(a, a + 1) for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b - a == 2]
+            if pairs:  # most lists are of two, and are compared all together
+                i, j = np.array(pairs).T
+                ok = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent) & ((t0[i] == t1[i]) | (block[i] != block[j]))
+                i, j = i[ok], j[ok]
+                ok = near_by_parity([sketch[x] for x in i], [sketch[x] for x in j], n[i], n[j], percent)
+                yield pa.RecordBatch.from_arrays([pa.array([key[x] for x in i[ok]], pa.binary()), pa.array([key[x] for x in j[ok]], pa.binary())], names=["u", "v"])
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                if b - a > 2:
+                    yield from compare(key[a:b], n[a:b], comp[a:b], block[a:b], sketch[a:b], t0[a] != t1[a])
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if left is None else pa.concat_tables([left, t]).combine_chunks()
+            left = None
+            if t.num_rows:
+                yield from work(t, False)
+        if left is not None:
+            yield from work(left, True)
+
+    found = rows.mapInArrow(run, "u binary, v binary")
+    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
@@ -319,25 +432,29 @@ def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PE
         raise ValueError("percent must be in 1 .. 100")
     summary = spool(_summarise(docs, width))
     rows = summary.where("kind = 0").select("doc_id", "n", "key")
-    nodes = spool(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")))
+    nodes = spool(summary.where("kind = 0 and n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("parity").alias("parity")))
+    sketch = nodes.select("key", "parity")
     by_list = W.partitionBy("h")
     me = F.struct("key", "n")
     lists = _postings(docs, nodes, _ranks(summary), width, percent)
     lists = lists.withColumn("lo", F.min(me).over(by_list)).withColumn("hi", F.max(me).over(by_list)).where("lo.key <> hi.key")
     lists = spool(lists)
 
-    ends = lists.select("key", "n", F.explode(F.array("lo", "hi")).alias("end")).where("key <> end.key").where(_near_size(F.col("n"), F.col("end.n"), percent))
-    ends = ends.groupBy("key", "n", "end").agg(F.count("*").alias("c")).where(F.col("c") >= _enough(F.col("n"), F.col("end.n")))
-    links = spool(_verify(ends.select(F.col("end.key").alias("u"), F.col("key").alias("v")), docs, nodes, width, percent))
+    # what near copies were made from shares most of its prefix, and links to them where they don't link to each other
+    shared = lists.groupBy("key").agg((F.count("*") / (F.first("n") - F.ceil(F.first("n") * percent / 100) + 1)).alias("share"))
+    hub = F.max(F.struct("share", me.alias("me"))).over(by_list)["me"]
+    starred = lists.join(shared, "key").withColumn("hub", hub)
+    ends = starred.select("key", "n", F.explode(F.array("lo", "hub")).alias("end")).where("key <> end.key").where(_near_size(F.col("n"), F.col("end.n"), percent))
+    # a quarter of the prefix; what this passes over is left to the second search
+    often = F.count("*") * 4 >= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    ends = ends.groupBy("key", "n", "end").agg(often.alias("often")).where("often").select(F.col("end.key").alias("u"), F.col("key").alias("v"), F.col("end.n").alias("m"), "n")
+    ends = ends.join(sketch.toDF("u", "pu"), "u").join(sketch.toDF("v", "pv"), "v")
+    links = spool(_verify(_plausible(ends, percent), docs, nodes, width, percent))
     found = spool(connected_components(links))
 
     placed = lists.select("h", "key", "n").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
-    placed = spool(placed.withColumn("c0", F.min("comp").over(by_list)).withColumn("c1", F.max("comp").over(by_list)).where("c0 <> c1").drop("c0", "c1"))
-    a, b = placed.alias("a"), placed.alias("b")
-    n, m = F.col("a.n"), F.col("b.n")
-    apart = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.comp") != F.col("b.comp")) & _near_size(n, m, percent))
-    apart = apart.groupBy(F.col("a.key").alias("u"), F.col("b.key").alias("v"), n.alias("n"), m.alias("m")).agg(F.count("*").alias("c")).where(F.col("c") >= _enough(F.col("n"), F.col("m")))
-    more = spool(_verify(apart, docs, nodes, width, percent))
+    placed = placed.withColumn("c0", F.min("comp").over(by_list)).withColumn("c1", F.max("comp").over(by_list)).where("c0 <> c1").drop("c0", "c1")
+    more = spool(_verify(_cross_pairs(placed.join(sketch, "key"), percent), docs, nodes, width, percent))
     whole = connected_components(links.union(more))
 
     label = nodes.join(whole.withColumnRenamed("node", "key"), "key", "left").select("key", "doc_id", F.coalesce("component", "key").alias("comp"))
