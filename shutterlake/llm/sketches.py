@@ -90,42 +90,44 @@ def fingerprint(sketch: str | Column) -> Column:
     return F.array_join(F.transform(sketch, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
 
 
-#: Rows that a block of neighbouring ids holds, about.
-BLOCK_ROWS = 20_000
+#: Rows that a block of neighbouring ids holds, about; a block is hashed by one task.
+BLOCK_ROWS = 2_000
 
 
-def with_next(docs: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
-    """doc_id, text, block, place, next_text: the next document's text in descending doc_id, after the last the first's.
+def with_next(docs: DataFrame, rows: int = BLOCK_ROWS, k: int = K, width: int = WIDTH) -> DataFrame:
+    """doc_id, text, sketch, block, next_text, next_sketch: the next document's in descending doc_id, after the last the first's.
 
     Ids are cut into blocks of equal width, each sorted by itself; texts move
-    once. The text that the last row of a block needs is the first of the next
-    block that has rows; those few are looked up by block. Equal ids are
-    ordered by text, descending; null ids come last.
+    once, and are hashed where they arrive, so that sketches do not move. What
+    the last row of a block needs is the first of the next block that has rows;
+    those few are looked up by block. Equal ids are ordered by text, descending;
+    null ids come last.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     low, high, n = base.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    width = max(1, ((high or 0) - (low or 0) + 1) * rows // max(n, 1))
-    base = base.withColumn("block", F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(width)).cast("long"), F.lit(-1).cast("long")))
+    span = max(1, ((high or 0) - (low or 0) + 1) * rows // max(n, 1))
+    base = base.withColumn("block", F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(span)).cast("long"), F.lit(-1).cast("long")))
     heads = base.groupBy("block").agg(F.max(F.struct("doc_id", "text")).alias("head"))
     chain = W.orderBy(F.col("block").desc())  # one row per block
     ids = heads.select("block", F.coalesce(F.lead("block").over(chain), F.max("block").over(W.partitionBy())).alias("next_block"))
     over = ids.join(heads.select(F.col("block").alias("next_block"), F.col("head.text").alias("head_text")), "next_block").select("block", "head_text")
+    over = with_sketch(over, "head_text", "head_sketch", k, width)
     inside = W.partitionBy("block").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text").desc())
-    placed = base.withColumn("next_text", F.lead("text").over(inside)).withColumn("place", F.row_number().over(inside))
-    return placed.join(over, "block").withColumn("next_text", F.coalesce("next_text", "head_text")).drop("head_text")
+    placed = with_sketch(base.repartition("block"), "text", "sketch", k, width)
+    placed = placed.withColumn("next_text", F.lead("text").over(inside)).withColumn("next_sketch", F.lead("sketch").over(inside))
+    joined = placed.join(over, "block").withColumn("next_text", F.coalesce("next_text", "head_text")).withColumn("next_sketch", F.coalesce("next_sketch", "head_sketch"))
+    return joined.drop("head_text", "head_sketch")
 
 
-def fingerprint_documents(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, k: int = K, width: int = WIDTH, rows: int = BLOCK_ROWS) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness to each other and to the next document's."""
-    rows = with_next(docs)
+    d = with_next(docs, rows, k, width)
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
-    rows = rows.withColumn("n_chars", n.cast("long"))
-    rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)))
-    rows = with_sketch(rows, "text", "sketch", k, width)
-    rows = with_sketch(rows, "edited", "edited_sketch", k, width)
-    rows = with_sketch(rows, "next_text", "next_sketch", k, width)
-    return rows.select(
+    d = d.withColumn("n_chars", n.cast("long"))
+    d = d.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)))
+    d = with_sketch(d, "edited", "edited_sketch", k, width)
+    return d.select(
         "doc_id",
         "n_chars",
         F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
