@@ -36,10 +36,9 @@ _NO_ID = -(1 << 63)
 
 
 def is_tidy(text: Column) -> Column:
-    """Whether no line of a text needs tidying: cheap tests, made once a document."""
-    odd = ["\t", "\r", "\x0b", "\x0c", "  ", " \n", "\n "]
+    """Whether no line of a text, or a line, needs tidying: cheap tests."""
     clean = ~text.startswith(" ") & ~text.endswith(" ")
-    for x in odd:
+    for x in ("\t", "\r", "\x0b", "\x0c", "  ", " \n", "\n "):
         clean = clean & ~text.contains(x)
     return clean & ~text.rlike("[0-9]")
 
@@ -50,10 +49,16 @@ def tidy(line: Column) -> Column:
     return F.regexp_replace(single, "[^ ]*[0-9][^ ]*", FIELD)
 
 
+def tidy_lines(text: Column) -> Column:
+    """All tidy lines of a text, as an array: made below the explosion, where text is read once and not once a line."""
+    raw = F.split(text, "\n")
+    return F.when(is_tidy(text), raw).otherwise(F.transform(raw, lambda x: F.when(is_tidy(x), x).otherwise(tidy(x))))
+
+
 def lines_of(docs: DataFrame, min_tokens: int = MIN_TOKENS, depth: int = DEPTH) -> DataFrame:
     """_ld_id, _ld_row (hash of the text), _ld_no (line, from 0), _ld_line (tidy), _ld_leaf and _ld_hash of every line of min_tokens tokens or more."""
-    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_ld_id"), F.xxhash64("text").alias("_ld_row"), is_tidy(F.col("text")).alias("_ld_tidy"), F.posexplode(F.split("text", "\n")).alias("_ld_no", "_ld_raw"))
-    d = d.select("_ld_id", "_ld_row", "_ld_no", F.when(F.col("_ld_tidy"), F.col("_ld_raw")).otherwise(tidy(F.col("_ld_raw"))).alias("_ld_line"))
+    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_ld_id"), F.xxhash64("text").alias("_ld_row"), tidy_lines(F.col("text")).alias("_ld_lines"))
+    d = d.select("_ld_id", "_ld_row", F.posexplode("_ld_lines").alias("_ld_no", "_ld_line"))
     tokens = F.octet_length("_ld_line") - F.octet_length(F.replace("_ld_line", F.lit(" "), F.lit(""))) + 1
     d = d.withColumn("_ld_n", tokens).where(F.col("_ld_n") >= min_tokens)
     return d.select("_ld_id", "_ld_row", "_ld_no", "_ld_line", F.xxhash64("_ld_n", F.substring_index("_ld_line", " ", depth)).alias("_ld_leaf"), F.xxhash64("_ld_line").alias("_ld_hash"))
