@@ -58,7 +58,7 @@ def tidy_lines(text: Column) -> Column:
 def lines_of(docs: DataFrame, min_tokens: int = MIN_TOKENS, depth: int = DEPTH) -> DataFrame:
     """_ld_id, _ld_row (hash of the text), _ld_no (line, from 0), _ld_line (tidy), _ld_leaf and _ld_hash of every line of min_tokens tokens or more."""
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_ld_id"), F.xxhash64("text").alias("_ld_row"), tidy_lines(F.col("text")).alias("_ld_lines"))
-    d = d.select("_ld_id", "_ld_row", F.posexplode("_ld_lines").alias("_ld_no", "_ld_line"))
+    d = d.select("_ld_id", "_ld_row", F.posexplode_outer("_ld_lines").alias("_ld_no", "_ld_line"))  # a plain explosion adds filters that make the lines anew
     tokens = F.octet_length("_ld_line") - F.octet_length(F.replace("_ld_line", F.lit(" "), F.lit(""))) + 1
     d = d.withColumn("_ld_n", tokens).where(F.col("_ld_n") >= min_tokens)
     return d.select("_ld_id", "_ld_row", "_ld_no", "_ld_line", F.xxhash64("_ld_n", F.substring_index("_ld_line", " ", depth)).alias("_ld_leaf"), F.xxhash64("_ld_line").alias("_ld_hash"))
