@@ -31,6 +31,8 @@ from shutterlake.session import spool
 
 DEPTH, MIN_DOCS, MIN_TOKENS, KEEP_SHARE = 3, 2, 4, 0.7
 FIELD = "<*>"
+#: Tasks that share the rows of one leaf, cell, template or line in a join.
+SALTS = 8
 _WHITE = r"[\x20\x09-\x0D]"
 _NO_ID = -(1 << 63)
 
@@ -64,19 +66,26 @@ def lines_of(docs: DataFrame, min_tokens: int = MIN_TOKENS, depth: int = DEPTH)
     return d.select("_ld_id", "_ld_row", "_ld_no", "_ld_line", F.xxhash64("_ld_n", F.substring_index("_ld_line", " ", depth)).alias("_ld_leaf"), F.xxhash64("_ld_line").alias("_ld_hash"))
 
 
+def _join_dealt(rows: DataFrame, keys: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """rows joined with keys (one row a key), each key dealt over SALTS tasks, as a third of all rows may have one."""
+    rows = rows.withColumn("_ld_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    keys = keys.withColumn("_ld_salt", F.explode(F.array([F.lit(i) for i in range(SALTS)])))
+    return rows.join(keys, [key, "_ld_salt"], how).drop("_ld_salt")
+
+
 def templates(docs: DataFrame, per_line: DataFrame, min_tokens: int, depth: int, keep_share: float) -> DataFrame:
     """_ld_hash and _ld_template of the lines whose template is not the line itself."""
     leaves = per_line.groupBy("_ld_leaf").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("n > 1 and lo <> hi").select("_ld_leaf")
     # one row per text of those leaves
-    some = per_line.join(leaves, "_ld_leaf", "left_semi")
-    lines = lines_of(docs, min_tokens, depth).select("_ld_leaf", "_ld_hash", "_ld_line").join(leaves, "_ld_leaf", "left_semi")
+    some = _join_dealt(per_line, leaves, "_ld_leaf", "_ld_hash", "left_semi")
+    lines = _join_dealt(lines_of(docs, min_tokens, depth).select("_ld_id", "_ld_leaf", "_ld_hash", "_ld_line"), leaves, "_ld_leaf", "_ld_id", "left_semi")
     texts = lines.groupBy("_ld_leaf", "_ld_hash").agg(F.first("_ld_line").alias("line"))
     each = texts.select("_ld_leaf", "_ld_hash", F.posexplode(F.split("line", " ")).alias("at", "token"))
     field = F.col("token") == FIELD
     each = each.select("_ld_hash", "_ld_leaf", "at", F.when(field, F.lit(0).cast("long")).otherwise(F.xxhash64("token")).alias("token"), F.xxhash64("_ld_leaf", "at", "token").alias("cell"))
     each = spool(each.join(some.select("_ld_hash", "_ld_leaf", "lo", "hi"), ["_ld_hash", "_ld_leaf"]))
     stays = each.where("token <> 0").groupBy("cell").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).where("a <> b").select("cell", F.lit(True).alias("stays"))
-    marked = each.select("_ld_hash", "_ld_leaf", "at", "token", "cell").join(stays, "cell", "left")
+    marked = _join_dealt(each.select("_ld_hash", "_ld_leaf", "at", "token", "cell"), stays, "cell", "_ld_hash", "left")
     fixed = F.coalesce("stays", F.lit(False))
     built = marked.groupBy("_ld_hash", "_ld_leaf").agg(F.bit_xor(F.xxhash64("at", F.when(fixed, F.col("token")).otherwise(F.lit(0).cast("long")))).alias("mask"), F.count_if(fixed).alias("fixed"), F.count("*").alias("n"))
     return built.where(F.col("fixed") >= F.lit(keep_share) * F.col("n")).select("_ld_hash", F.xxhash64("_ld_leaf", "mask", F.lit("template")).alias("_ld_template"))
@@ -93,8 +102,8 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = M
         docs_of = occurrences.join(per_line.select("_ld_hash", "_ld_template"), "_ld_hash").select("_ld_template", "_ld_id").distinct()
         enough = docs_of.groupBy("_ld_template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
         ends = ends.join(enough.select("_ld_template"), "_ld_template", "left_semi")
-    recurring = per_line.join(ends, "_ld_template").select("_ld_hash", "keep")
-    lost = occurrences.select("_ld_id", "_ld_row", "_ld_no", "_ld_hash").join(recurring, "_ld_hash").where("_ld_id <> keep")
+    recurring = _join_dealt(per_line, ends, "_ld_template", "_ld_hash").select("_ld_hash", "keep")
+    lost = _join_dealt(occurrences.select("_ld_id", "_ld_row", "_ld_no", "_ld_hash"), recurring, "_ld_hash", "_ld_id").where("_ld_id <> keep")
     return lost.groupBy("_ld_id", "_ld_row").agg(F.collect_set("_ld_no").alias("_ld_drop"))
 
 
