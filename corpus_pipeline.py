@@ -20,7 +20,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go, and documents of which no word is left go with them."""
-    kept = linededup.drop_recurring_lines(docs, counts=True)
+    kept = linededup.drop_recurring_lines(docs, counts=True, **linededup.WHOLE)
     some = kept.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return some.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 

@@ -9,6 +9,11 @@ numbers), as a mask of few words would join unlike lines. A template that
 occurs in `min_docs` documents or more recurs: its lines in the first document
 (of least doc_id) are kept, and those in all others are dropped.
 
+A field of few values has each of them in two documents as soon as there are
+documents enough. With `min_share`, a line has a second template, in which a
+token stays if more than that share of the texts of its leaf have it at its
+position; a line recurs if either template does.
+
 Work follows recurrence: lines are first reduced to hashes and counted with
 map-side combine, and only lines of leaves that hold more than one text and
 document are taken apart. Tokens, lines and templates are compared by 64-bit
@@ -33,6 +38,8 @@ DEPTH, MIN_DOCS, MIN_TOKENS, KEEP_SHARE = 3, 2, 4, 0.7
 FIELD = "<*>"
 #: Tasks that share the rows of one leaf, cell, template or line in a join.
 SALTS = 8
+#: What the defaults, which are those of the query's SQL, leave out.
+WHOLE = {"min_share": 0.5}
 _WHITE = r"[\x20\x09-\x0D]"
 _NO_ID = -(1 << 63)
 
@@ -73,43 +80,59 @@ def _join_dealt(rows: DataFrame, keys: DataFrame, key: str, by: str, how: str =
     return rows.join(keys, [key, "_ld_salt"], how).drop("_ld_salt")
 
 
-def templates(docs: DataFrame, per_line: DataFrame, min_tokens: int, depth: int, keep_share: float) -> DataFrame:
-    """_ld_hash and _ld_template of the lines whose template is not the line itself."""
-    leaves = per_line.groupBy("_ld_leaf").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("n > 1 and lo <> hi").select("_ld_leaf")
+def templates(docs: DataFrame, per_line: DataFrame, min_tokens: int, depth: int, keep_share: float, min_share: float | None = None) -> DataFrame:
+    """_ld_hash and the array _ld_templates of the lines whose template is not the line itself."""
+    leaves = per_line.groupBy("_ld_leaf").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("n > 1 and lo <> hi").select("_ld_leaf", "n")
     # one row per text of those leaves
-    some = _join_dealt(per_line, leaves, "_ld_leaf", "_ld_hash", "left_semi")
-    lines = _join_dealt(lines_of(docs, min_tokens, depth).select("_ld_id", "_ld_leaf", "_ld_hash", "_ld_line"), leaves, "_ld_leaf", "_ld_id", "left_semi")
+    some = _join_dealt(per_line, leaves.select("_ld_leaf"), "_ld_leaf", "_ld_hash", "left_semi")
+    lines = _join_dealt(lines_of(docs, min_tokens, depth).select("_ld_id", "_ld_leaf", "_ld_hash", "_ld_line"), leaves.select("_ld_leaf"), "_ld_leaf", "_ld_id", "left_semi")
     texts = lines.groupBy("_ld_leaf", "_ld_hash").agg(F.first("_ld_line").alias("line"))
     each = texts.select("_ld_leaf", "_ld_hash", F.posexplode(F.split("line", " ")).alias("at", "token"))
     field = F.col("token") == FIELD
     each = each.select("_ld_hash", "_ld_leaf", "at", F.when(field, F.lit(0).cast("long")).otherwise(F.xxhash64("token")).alias("token"), F.xxhash64("_ld_leaf", "at", "token").alias("cell"))
     each = spool(each.join(some.select("_ld_hash", "_ld_leaf", "lo", "hi"), ["_ld_hash", "_ld_leaf"]))
-    stays = each.where("token <> 0").groupBy("cell").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).where("a <> b").select("cell", F.lit(True).alias("stays"))
+    cells = each.where("token <> 0").groupBy("cell").agg(F.first("_ld_leaf").alias("_ld_leaf"), F.min("lo").alias("a"), F.max("hi").alias("b"), F.count("*").alias("texts")).where("a <> b")
+    if min_share is None:
+        stays = cells.select("cell", F.lit(True).alias("stays"), F.lit(False).alias("common"))
+    else:  # a token that is common is one of two documents, too
+        stays = _join_dealt(cells, leaves, "_ld_leaf", "cell").select("cell", F.lit(True).alias("stays"), (F.col("texts") > F.lit(min_share) * F.col("n")).alias("common"))
     marked = _join_dealt(each.select("_ld_hash", "_ld_leaf", "at", "token", "cell"), stays, "cell", "_ld_hash", "left")
-    fixed = F.coalesce("stays", F.lit(False))
-    built = marked.groupBy("_ld_hash", "_ld_leaf").agg(F.bit_xor(F.xxhash64("at", F.when(fixed, F.col("token")).otherwise(F.lit(0).cast("long")))).alias("mask"), F.count_if(fixed).alias("fixed"), F.count("*").alias("n"))
-    return built.where(F.col("fixed") >= F.lit(keep_share) * F.col("n")).select("_ld_hash", F.xxhash64("_ld_leaf", "mask", F.lit("template")).alias("_ld_template"))
+
+    def mask(fixed: str) -> list[Column]:
+        one = F.coalesce(fixed, F.lit(False))
+        return [F.bit_xor(F.xxhash64("at", F.when(one, F.col("token")).otherwise(F.lit(0).cast("long")))).alias(f"{fixed}_mask"), F.count_if(one).alias(f"{fixed}_n")]
+
+    def template(fixed: str) -> Column:
+        return F.when(F.col(f"{fixed}_n") >= F.lit(keep_share) * F.col("n"), F.xxhash64("_ld_leaf", f"{fixed}_mask", F.lit("template")))
+
+    laws = ["stays"] if min_share is None else ["stays", "common"]
+    built = marked.groupBy("_ld_hash", "_ld_leaf").agg(*[c for x in laws for c in mask(x)], F.count("*").alias("n"))
+    made = F.array_distinct(F.array_compact(F.array(*[template(x) for x in laws])))
+    return built.select("_ld_hash", made.alias("_ld_templates")).where(F.size("_ld_templates") > 0)
 
 
-def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, keep_share: float = KEEP_SHARE) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, keep_share: float = KEEP_SHARE, min_share: float | None = None) -> DataFrame:
     """_ld_id, _ld_row and the array _ld_drop of line numbers to drop, of the texts that lose any."""
     occurrences = spool(lines_of(docs, min_tokens, depth).drop("_ld_line"))
     per_line = spool(occurrences.groupBy("_ld_leaf", "_ld_hash").agg(F.min("_ld_id").alias("lo"), F.max("_ld_id").alias("hi")))
-    own = templates(docs, per_line, min_tokens, depth, keep_share)
-    per_line = spool(per_line.join(own, "_ld_hash", "left").select("_ld_hash", F.coalesce("_ld_template", "_ld_hash").alias("_ld_template"), "lo", "hi"))
+    own = templates(docs, per_line, min_tokens, depth, keep_share, min_share)
+    of = F.explode(F.coalesce("_ld_templates", F.array("_ld_hash")))
+    per_line = spool(per_line.join(own, "_ld_hash", "left").select("_ld_hash", of.alias("_ld_template"), "lo", "hi"))
     ends = per_line.groupBy("_ld_template").agg(F.min("lo").alias("keep"), F.max("hi").alias("last")).where("keep <> last").select("_ld_template", "keep")
     if min_docs > 2:
         docs_of = occurrences.join(per_line.select("_ld_hash", "_ld_template"), "_ld_hash").select("_ld_template", "_ld_id").distinct()
         enough = docs_of.groupBy("_ld_template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
         ends = ends.join(enough.select("_ld_template"), "_ld_template", "left_semi")
     recurring = _join_dealt(per_line, ends, "_ld_template", "_ld_hash").select("_ld_hash", "keep")
+    if min_share is not None:
+        recurring = recurring.groupBy("_ld_hash").agg(F.min("keep").alias("keep"))
     lost = _join_dealt(occurrences.select("_ld_id", "_ld_row", "_ld_no", "_ld_hash"), recurring, "_ld_hash", "_ld_id").where("_ld_id <> keep")
     return lost.groupBy("_ld_id", "_ld_row").agg(F.collect_set("_ld_no").alias("_ld_drop"))
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, keep_share: float = KEEP_SHARE, counts: bool = False) -> DataFrame:
-    """docs without their recurring lines. counts adds n_lines and n_dropped."""
-    lost = dropped_lines(docs, min_docs, min_tokens, depth, keep_share)
+def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, keep_share: float = KEEP_SHARE, counts: bool = False, min_share: float | None = None) -> DataFrame:
+    """docs without their recurring lines. counts adds n_lines and n_dropped; WHOLE has the values of the rest for the whole job."""
+    lost = dropped_lines(docs, min_docs, min_tokens, depth, keep_share, min_share)
     rows = docs.withColumn("_ld_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn("_ld_own", F.xxhash64("text"))
     joined = rows.join(lost, (rows["_ld_key"] == lost["_ld_id"]) & (rows["_ld_own"] == lost["_ld_row"]), "left")
     lines = F.split("text", "\n")

@@ -163,6 +163,21 @@ def test_line_templates(spark, odd):
     assert linededup.drop_recurring_lines(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [4, 10, 1000])
+def test_fields_of_few_values_stay_fields(spark, n):
+    few = [("ann", "alpha"), ("bob", "beta"), ("ann", "beta"), ("bob", "alpha")] if n == 4 else [(f"n{chr(97 + i % 10)}", f"h{chr(97 + i % 7)}") for i in range(n)]
+    df = lines(spark, [f"job started by {x} on the main queue of the host {y}" for x, y in few])
+    got = pairs_of(linededup.drop_recurring_lines(df, **linededup.WHOLE), "doc_id", "text")
+    assert sorted(got) == [(0, df.first().text), *((i, "") for i in range(1, n))]
+
+
+def test_a_rare_template_of_a_leaf_recurs_too(spark):
+    often = [f"the new job of {x} was put on the main queue" for x in ("ann", "bob", "cid", "dan")]
+    df = lines(spark, [*often, *[f"the new job {x} never ran as its host fell" for x in ("alpha", "beta")]])
+    got = [r.text for r in linededup.drop_recurring_lines(df, **linededup.WHOLE).orderBy("doc_id").collect()]
+    assert got == [often[0], "", "", "", "the new job alpha never ran as its host fell", ""]
+
+
 def spark_hash(values, seed=42):
     for v in values:
         seed = xxhash.xxh64_intdigest(v if isinstance(v, bytes) else int(v).to_bytes(8, "little", signed=True), seed & (2**64 - 1))
