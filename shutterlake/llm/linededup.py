@@ -20,7 +20,8 @@ document are taken apart. Tokens, lines and templates are compared by 64-bit
 hashes.
 
 Cases: null text stays null; text of nothing but dropped lines becomes empty.
-Lines of fewer than `min_tokens` tokens are never dropped, nor are empty ones.
+Lines of fewer than `min_tokens` tokens are never dropped, or with `short`
+dropped where the whole line recurs, numbers included; empty ones stay.
 Rows of one doc_id are one document, whose repeated lines do not recur; null
 doc_ids are one document, the first. Repeated rows fare alike. Extra columns
 pass through, whatever their names but those starting with `_ld_`. Lines end
@@ -39,7 +40,7 @@ FIELD = "<*>"
 #: Tasks that share the rows of one leaf, cell, template or line in a join.
 SALTS = 8
 #: What the defaults, which are those of the query's SQL, leave out.
-WHOLE = {"min_share": 0.5}
+WHOLE = {"min_share": 0.5, "short": True}
 _WHITE = r"[\x20\x09-\x0D]"
 _NO_ID = -(1 << 63)
 
@@ -52,25 +53,33 @@ def is_tidy(text: Column) -> Column:
     return clean & ~text.rlike("[0-9]")
 
 
-def tidy(line: Column) -> Column:
-    """The line's tokens with one blank between them, those with a digit as fields."""
-    single = F.regexp_replace(F.regexp_replace(line, rf"^{_WHITE}+|{_WHITE}+$", ""), rf"{_WHITE}+", " ")
-    return F.regexp_replace(single, "[^ ]*[0-9][^ ]*", FIELD)
+def single(line: Column) -> Column:
+    """The line's tokens with one blank between them."""
+    return F.regexp_replace(F.regexp_replace(line, rf"^{_WHITE}+|{_WHITE}+$", ""), rf"{_WHITE}+", " ")
 
 
-def tidy_lines(text: Column) -> Column:
+def masked(line: Column, min_tokens: int = 0) -> Column:
+    """The single-blank line, its tokens with a digit as fields; a line of fewer than min_tokens as it is."""
+    fields = F.regexp_replace(line, "[^ ]*[0-9][^ ]*", FIELD)
+    return F.when(F.substring_index(line, " ", min_tokens - 1) == line, line).otherwise(fields) if min_tokens > 1 else fields
+
+
+def tidy_lines(text: Column, min_tokens: int = 0) -> Column:
     """All tidy lines of a text, as an array: made below the explosion, where text is read once and not once a line."""
     raw = F.split(text, "\n")
-    return F.when(is_tidy(text), raw).otherwise(F.transform(raw, lambda x: F.when(is_tidy(x), x).otherwise(tidy(x))))
+    return F.when(is_tidy(text), raw).otherwise(F.transform(raw, lambda x: F.when(is_tidy(x), x).otherwise(masked(single(x), min_tokens))))
 
 
-def lines_of(docs: DataFrame, min_tokens: int = MIN_TOKENS, depth: int = DEPTH) -> DataFrame:
-    """_ld_id, _ld_row (hash of the text), _ld_no (line, from 0), _ld_line (tidy), _ld_leaf and _ld_hash of every line of min_tokens tokens or more."""
-    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_ld_id"), F.xxhash64("text").alias("_ld_row"), tidy_lines(F.col("text")).alias("_ld_lines"))
+def lines_of(docs: DataFrame, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, short: bool = False) -> DataFrame:
+    """_ld_id, _ld_row (hash of the text), _ld_no (line, from 0), _ld_line (tidy), _ld_leaf and _ld_hash of every line of min_tokens tokens or more; with short, of all but empty ones, the shorter ones each in a leaf of its own and with their numbers."""
+    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_ld_id"), F.xxhash64("text").alias("_ld_row"), tidy_lines(F.col("text"), min_tokens if short else 0).alias("_ld_lines"))
     d = d.select("_ld_id", "_ld_row", F.posexplode_outer("_ld_lines").alias("_ld_no", "_ld_line"))  # a plain explosion adds filters that make the lines anew
     tokens = F.octet_length("_ld_line") - F.octet_length(F.replace("_ld_line", F.lit(" "), F.lit(""))) + 1
-    d = d.withColumn("_ld_n", tokens).where(F.col("_ld_n") >= min_tokens)
-    return d.select("_ld_id", "_ld_row", "_ld_no", "_ld_line", F.xxhash64("_ld_n", F.substring_index("_ld_line", " ", depth)).alias("_ld_leaf"), F.xxhash64("_ld_line").alias("_ld_hash"))
+    d = d.withColumn("_ld_n", tokens).where(F.col("_ld_line") != "" if short else F.col("_ld_n") >= min_tokens)
+    leaf = F.xxhash64("_ld_n", F.substring_index("_ld_line", " ", depth))
+    if short:
+        leaf = F.when(F.col("_ld_n") < min_tokens, F.xxhash64("_ld_n", "_ld_line", F.lit("short"))).otherwise(leaf)
+    return d.select("_ld_id", "_ld_row", "_ld_no", "_ld_line", leaf.alias("_ld_leaf"), F.xxhash64("_ld_line").alias("_ld_hash"))
 
 
 def _join_dealt(rows: DataFrame, keys: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
@@ -111,9 +120,9 @@ def templates(docs: DataFrame, per_line: DataFrame, min_tokens: int, depth: int,
     return built.select("_ld_hash", made.alias("_ld_templates")).where(F.size("_ld_templates") > 0)
 
 
-def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, keep_share: float = KEEP_SHARE, min_share: float | None = None) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, keep_share: float = KEEP_SHARE, min_share: float | None = None, short: bool = False) -> DataFrame:
     """_ld_id, _ld_row and the array _ld_drop of line numbers to drop, of the texts that lose any."""
-    occurrences = spool(lines_of(docs, min_tokens, depth).drop("_ld_line"))
+    occurrences = spool(lines_of(docs, min_tokens, depth, short).drop("_ld_line"))
     per_line = spool(occurrences.groupBy("_ld_leaf", "_ld_hash").agg(F.min("_ld_id").alias("lo"), F.max("_ld_id").alias("hi")))
     own = templates(docs, per_line, min_tokens, depth, keep_share, min_share)
     of = F.explode(F.coalesce("_ld_templates", F.array("_ld_hash")))
@@ -130,9 +139,9 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = M
     return lost.groupBy("_ld_id", "_ld_row").agg(F.collect_set("_ld_no").alias("_ld_drop"))
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, keep_share: float = KEEP_SHARE, counts: bool = False, min_share: float | None = None) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, keep_share: float = KEEP_SHARE, counts: bool = False, min_share: float | None = None, short: bool = False) -> DataFrame:
     """docs without their recurring lines. counts adds n_lines and n_dropped; WHOLE has the values of the rest for the whole job."""
-    lost = dropped_lines(docs, min_docs, min_tokens, depth, keep_share, min_share)
+    lost = dropped_lines(docs, min_docs, min_tokens, depth, keep_share, min_share, short)
     rows = docs.withColumn("_ld_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn("_ld_own", F.xxhash64("text"))
     joined = rows.join(lost, (rows["_ld_key"] == lost["_ld_id"]) & (rows["_ld_own"] == lost["_ld_row"]), "left")
     lines = F.split("text", "\n")

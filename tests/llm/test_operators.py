@@ -171,6 +171,12 @@ def test_fields_of_few_values_stay_fields(spark, n):
     assert sorted(got) == [(0, df.first().text), *((i, "") for i in range(1, n))]
 
 
+def test_short_lines_recur_whole(spark):
+    df = lines(spark, ["All rights reserved.\n\npage 1\nLes.", " All  rights\treserved.\n\npage 2\nLes.", "all rights reserved.\n \npage 1"])
+    got = [r.text for r in linededup.drop_recurring_lines(df, **linededup.WHOLE).orderBy("doc_id").collect()]
+    assert got == [df.first().text, "\npage 2", "all rights reserved.\n "]
+
+
 def test_a_rare_template_of_a_leaf_recurs_too(spark):
     often = [f"the new job of {x} was put on the main queue" for x in ("ann", "bob", "cid", "dan")]
     df = lines(spark, [*often, *[f"the new job {x} never ran as its host fell" for x in ("alpha", "beta")]])
