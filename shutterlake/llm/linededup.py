@@ -12,7 +12,8 @@ occurs in `min_docs` documents or more recurs: its lines in the first document
 A field of few values has each of them in two documents as soon as there are
 documents enough. With `min_share`, a line has a second template, in which a
 token stays if more than that share of the texts of its leaf have it at its
-position; a line recurs if either template does.
+position; a line recurs if either template does. With `exact`, a line with too
+many fields to have a template is not masked, and recurs where it is equal.
 
 Work follows recurrence: lines are first reduced to hashes and counted with
 map-side combine, and only lines of leaves that hold more than one text and
@@ -40,7 +41,7 @@ FIELD = "<*>"
 #: Tasks that share the rows of one leaf, cell, template or line in a join.
 SALTS = 8
 #: What the defaults, which are those of the query's SQL, leave out.
-WHOLE = {"min_share": 0.5, "short": True}
+WHOLE = {"min_share": 0.5, "short": True, "exact": True}
 _WHITE = r"[\x20\x09-\x0D]"
 _NO_ID = -(1 << 63)
 
@@ -58,27 +59,32 @@ def single(line: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(line, rf"^{_WHITE}+|{_WHITE}+$", ""), rf"{_WHITE}+", " ")
 
 
-def masked(line: Column, min_tokens: int = 0) -> Column:
-    """The single-blank line, its tokens with a digit as fields; a line of fewer than min_tokens as it is."""
+def masked(line: Column, min_tokens: int = 0, words: float | None = None) -> Column:
+    """The single-blank line, its tokens with a digit as fields; a line of fewer than min_tokens as it is, and with \\n before it one whose share of other tokens is below words."""
     fields = F.regexp_replace(line, "[^ ]*[0-9][^ ]*", FIELD)
+    if words is not None:
+        n = F.size(F.split(line, " "))
+        few = n - F.regexp_count(fields, F.lit(r"(?<![^ ])<\*>(?![^ ])")) < F.lit(words) * n
+        fields = F.when(few, F.concat(F.lit("\n"), line)).otherwise(fields)
     return F.when(F.substring_index(line, " ", min_tokens - 1) == line, line).otherwise(fields) if min_tokens > 1 else fields
 
 
-def tidy_lines(text: Column, min_tokens: int = 0) -> Column:
+def tidy_lines(text: Column, min_tokens: int = 0, words: float | None = None) -> Column:
     """All tidy lines of a text, as an array: made below the explosion, where text is read once and not once a line."""
     raw = F.split(text, "\n")
-    return F.when(is_tidy(text), raw).otherwise(F.transform(raw, lambda x: F.when(is_tidy(x), x).otherwise(masked(single(x), min_tokens))))
+    return F.when(is_tidy(text), raw).otherwise(F.transform(raw, lambda x: F.when(is_tidy(x), x).otherwise(masked(single(x), min_tokens, words))))
 
 
-def lines_of(docs: DataFrame, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, short: bool = False) -> DataFrame:
-    """_ld_id, _ld_row (hash of the text), _ld_no (line, from 0), _ld_line (tidy), _ld_leaf and _ld_hash of every line of min_tokens tokens or more; with short, of all but empty ones, the shorter ones each in a leaf of its own and with their numbers."""
-    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_ld_id"), F.xxhash64("text").alias("_ld_row"), tidy_lines(F.col("text"), min_tokens if short else 0).alias("_ld_lines"))
+def lines_of(docs: DataFrame, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, short: bool = False, words: float | None = None) -> DataFrame:
+    """_ld_id, _ld_row (hash of the text), _ld_no (line, from 0), _ld_line (tidy), _ld_leaf and _ld_hash of every line of min_tokens tokens or more; with short, of all but empty ones, the shorter ones each in a leaf of its own and with their numbers; with words, those whose share of words is less likewise."""
+    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_ld_id"), F.xxhash64("text").alias("_ld_row"), tidy_lines(F.col("text"), min_tokens if short else 0, words).alias("_ld_lines"))
     d = d.select("_ld_id", "_ld_row", F.posexplode_outer("_ld_lines").alias("_ld_no", "_ld_line"))  # a plain explosion adds filters that make the lines anew
     tokens = F.octet_length("_ld_line") - F.octet_length(F.replace("_ld_line", F.lit(" "), F.lit(""))) + 1
     d = d.withColumn("_ld_n", tokens).where(F.col("_ld_line") != "" if short else F.col("_ld_n") >= min_tokens)
     leaf = F.xxhash64("_ld_n", F.substring_index("_ld_line", " ", depth))
-    if short:
-        leaf = F.when(F.col("_ld_n") < min_tokens, F.xxhash64("_ld_n", "_ld_line", F.lit("short"))).otherwise(leaf)
+    if short or words is not None:
+        own = (F.col("_ld_n") < min_tokens) | F.col("_ld_line").startswith("\n")
+        leaf = F.when(own, F.xxhash64("_ld_n", "_ld_line", F.lit("own"))).otherwise(leaf)
     return d.select("_ld_id", "_ld_row", "_ld_no", "_ld_line", leaf.alias("_ld_leaf"), F.xxhash64("_ld_line").alias("_ld_hash"))
 
 
@@ -89,12 +95,12 @@ def _join_dealt(rows: DataFrame, keys: DataFrame, key: str, by: str, how: str =
     return rows.join(keys, [key, "_ld_salt"], how).drop("_ld_salt")
 
 
-def templates(docs: DataFrame, per_line: DataFrame, min_tokens: int, depth: int, keep_share: float, min_share: float | None = None) -> DataFrame:
+def templates(docs: DataFrame, per_line: DataFrame, min_tokens: int, depth: int, keep_share: float, min_share: float | None = None, exact: bool = False) -> DataFrame:
     """_ld_hash and the array _ld_templates of the lines whose template is not the line itself."""
     leaves = per_line.groupBy("_ld_leaf").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("n > 1 and lo <> hi").select("_ld_leaf", "n")
     # one row per text of those leaves
     some = _join_dealt(per_line, leaves.select("_ld_leaf"), "_ld_leaf", "_ld_hash", "left_semi")
-    lines = _join_dealt(lines_of(docs, min_tokens, depth).select("_ld_id", "_ld_leaf", "_ld_hash", "_ld_line"), leaves.select("_ld_leaf"), "_ld_leaf", "_ld_id", "left_semi")
+    lines = _join_dealt(lines_of(docs, min_tokens, depth, words=keep_share if exact else None).select("_ld_id", "_ld_leaf", "_ld_hash", "_ld_line"), leaves.select("_ld_leaf"), "_ld_leaf", "_ld_id", "left_semi")
     texts = lines.groupBy("_ld_leaf", "_ld_hash").agg(F.first("_ld_line").alias("line"))
     each = texts.select("_ld_leaf", "_ld_hash", F.posexplode(F.split("line", " ")).alias("at", "token"))
     field = F.col("token") == FIELD
@@ -120,11 +126,11 @@ def templates(docs: DataFrame, per_line: DataFrame, min_tokens: int, depth: int,
     return built.select("_ld_hash", made.alias("_ld_templates")).where(F.size("_ld_templates") > 0)
 
 
-def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, keep_share: float = KEEP_SHARE, min_share: float | None = None, short: bool = False) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, keep_share: float = KEEP_SHARE, min_share: float | None = None, short: bool = False, exact: bool = False) -> DataFrame:
     """_ld_id, _ld_row and the array _ld_drop of line numbers to drop, of the texts that lose any."""
-    occurrences = spool(lines_of(docs, min_tokens, depth, short).drop("_ld_line"))
+    occurrences = spool(lines_of(docs, min_tokens, depth, short, keep_share if exact else None).drop("_ld_line"))
     per_line = spool(occurrences.groupBy("_ld_leaf", "_ld_hash").agg(F.min("_ld_id").alias("lo"), F.max("_ld_id").alias("hi")))
-    own = templates(docs, per_line, min_tokens, depth, keep_share, min_share)
+    own = templates(docs, per_line, min_tokens, depth, keep_share, min_share, exact)
     of = F.explode(F.coalesce("_ld_templates", F.array("_ld_hash")))
     per_line = spool(per_line.join(own, "_ld_hash", "left").select("_ld_hash", of.alias("_ld_template"), "lo", "hi"))
     ends = per_line.groupBy("_ld_template").agg(F.min("lo").alias("keep"), F.max("hi").alias("last")).where("keep <> last").select("_ld_template", "keep")
@@ -139,9 +145,9 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = M
     return lost.groupBy("_ld_id", "_ld_row").agg(F.collect_set("_ld_no").alias("_ld_drop"))
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, keep_share: float = KEEP_SHARE, counts: bool = False, min_share: float | None = None, short: bool = False) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, keep_share: float = KEEP_SHARE, counts: bool = False, min_share: float | None = None, short: bool = False, exact: bool = False) -> DataFrame:
     """docs without their recurring lines. counts adds n_lines and n_dropped; WHOLE has the values of the rest for the whole job."""
-    lost = dropped_lines(docs, min_docs, min_tokens, depth, keep_share, min_share, short)
+    lost = dropped_lines(docs, min_docs, min_tokens, depth, keep_share, min_share, short, exact)
     rows = docs.withColumn("_ld_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn("_ld_own", F.xxhash64("text"))
     joined = rows.join(lost, (rows["_ld_key"] == lost["_ld_id"]) & (rows["_ld_own"] == lost["_ld_row"]), "left")
     lines = F.split("text", "\n")

@@ -171,6 +171,12 @@ def test_fields_of_few_values_stay_fields(spark, n):
     assert sorted(got) == [(0, df.first().text), *((i, "") for i in range(1, n))]
 
 
+def test_lines_of_numbers_recur_where_equal(spark):
+    df = lines(spark, ["12 34 56 78\n| 12 | 15 | 18 |\nborn 12 May 1950\nuser 17 logged in from berlin today", "90 11 22 33\n| 12 | 15 | 19 |\nborn 3 May 1961\nuser 99 logged in from berlin today", "12 34  56 78\n| 12 | 15 | 18 |\nborn 12 May 1951"])
+    got = [r.text for r in linededup.drop_recurring_lines(df, **linededup.WHOLE).orderBy("doc_id").collect()]
+    assert got == [df.first().text, "90 11 22 33\n| 12 | 15 | 19 |\nborn 3 May 1961", "born 12 May 1951"]
+
+
 def test_short_lines_recur_whole(spark):
     df = lines(spark, ["All rights reserved.\n\npage 1\nLes.", " All  rights\treserved.\n\npage 2\nLes.", "all rights reserved.\n \npage 1"])
     got = [r.text for r in linededup.drop_recurring_lines(df, **linededup.WHOLE).orderBy("doc_id").collect()]
