@@ -11,11 +11,13 @@ searched in an inverted index over them for those that occur T times: short
 lists are merged by a heap, long ones are probed by binary search (DivideSkip).
 Its counts are exact and decide the links.
 
-Only connectivity is returned, so no group's pairs are written out. Equal sets
-are one node. Each list first links its documents to two of them alone; after
-the components of these links are known, a second search looks only at pairs
-that lie in different components, which loses no link that joins anything. A
-list is compared in tiles of bounded size, inside arrays.
+`similarity_join` returns all links between unlike sets, with membership and each
+row's number of links. `similarity_components` returns connectivity only, so that
+no group's pairs are written out. Equal sets are one node. For it, each list
+first links its documents to two of them alone; after the components of these
+links are known, a second search looks only at pairs that lie in different
+components, which loses no link that joins anything. A list is compared in tiles
+of bounded size, inside arrays.
 
 Cases: null text or no words: an empty set, linked with nothing. Fewer words
 than the width: the whole sequence is one shingle. Rows are separate documents
@@ -426,19 +428,24 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, per
     return needs.join(texts, "key").select("u", "part", "key", "role", "text").groupBy("u", "part").applyInPandas(check, "u binary, v binary")
 
 
-def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row. Links: 100 * intersection >= percent * union."""
+def _indexed(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, n, key), nodes (one row per set), and the lists of two nodes or more with their least and greatest."""
     if not 0 < percent <= 100:
         raise ValueError("percent must be in 1 .. 100")
     summary = spool(_summarise(docs, width))
-    rows = summary.where("kind = 0").select("doc_id", "n", "key")
     nodes = spool(summary.where("kind = 0 and n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("parity").alias("parity")))
-    sketch = nodes.select("key", "parity")
     by_list = W.partitionBy("h")
     me = F.struct("key", "n")
     lists = _postings(docs, nodes, _ranks(summary), width, percent)
     lists = lists.withColumn("lo", F.min(me).over(by_list)).withColumn("hi", F.max(me).over(by_list)).where("lo.key <> hi.key")
-    lists = spool(lists)
+    return summary.where("kind = 0").select("doc_id", "n", "key"), nodes, spool(lists)
+
+
+def _connecting(docs: DataFrame, nodes: DataFrame, lists: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (u, v) that connect what all links connect."""
+    sketch = nodes.select("key", "parity")
+    by_list = W.partitionBy("h")
+    me = F.struct("key", "n")
 
     # what near copies were made from shares most of its prefix, and links to them where they don't link to each other
     shared = lists.groupBy("key").agg((F.count("*") / (F.first("n") - F.ceil(F.first("n") * percent / 100) + 1)).alias("share"))
@@ -455,13 +462,42 @@ def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PE
     placed = lists.select("h", "key", "n").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
     placed = placed.withColumn("c0", F.min("comp").over(by_list)).withColumn("c1", F.max("comp").over(by_list)).where("c0 <> c1").drop("c0", "c1")
     more = spool(_verify(_cross_pairs(placed.join(sketch, "key"), percent), docs, nodes, width, percent))
-    whole = connected_components(links.union(more))
+    return links.union(more)
 
-    label = nodes.join(whole.withColumnRenamed("node", "key"), "key", "left").select("key", "doc_id", F.coalesce("component", "key").alias("comp"))
+
+def _links(docs: DataFrame, nodes: DataFrame, lists: DataFrame, width: int, percent: int) -> DataFrame:
+    """All links (u, v), u < v: every node is a component of its own, so that no pair is passed over."""
+    every = lists.select("h", "key", "n", F.col("key").alias("comp")).join(nodes.select("key", "parity"), "key")
+    return spool(_verify(_cross_pairs(every, percent), docs, nodes, width, percent))
+
+
+def _placed(rows: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """rows with component_id."""
+    label = nodes.join(connected_components(links).withColumnRenamed("node", "key"), "key", "left").select("key", "doc_id", F.coalesce("component", "key").alias("comp"))
     least = label.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     label = label.join(least, "comp").select("key", "component_id")
     out = rows.join(label, "key", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+
+
+def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row. Links: 100 * intersection >= percent * union."""
+    rows, nodes, lists = _indexed(docs, width, percent)
+    out = _placed(rows, nodes, _connecting(docs, nodes, lists, width, percent))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def similarity_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """The whole join. Members: doc_id, n_shingles, set_key (null without words), component_id and n_links (other rows linked, copies too) of every row. Links: u, v (set_keys, u < v) of every two unlike sets at the threshold."""
+    rows, nodes, lists = _indexed(docs, width, percent)
+    links = _links(docs, nodes, lists, width, percent)
+    copies = rows.where("n > 0").groupBy("key").agg(F.count("*").alias("copies"))
+    ends = links.select(F.col("u").alias("key"), F.col("v").alias("other")).union(links.select("v", "u"))
+    linked = ends.join(copies.toDF("other", "others"), "other").groupBy("key").agg(F.sum("others").alias("others"))
+    counted = copies.join(linked, "key", "left").select("key", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    members = _placed(rows, nodes, links).join(counted, "key", "left")
+    own = F.when(F.col("n") > 0, F.col("key")).alias("set_key")
+    return members.select("doc_id", F.col("n").alias("n_shingles"), own, "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), links
 
 
 def keep_one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

@@ -279,6 +279,33 @@ def test_similarity_components_by_brute_force(spark, odd, width, percent):
     assert sorted(d for d in kept if d is not None) == sorted({c for d, _, c in got if d is not None and c == d})
 
 
+@pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80), (1, 50)])
+def test_similarity_join_loses_no_link(spark, odd, width, percent):
+    rng = np.random.default_rng(width)
+    rows = [(r.doc_id, r.text) for r in odd.collect()]
+    for base in range(3):  # groups in which every two are linked, with exact copies
+        words = [f"b{base}w{x}" for x in rng.integers(0, 60, 120)]
+        texts = [" ".join([*words[: 120 - i], *[f"new{i}"] * (i > 0)]) for i in range(5)]
+        rows += [(100 + 10 * base + i, t) for i, t in enumerate([*texts, texts[0]])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    members, links = jaccard.similarity_join(df, width, percent)
+    sets = [s for _, s in word_sets(rows, width)]
+    near = lambda a, b: bool(a and b) and 100 * len(a & b) >= percent * len(a | b)
+    keys = [jaccard.set_key(jaccard.shingles(t, width)) if s else None for (_, t), s in zip(rows, sets, strict=True)]
+    counts = [sum(near(a, b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)]
+    want = sorted(((d, len(s), k, n) for (d, _), s, k, n in zip(rows, sets, keys, counts, strict=True)), key=str)
+    found = [(r.doc_id, r.n_shingles, r.set_key and bytes(r.set_key), r.n_links) for r in members.collect()]
+    assert sorted(found, key=str) == want
+    pairs = {(a, b) for a, x in zip(keys, sets, strict=True) for b, y in zip(keys, sets, strict=True) if a and b and a < b and near(x, y)}
+    assert sorted((bytes(r.u), bytes(r.v)) for r in links.collect()) == sorted(pairs)
+    assert sorted(pairs_of(members, "doc_id", "n_shingles", "component_id"), key=str) == brute_components(rows, width, percent)
+
+
+def test_similarity_join_of_nothing(spark, odd):
+    members, links = jaccard.similarity_join(odd.limit(0))
+    assert members.count() == links.count() == 0
+
+
 def test_similarity_of_nothing(spark, odd):
     assert jaccard.similarity_components(odd.limit(0)).count() == 0
 
