@@ -43,6 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shutterlake.llm.common import WORD
 from shutterlake.operators.components import connected_components
 from shutterlake.session import spool
 
@@ -242,25 +243,26 @@ def search(query: np.ndarray, others: list[np.ndarray], percent: int) -> list[in
 
 
 def _summarise(docs: DataFrame, width: int) -> DataFrame:
-    """Of every row doc_id, n, key and parity sketch (kind 0); and the count sketch of its task in segments (kind 1)."""
-    only = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """Of every row doc_id, n, key, parity sketch and hash of the text (kind 0); and the count sketch of its task in segments (kind 1)."""
+    text = F.col("text").cast("string")
+    only = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"))
     segment = 1 << 16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, low = np.zeros(1 << SKETCH_BITS, np.int64), np.uint64((1 << SKETCH_BITS) - 1)
-        names = ["kind", "doc_id", "n", "key", "parity", "seg", "counts"]
+        names = ["kind", "doc_id", "n", "key", "parity", "seg", "counts", "hash"]
         for batch in batches:
             sets = shingle_sets(batch.column(1).to_pylist(), width)
             if sets:
                 counts += np.bincount((np.concatenate(sets) & low).astype(np.int64), minlength=len(counts))
             m = len(sets)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([parity(s) for s in sets], pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([parity(s) for s in sets], pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), batch.column(2)], names=names)
         for i in range(0, len(counts), segment):
             part = counts[i : i + segment]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([i // segment], pa.int32()), pa.array([zlib.compress(part.astype("<i8").tobytes(), 1)], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([i // segment], pa.int32()), pa.array([zlib.compress(part.astype("<i8").tobytes(), 1)], pa.binary()), pa.nulls(1, pa.int64())], names=names)
 
-    return only.mapInArrow(run, "kind int, doc_id long, n long, key binary, parity binary, seg int, counts binary")
+    return only.mapInArrow(run, "kind int, doc_id long, n long, key binary, parity binary, seg int, counts binary, hash long")
 
 
 def _ranks(summary: DataFrame) -> bytes:
@@ -429,7 +431,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, per
 
 
 def _indexed(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (doc_id, n, key), nodes (one row per set), and the lists of two nodes or more with their least and greatest."""
+    """Rows (doc_id, n, key, hash), nodes (one row per set), and the lists of two nodes or more with their least and greatest."""
     if not 0 < percent <= 100:
         raise ValueError("percent must be in 1 .. 100")
     summary = spool(_summarise(docs, width))
@@ -438,7 +440,7 @@ def _indexed(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Data
     me = F.struct("key", "n")
     lists = _postings(docs, nodes, _ranks(summary), width, percent)
     lists = lists.withColumn("lo", F.min(me).over(by_list)).withColumn("hi", F.max(me).over(by_list)).where("lo.key <> hi.key")
-    return summary.where("kind = 0").select("doc_id", "n", "key"), nodes, spool(lists)
+    return summary.where("kind = 0").select("doc_id", "n", "key", "hash"), nodes, spool(lists)
 
 
 def _connecting(docs: DataFrame, nodes: DataFrame, lists: DataFrame, width: int, percent: int) -> DataFrame:
@@ -500,9 +502,27 @@ def similarity_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     return members.select("doc_id", F.col("n").alias("n_shingles"), own, "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), links
 
 
-def keep_one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each component: the one of least doc_id, of its rows the first by text. Rows without a doc_id stay."""
+def keep_one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, by_row: bool = False) -> DataFrame:
+    """docs with one document of each component: the one of least doc_id, of its rows the first by text. Rows without a doc_id stay.
+
+    by_row: one row of each component, the first by doc_id (nulls last), set and text, whatever other rows have its doc_id; rows without words stay.
+    """
+    if by_row:
+        return _one_row_of_each(docs, width, percent)
     kept = similarity_components(docs, width, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     found = docs.join(kept, docs["doc_id"] == kept["_kept"])
     first = found.withColumn("_r", F.row_number().over(W.partitionBy("_kept").orderBy(F.xxhash64("text"), "text"))).where("_r = 1")
     return first.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def _one_row_of_each(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    rows, nodes, lists = _indexed(docs, width, percent)
+    comp = connected_components(_connecting(docs, nodes, lists, width, percent)).toDF("key", "comp")
+    placed = rows.where("n > 0").join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    kept = placed.groupBy("comp").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key", "hash")).alias("k"))
+    kept = kept.select(F.col("k.doc_id").alias("_kept"), F.col("k.hash").alias("_hash"))
+    found = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_kept")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_hash")))
+    # what is left of a row's own repeats is one row
+    tie = F.row_number().over(W.partitionBy("_kept", "_hash").orderBy("text"))
+    first = found.withColumn("_r", tie).where("_r = 1")
+    return first.select(*docs.columns).unionByName(docs.where(~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(WORD)))

@@ -301,6 +301,16 @@ def test_similarity_join_loses_no_link(spark, odd, width, percent):
     assert sorted(pairs_of(members, "doc_id", "n_shingles", "component_id"), key=str) == brute_components(rows, width, percent)
 
 
+def test_one_row_of_each_component_stays(spark):
+    near = " ".join(f"w{i}" for i in range(60))
+    clean, alone = "a clean text of a number that comes twice in this table", "a text without a number that comes twice as a copy"
+    rows = [(1, near + " end"), (2, near), (2, clean), (2, clean), (None, alone), (None, alone), (None, "another text without a number is here"), (2, ""), (2, None), (None, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = pairs_of(jaccard.keep_one_of_each(df, by_row=True), "doc_id", "text")
+    assert sorted(got, key=str) == sorted([rows[0], rows[2], rows[4], *rows[6:]], key=str)
+    assert jaccard.keep_one_of_each(df.limit(0), by_row=True).count() == 0
+
+
 def test_similarity_join_of_nothing(spark, odd):
     members, links = jaccard.similarity_join(odd.limit(0))
     assert members.count() == links.count() == 0
