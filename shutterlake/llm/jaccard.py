@@ -6,10 +6,11 @@ two sets (the prefixes) meet. Shingles are ordered rarest first, by a count
 sketch over all documents, so the lists of prefix shingles are short. Pairs
 that meet in a list pass two lossless bounds, on their sizes and on a parity
 sketch (each differing shingle flips one bit, so the bits that differ are never
-more than the shingles that do). Each query document's candidates are then
-searched in an inverted index over them for those that occur T times: short
-lists are merged by a heap, long ones are probed by binary search (DivideSkip).
-Its counts are exact and decide the links.
+more than the shingles that do). So prefix filtering finds the candidates, and no
+inverted list of the corpus is merged or probed. Each query document's plausible
+candidates alone, a chunk at a time, are put in a small inverted index in which
+DivideSkip (heap merge of short lists, binary probes of long ones) recounts their
+overlap; its counts are exact and decide the links.
 
 `similarity_join` returns all links between unlike sets, with membership and each
 row's number of links. `similarity_components` returns connectivity only, so that
