@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.session import spool
+from shutterlake.session import discard, spool
 
 
 def _with_least(pairs: DataFrame) -> DataFrame:
@@ -44,7 +44,8 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_r
         state = now
         if now[0] == 0:
             break
-        e = spool(small_star(large_star(e)))
+        before, e = e, spool(small_star(large_star(e)))
+        discard(before)
     else:
         raise RuntimeError("connected components did not settle")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
