@@ -15,10 +15,10 @@ token stays if more than that share of the texts of its leaf have it at its
 position; a line recurs if either template does. With `exact`, a line with too
 many fields to have a template is not masked, and recurs where it is equal.
 
-Work follows recurrence: lines are first reduced to hashes and counted with
-map-side combine, and only lines of leaves that hold more than one text and
-document are taken apart. Tokens, lines and templates are compared by 64-bit
-hashes.
+Work follows recurrence: texts are taken apart once, lines and leaves are
+counted by their hashes with map-side combine, and only lines of leaves that
+hold more than one text and document are moved and split into tokens. Tokens,
+lines and templates are compared by 64-bit hashes.
 
 Cases: null text stays null; text of nothing but dropped lines becomes empty.
 Lines of fewer than `min_tokens` tokens are never dropped, or with `short`
@@ -34,12 +34,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.session import spool
+from shutterlake.operators.prefilter import may_match
+from shutterlake.session import discard, spool
 
 DEPTH, MIN_DOCS, MIN_TOKENS, KEEP_SHARE = 3, 2, 4, 0.7
 FIELD = "<*>"
-#: Tasks that share the rows of one leaf, cell, template or line in a join.
-SALTS = 8
 #: What the defaults, which are those of the query's SQL, leave out.
 WHOLE = {"min_share": 0.5, "short": True, "exact": True}
 _WHITE = r"[\x20\x09-\x0D]"
@@ -49,9 +48,9 @@ _NO_ID = -(1 << 63)
 def is_tidy(text: Column) -> Column:
     """Whether no line of a text, or a line, needs tidying: cheap tests."""
     clean = ~text.startswith(" ") & ~text.endswith(" ")
-    for x in ("\t", "\r", "\x0b", "\x0c", "  ", " \n", "\n "):
+    for x in ("  ", " \n", "\n "):
         clean = clean & ~text.contains(x)
-    return clean & ~text.rlike("[0-9]")
+    return clean & ~text.rlike(r"[0-9\t\x0b\x0c\r]")
 
 
 def single(line: Column) -> Column:
@@ -76,73 +75,73 @@ def tidy_lines(text: Column, min_tokens: int = 0, words: float | None = None) ->
 
 
 def lines_of(docs: DataFrame, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, short: bool = False, words: float | None = None) -> DataFrame:
-    """_ld_id, _ld_row (hash of the text), _ld_no (line, from 0), _ld_line (tidy), _ld_leaf and _ld_hash of every line of min_tokens tokens or more; with short, of all but empty ones, the shorter ones each in a leaf of its own and with their numbers; with words, those whose share of words is less likewise."""
+    """_ld_id, _ld_row (hash of the text), _ld_no (line, from 0), _ld_line (tidy), _ld_leaf and _ld_hash of every line of min_tokens tokens or more; with short, of all but empty ones, the shorter ones in no leaf and with their numbers; with words, those whose share of words is less likewise."""
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_ld_id"), F.xxhash64("text").alias("_ld_row"), tidy_lines(F.col("text"), min_tokens if short else 0, words).alias("_ld_lines"))
     d = d.select("_ld_id", "_ld_row", F.posexplode_outer("_ld_lines").alias("_ld_no", "_ld_line"))  # a plain explosion adds filters that make the lines anew
     tokens = F.octet_length("_ld_line") - F.octet_length(F.replace("_ld_line", F.lit(" "), F.lit(""))) + 1
     d = d.withColumn("_ld_n", tokens).where(F.col("_ld_line") != "" if short else F.col("_ld_n") >= min_tokens)
     leaf = F.xxhash64("_ld_n", F.substring_index("_ld_line", " ", depth))
     if short or words is not None:
-        own = (F.col("_ld_n") < min_tokens) | F.col("_ld_line").startswith("\n")
-        leaf = F.when(own, F.xxhash64("_ld_n", "_ld_line", F.lit("own"))).otherwise(leaf)
+        leaf = F.when((F.col("_ld_n") >= min_tokens) & ~F.col("_ld_line").startswith("\n"), leaf)
     return d.select("_ld_id", "_ld_row", "_ld_no", "_ld_line", leaf.alias("_ld_leaf"), F.xxhash64("_ld_line").alias("_ld_hash"))
 
 
-def _join_dealt(rows: DataFrame, keys: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
-    """rows joined with keys (one row a key), each key dealt over SALTS tasks, as a third of all rows may have one."""
-    rows = rows.withColumn("_ld_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
-    keys = keys.withColumn("_ld_salt", F.explode(F.array([F.lit(i) for i in range(SALTS)])))
-    return rows.join(keys, [key, "_ld_salt"], how).drop("_ld_salt")
-
-
-def templates(docs: DataFrame, per_line: DataFrame, min_tokens: int, depth: int, keep_share: float, min_share: float | None = None, exact: bool = False) -> DataFrame:
-    """_ld_hash and the array _ld_templates of the lines whose template is not the line itself."""
-    leaves = per_line.groupBy("_ld_leaf").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("n > 1 and lo <> hi").select("_ld_leaf", "n")
-    # one row per text of those leaves
-    some = _join_dealt(per_line, leaves.select("_ld_leaf"), "_ld_leaf", "_ld_hash", "left_semi")
-    lines = _join_dealt(lines_of(docs, min_tokens, depth, words=keep_share if exact else None).select("_ld_id", "_ld_leaf", "_ld_hash", "_ld_line"), leaves.select("_ld_leaf"), "_ld_leaf", "_ld_id", "left_semi")
-    texts = lines.groupBy("_ld_leaf", "_ld_hash").agg(F.first("_ld_line").alias("line"))
-    each = texts.select("_ld_leaf", "_ld_hash", F.posexplode(F.split("line", " ")).alias("at", "token"))
-    field = F.col("token") == FIELD
-    each = each.select("_ld_hash", "_ld_leaf", "at", F.when(field, F.lit(0).cast("long")).otherwise(F.xxhash64("token")).alias("token"), F.xxhash64("_ld_leaf", "at", "token").alias("cell"))
-    each = spool(each.join(some.select("_ld_hash", "_ld_leaf", "lo", "hi"), ["_ld_hash", "_ld_leaf"]))
-    cells = each.where("token <> 0").groupBy("cell").agg(F.first("_ld_leaf").alias("_ld_leaf"), F.min("lo").alias("a"), F.max("hi").alias("b"), F.count("*").alias("texts")).where("a <> b")
-    if min_share is None:
-        stays = cells.select("cell", F.lit(True).alias("stays"), F.lit(False).alias("common"))
-    else:  # a token that is common is one of two documents, too
-        stays = _join_dealt(cells, leaves, "_ld_leaf", "cell").select("cell", F.lit(True).alias("stays"), (F.col("texts") > F.lit(min_share) * F.col("n")).alias("common"))
-    marked = _join_dealt(each.select("_ld_hash", "_ld_leaf", "at", "token", "cell"), stays, "cell", "_ld_hash", "left")
-
-    def mask(fixed: str) -> list[Column]:
-        one = F.coalesce(fixed, F.lit(False))
-        return [F.bit_xor(F.xxhash64("at", F.when(one, F.col("token")).otherwise(F.lit(0).cast("long")))).alias(f"{fixed}_mask"), F.count_if(one).alias(f"{fixed}_n")]
+def templates(lines: DataFrame, keep_share: float, min_share: float | None = None) -> DataFrame:
+    """_ld_hash, the array _ld_templates, and the least and greatest document lo and hi of the lines whose template is not the line itself.
+
+    Joins are left to adaptive execution, which splits hot leaves and cells: a
+    side of one row a key is spooled first, so that both sides are plain shuffles.
+    """
+    in_leaf = lines.where("_ld_leaf is not null")
+    leaves = in_leaf.groupBy("_ld_leaf").agg(F.min("_ld_hash").alias("a"), F.max("_ld_hash").alias("b"), F.min("_ld_id").alias("lo"), F.max("_ld_id").alias("hi"))
+    leaves = spool(leaves.where("a <> b and lo <> hi").select("_ld_leaf"))
+    # one row a text; the filter lets all of a leaf pass or nothing, and a leaf of one text gives it no template but itself
+    texts = may_match(in_leaf, leaves, "_ld_leaf").groupBy("_ld_leaf", "_ld_hash").agg(F.first("_ld_line").alias("line"), F.min("_ld_id").alias("lo"), F.max("_ld_id").alias("hi"))
+    texts = texts.withColumn("tokens", F.split("line", " ")).drop("line")
+    texts = spool(texts.withColumn("n", F.size("tokens")))
+    sizes = spool(texts.groupBy("_ld_leaf").agg(F.count("*").alias("texts")))
+    each = texts.join(sizes, "_ld_leaf").select("_ld_hash", "_ld_leaf", "lo", "hi", "texts", "n", F.posexplode_outer("tokens").alias("at", "token")).where(F.col("token") != FIELD)
+    each = each.withColumn("cell", F.xxhash64("_ld_leaf", "at", "token"))
+    share = F.col("n_texts") > F.lit(min_share if min_share is not None else 1.0) * F.col("texts")
+    cells = each.groupBy("cell").agg(F.min("lo").alias("a"), F.max("hi").alias("b"), F.count("*").alias("n_texts"), F.first("texts").alias("texts")).where("a <> b").select("cell", share.alias("common"))
+    cells = spool(cells)
+    common = F.when(F.col("common"), F.col("cell"))
+    built = each.select("_ld_hash", "n", "cell").join(cells, "cell").groupBy("_ld_hash", "n").agg(F.bit_xor("cell").alias("stays"), F.count("*").alias("n_stays"), F.bit_xor(common).alias("common"), F.count(common).alias("n_common"))
 
     def template(fixed: str) -> Column:
-        return F.when(F.col(f"{fixed}_n") >= F.lit(keep_share) * F.col("n"), F.xxhash64("_ld_leaf", f"{fixed}_mask", F.lit("template")))
+        return F.when(F.col(f"n_{fixed}") >= F.lit(keep_share) * F.col("n"), F.xxhash64(fixed, F.lit("template")))
 
-    laws = ["stays"] if min_share is None else ["stays", "common"]
-    built = marked.groupBy("_ld_hash", "_ld_leaf").agg(*[c for x in laws for c in mask(x)], F.count("*").alias("n"))
-    made = F.array_distinct(F.array_compact(F.array(*[template(x) for x in laws])))
-    return built.select("_ld_hash", made.alias("_ld_templates")).where(F.size("_ld_templates") > 0)
+    made = F.array_distinct(F.array_compact(F.array(*[template(x) for x in (["stays"] if min_share is None else ["stays", "common"])])))
+    built = built.select("_ld_hash", made.alias("_ld_templates")).where(F.size("_ld_templates") > 0)
+    out = spool(built.join(texts.select("_ld_hash", "lo", "hi"), "_ld_hash"))
+    discard(leaves, texts, sizes, cells)
+    return out
+
+
+def _enough(lines: DataFrame, of: DataFrame, key: str, min_docs: int) -> DataFrame:
+    """The keys of (_ld_hash, key) whose lines stand in min_docs documents or more."""
+    pairs = may_match(lines, of, "_ld_hash").select("_ld_hash", "_ld_id").distinct().join(of.select("_ld_hash", key).distinct(), "_ld_hash")
+    return pairs.select(key, "_ld_id").distinct().groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select(key)
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, keep_share: float = KEEP_SHARE, min_share: float | None = None, short: bool = False, exact: bool = False) -> DataFrame:
     """_ld_id, _ld_row and the array _ld_drop of line numbers to drop, of the texts that lose any."""
-    occurrences = spool(lines_of(docs, min_tokens, depth, short, keep_share if exact else None).drop("_ld_line"))
-    per_line = spool(occurrences.groupBy("_ld_leaf", "_ld_hash").agg(F.min("_ld_id").alias("lo"), F.max("_ld_id").alias("hi")))
-    own = templates(docs, per_line, min_tokens, depth, keep_share, min_share, exact)
-    of = F.explode(F.coalesce("_ld_templates", F.array("_ld_hash")))
-    per_line = spool(per_line.join(own, "_ld_hash", "left").select("_ld_hash", of.alias("_ld_template"), "lo", "hi"))
-    ends = per_line.groupBy("_ld_template").agg(F.min("lo").alias("keep"), F.max("hi").alias("last")).where("keep <> last").select("_ld_template", "keep")
+    lines = spool(lines_of(docs, min_tokens, depth, short, keep_share if exact else None))
+    own = templates(lines, keep_share, min_share)
+    some = own.select("_ld_hash", F.explode("_ld_templates").alias("_ld_template"), "lo", "hi")
+    ends = some.groupBy("_ld_template").agg(F.min("lo").alias("keep"), F.max("hi").alias("last")).where("keep <> last").select("_ld_template", "keep")
+    # a line that recurs as it is does so under its template, too
+    equal = lines.groupBy("_ld_hash").agg(F.min("_ld_id").alias("keep"), F.max("_ld_id").alias("last")).where("keep <> last").select("_ld_hash", "keep")
     if min_docs > 2:
-        docs_of = occurrences.join(per_line.select("_ld_hash", "_ld_template"), "_ld_hash").select("_ld_template", "_ld_id").distinct()
-        enough = docs_of.groupBy("_ld_template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
-        ends = ends.join(enough.select("_ld_template"), "_ld_template", "left_semi")
-    recurring = _join_dealt(per_line, ends, "_ld_template", "_ld_hash").select("_ld_hash", "keep")
-    if min_share is not None:
-        recurring = recurring.groupBy("_ld_hash").agg(F.min("keep").alias("keep"))
-    lost = _join_dealt(occurrences.select("_ld_id", "_ld_row", "_ld_no", "_ld_hash"), recurring, "_ld_hash", "_ld_id").where("_ld_id <> keep")
-    return lost.groupBy("_ld_id", "_ld_row").agg(F.collect_set("_ld_no").alias("_ld_drop"))
+        ends = ends.join(_enough(lines, some, "_ld_template", min_docs), "_ld_template", "left_semi")
+        equal = spool(equal)
+        equal = equal.join(_enough(lines, equal.withColumn("_ld_same", F.col("_ld_hash")), "_ld_same", min_docs), F.col("_ld_hash") == F.col("_ld_same"), "left_semi")
+    masked_too = some.select("_ld_hash", "_ld_template").join(spool(ends), "_ld_template").select("_ld_hash", "keep")
+    recurring = spool(masked_too.union(equal).groupBy("_ld_hash").agg(F.min("keep").alias("keep")))
+    lost = may_match(lines.select("_ld_id", "_ld_row", "_ld_no", "_ld_hash"), recurring, "_ld_hash").join(recurring, "_ld_hash").where("_ld_id <> keep")
+    lost = spool(lost.groupBy("_ld_id", "_ld_row").agg(F.collect_set("_ld_no").alias("_ld_drop")))
+    discard(lines, own, recurring)
+    return lost
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, depth: int = DEPTH, keep_share: float = KEEP_SHARE, counts: bool = False, min_share: float | None = None, short: bool = False, exact: bool = False) -> DataFrame:
@@ -150,8 +149,10 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens:
     lost = dropped_lines(docs, min_docs, min_tokens, depth, keep_share, min_share, short, exact)
     rows = docs.withColumn("_ld_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn("_ld_own", F.xxhash64("text"))
     joined = rows.join(lost, (rows["_ld_key"] == lost["_ld_id"]) & (rows["_ld_own"] == lost["_ld_row"]), "left")
-    lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("_ld_drop", i))
+    # the places that stay, by a hash set: array_contains would be quadratic in the lines of a text
+    joined = joined.withColumn("_ld_lines", F.when(F.col("_ld_drop").isNotNull(), F.split("text", "\n")))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_ld_lines") - 1), F.col("_ld_drop"))
+    kept = F.transform(stay, lambda i: F.get("_ld_lines", i))
     text = F.when(F.col("_ld_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
     out = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
