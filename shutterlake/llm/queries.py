@@ -143,20 +143,26 @@ from rows
 _OP6 = r"""
 with l as (
   select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as line_no from documents),
-m as (
-  select doc_id, line_no, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda t: case when regexp_matches(t, '[0-9]') then '<*>' else t end) as tokens from l),
-o as (select *, len(tokens) as n, tokens[1:3] as head from m where len(tokens) >= 4),
-e as (select n, head, tokens, min(doc_id) as lo, max(doc_id) as hi from o group by all),
-leaves as (select n, head from e group by all having count(*) > 1 and min(lo) <> max(hi)),
-x as (select e.*, unnest(tokens) as token, generate_subscripts(tokens, 1) as pos from e join leaves using (n, head)),
-st as (select n, head, pos, token, true as stays from x group by all having min(lo) <> max(hi)),
+w as (select doc_id, line_no, regexp_extract_all(line, '[^\x20\x09-\x0D]+') as words from l),
+m as (select *, list_transform(words, lambda t: case when regexp_matches(t, '[0-9]') then '<*>' else t end) as mask from w where len(words) > 0),
+o as (
+  select doc_id, line_no, len(words) as n, mask[1:3] as head, case when open then mask else words end as tokens, open
+  from (select *, len(words) >= 4 and len(list_filter(mask, lambda c: c <> '<*>')) >= 0.7 * len(mask) as open from m)),
+e as (select n, head, tokens, min(doc_id) as lo, max(doc_id) as hi from o where open group by all),
+leaves as (select n, head, count(*) as texts from e group by all having count(*) > 1 and min(lo) <> max(hi)),
+x as (select e.*, texts, unnest(tokens) as token, generate_subscripts(tokens, 1) as pos from e join leaves using (n, head)),
+st as (select n, head, pos, token, count(*) > 0.5 * any_value(texts) as common from x where token <> '<*>' group by n, head, pos, token having min(lo) <> max(hi)),
 g as (
-  select x.n, x.head, x.tokens, list(case when st.stays then x.token else '<*>' end order by x.pos) as cells
+  select x.n, x.head, x.tokens, list(case when st.token is not null then x.token else '<*>' end order by x.pos) as stays, list(case when st.common then x.token else '<*>' end order by x.pos) as common
   from x left join st on x.n = st.n and x.head = st.head and x.pos = st.pos and x.token = st.token group by all),
-t as (select tokens, cells from g where len(list_filter(cells, lambda c: c <> '<*>')) >= 0.7 * len(cells)),
-p as (select o.doc_id, o.line_no, case when t.cells is null then {'k': 'line', 'v': o.tokens} else {'k': 'template', 'v': t.cells} end as template from o left join t on o.tokens = t.tokens),
+t as (
+  select distinct tokens, cells from (select tokens, stays as cells from g union all select tokens, common from g)
+  where len(list_filter(cells, lambda c: c <> '<*>')) >= 0.7 * len(cells)),
+p as (
+  select o.doc_id, o.line_no, case when not open then {'k': 'line', 'v': o.tokens} when t.cells is null then {'k': 'mask', 'v': o.tokens} else {'k': 'template', 'v': t.cells} end as template
+  from o left join t on open and o.tokens = t.tokens),
 r as (select template, min(doc_id) as keep from p group by template having min(doc_id) <> max(doc_id)),
-gone as (select p.doc_id, p.line_no from p join r using (template) where p.doc_id <> keep),
+gone as (select distinct p.doc_id, p.line_no from p join r using (template) where p.doc_id <> keep),
 k as (
   select l.doc_id, count(*)::bigint as n_lines, count(gone.line_no)::bigint as n_dropped, coalesce(string_agg(line, chr(10) order by l.line_no) filter (where gone.line_no is null), '') as text
   from l left join gone on l.doc_id = gone.doc_id and l.line_no = gone.line_no group by l.doc_id)

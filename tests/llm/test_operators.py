@@ -1,5 +1,6 @@
 import hashlib
 import math
+import time
 import zlib
 from collections import defaultdict
 
@@ -152,12 +153,13 @@ def lines(spark, texts):
 def test_line_templates(spark, odd):
     df = lines(spark, ["user 17 logged in from berlin today\nonly here stands this line", "user 99 logged in from berlin today\nshort one", "a b c d x1\nshort one", None, ""])
     got = dict(pairs_of(linededup.drop_recurring_lines(df), "doc_id", "text"))
-    assert got == {0: df.first().text, 1: "short one", 2: "a b c d x1\nshort one", 3: None, 4: ""}
+    assert got == {0: df.first().text, 1: "short one", 2: "a b c d x1", 3: None, 4: ""}
     varied = lines(spark, [f"job started by {n} on the main queue of this host" for n in ("ann", "bob", "cid")])
     assert [r.text for r in linededup.drop_recurring_lines(varied).orderBy("doc_id").collect()] == [varied.first().text, "", ""]
     unlike = lines(spark, ["the big red fox ran far away over hills", "the big red car was not sold for months"])
     assert linededup.drop_recurring_lines(unlike).where("text = ''").count() == 0
     assert linededup.drop_recurring_lines(varied, min_docs=4).where("text = ''").count() == 0
+    assert [r.text for r in linededup.drop_recurring_lines(varied, min_docs=3).orderBy("doc_id").collect()] == [varied.first().text, "", ""]
     out = linededup.drop_recurring_lines(odd, counts=True)
     assert out.count() == odd.count() and out.where("doc_id = 1 and text = ''").count() == 0
     assert linededup.drop_recurring_lines(odd.limit(0)).count() == 0
@@ -167,26 +169,36 @@ def test_line_templates(spark, odd):
 def test_fields_of_few_values_stay_fields(spark, n):
     few = [("ann", "alpha"), ("bob", "beta"), ("ann", "beta"), ("bob", "alpha")] if n == 4 else [(f"n{chr(97 + i % 10)}", f"h{chr(97 + i % 7)}") for i in range(n)]
     df = lines(spark, [f"job started by {x} on the main queue of the host {y}" for x, y in few])
-    got = pairs_of(linededup.drop_recurring_lines(df, **linededup.WHOLE), "doc_id", "text")
+    got = pairs_of(linededup.drop_recurring_lines(df), "doc_id", "text")
     assert sorted(got) == [(0, df.first().text), *((i, "") for i in range(1, n))]
 
 
 def test_lines_of_numbers_recur_where_equal(spark):
     df = lines(spark, ["12 34 56 78\n| 12 | 15 | 18 |\nborn 12 May 1950\nuser 17 logged in from berlin today", "90 11 22 33\n| 12 | 15 | 19 |\nborn 3 May 1961\nuser 99 logged in from berlin today", "12 34  56 78\n| 12 | 15 | 18 |\nborn 12 May 1951"])
-    got = [r.text for r in linededup.drop_recurring_lines(df, **linededup.WHOLE).orderBy("doc_id").collect()]
+    got = [r.text for r in linededup.drop_recurring_lines(df).orderBy("doc_id").collect()]
     assert got == [df.first().text, "90 11 22 33\n| 12 | 15 | 19 |\nborn 3 May 1961", "born 12 May 1951"]
 
 
 def test_short_lines_recur_whole(spark):
     df = lines(spark, ["All rights reserved.\n\npage 1\nLes.", " All  rights\treserved.\n\npage 2\nLes.", "all rights reserved.\n \npage 1"])
-    got = [r.text for r in linededup.drop_recurring_lines(df, **linededup.WHOLE).orderBy("doc_id").collect()]
+    got = [r.text for r in linededup.drop_recurring_lines(df).orderBy("doc_id").collect()]
     assert got == [df.first().text, "\npage 2", "all rights reserved.\n "]
 
 
+def test_texts_of_many_lines(spark):
+    # 80,000 lines a text: the time a line takes must not grow with their number
+    long = "\n".join(f"this is one of a great many lines and its word is {'x' * (i % 50)}{chr(97 + i % 26)}" for i in range(80_000))
+    df = lines(spark, [long, long + "\nthe last line of all stays here"])
+    start = time.time()
+    got = [r.text for r in linededup.drop_recurring_lines(df).orderBy("doc_id").collect()]
+    assert got == [long, "the last line of all stays here"]
+    assert time.time() - start < 60
+
+
 def test_a_rare_template_of_a_leaf_recurs_too(spark):
     often = [f"the new job of {x} was put on the main queue" for x in ("ann", "bob", "cid", "dan")]
     df = lines(spark, [*often, *[f"the new job {x} never ran as its host fell" for x in ("alpha", "beta")]])
-    got = [r.text for r in linededup.drop_recurring_lines(df, **linededup.WHOLE).orderBy("doc_id").collect()]
+    got = [r.text for r in linededup.drop_recurring_lines(df).orderBy("doc_id").collect()]
     assert got == [often[0], "", "", "", "the new job alpha never ran as its host fell", ""]
 
 

@@ -13,7 +13,7 @@ from shutterlake.llm import queries as q
 
 
 def brute_lines(rows):
-    """doc_id: text, without lines that recur by linededup.WHOLE; ids are unique."""
+    """doc_id: text, without lines that recur; ids are unique."""
     keys, leaves = {}, defaultdict(lambda: defaultdict(set))
     for d, text in rows:
         for i, line in enumerate(text.split("\n")):
