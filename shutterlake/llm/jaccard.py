@@ -1,16 +1,20 @@
 """Similarity join of documents on word n-grams: every link of Jaccard similarity at or above a threshold.
 
-What must be found follows from T-occurrence: a pair at the threshold shares at
-least T shingles, so in any order of all shingles the first |set| - T + 1 of its
-two sets (the prefixes) meet. Shingles are ordered rarest first, by a count
-sketch over all documents, so the lists of prefix shingles are short. Pairs
-that meet in a list pass two lossless bounds, on their sizes and on a parity
-sketch (each differing shingle flips one bit, so the bits that differ are never
-more than the shingles that do). So prefix filtering finds the candidates, and no
-inverted list of the corpus is merged or probed. Each query document's plausible
-candidates alone, a chunk at a time, are put in a small inverted index in which
-DivideSkip (heap merge of short lists, binary probes of long ones) recounts their
-overlap; its counts are exact and decide the links.
+A T-occurrence search: two sets at the threshold share T shingles or more.
+DivideSkip sets the longest of a document's inverted lists aside, at most
+T - 1 of them, merges the others, and probes the long ones only for ids that can
+still reach T. Here this is done twice.
+
+Over the corpus, the lists set aside are the T - 1 longest, so the short ones are
+those of a set's |set| - T + 1 rarest shingles, by a count sketch over all
+documents; whoever occurs in one of them stays. Lists that hold one set alone go
+first. Pairs that meet then pass two lossless bounds, on their sizes and on a
+parity sketch (each differing shingle flips one bit, so the bits that differ are
+never more than the shingles that do).
+
+Candidates are then searched on an inverted index of their whole sets, a chunk at
+a time: short lists are merged by a heap, long ones probed by binary search, and
+the exact counts decide the links. No overlap is computed beside it.
 
 `similarity_join` returns all links between unlike sets, with membership and each
 row's number of links. `similarity_components` returns connectivity only, so that
@@ -39,20 +43,23 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shutterlake.llm.common import WORD
 from shutterlake.operators.components import connected_components
-from shutterlake.session import spool
+from shutterlake.operators.prefilter import may_match
+from shutterlake.session import discard, spool
 
 WIDTH, PERCENT = 5, 80
 #: log2 of the number of counters of the sketch that orders shingles; counters that documents share only blur the order.
 SKETCH_BITS = 22
-#: Candidates that are searched together.
-CHUNK = 256
+#: Candidates that are searched together, and bytes of their texts; whichever is reached first.
+CHUNK, CHUNK_BYTES = 256, 1 << 24
+#: Bytes of text that are worked on together; a bound on memory only.
+SLICE_BYTES = 1 << 21
 #: Share of list length and probe cost in DivideSkip's choice of the long lists.
 MU = 0.0085
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -198,16 +205,17 @@ def near_by_parity(a: list, b: list, n: np.ndarray, m: np.ndarray, percent: int)
     return ok
 
 
-def divide_skip(lists: list[list[int]], need: int) -> dict[int, int]:
-    """Ids that occur in `need` of the sorted lists or more, with their exact counts."""
+def divide_skip(lists: list[list[int]], need: int, work: dict | None = None) -> dict[int, int]:
+    """Ids that occur in `need` of the sorted lists or more, with their exact counts. work: gets the entries merged and the probes made."""
     if need < 1 or len(lists) < need:
         return {}
     lists = sorted(lists, key=len)
     skipped = min(need - 1, int(need / (MU * math.log2(max(2, len(lists[-1]))) + 1)))
     short, long = lists[: len(lists) - skipped], lists[len(lists) - skipped :]
-    out = {}
+    out, merged, probes = {}, 0, 0
     for one, run in groupby(heapq.merge(*short)):
         n = sum(1 for _ in run)
+        merged += n
         if n < need - skipped:
             continue
         left = len(long)
@@ -217,57 +225,79 @@ def divide_skip(lists: list[list[int]], need: int) -> dict[int, int]:
             i = bisect_left(x, one)
             n += i < len(x) and x[i] == one
             left -= 1
+            probes += 1
         if n >= need:
             out[one] = n
+    if work is not None:
+        work["merged"], work["probes"] = work.get("merged", 0) + merged, work.get("probes", 0) + probes
     return out
 
 
-def search(query: np.ndarray, others: list[np.ndarray], percent: int) -> list[int]:
-    """Which of the others reach the threshold with the query."""
-    if not len(query) or not others:
-        return []
-    at, who = [], []
-    for i, o in enumerate(others):
-        p = np.searchsorted(query, o)
-        p[p == len(query)] = 0
-        hit = p[query[p] == o]
-        at.append(hit)
-        who.append(np.full(len(hit), i))
-    at, who = np.concatenate(at), np.concatenate(who)
-    order = np.argsort(at, kind="stable")  # within a list the ids stay sorted
-    at, who = at[order], who[order]
-    cuts = np.flatnonzero(np.diff(at)) + 1
-    lists = [x.tolist() for x in np.split(who, cuts)] if len(at) else []
-    need = min(pair_overlap(len(query), len(o), percent) for o in others)
-    found = divide_skip(lists, need)
-    return [i for i, n in found.items() if n >= pair_overlap(len(query), len(others[i]), percent)]
-
-
-def _summarise(docs: DataFrame, width: int) -> DataFrame:
-    """Of every row doc_id, n, key, parity sketch and hash of the text (kind 0); and the count sketch of its task in segments (kind 1)."""
-    text = F.col("text").cast("string")
-    only = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"))
+class Index:
+    """Inverted lists of some sets: of each shingle the sorted places of the sets that hold it."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = [len(s) for s in sets]
+        every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        order = np.argsort(every, kind="stable")  # places stay sorted within a list
+        every = every[order]
+        self.who = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.starts = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.zeros(0, np.int64)
+        self.shingles = every[self.starts]
+        self.ends = np.append(self.starts[1:], len(every))
+
+    def lists(self, query: np.ndarray) -> list[list[int]]:
+        """The lists of the query's shingles that have one."""
+        at = np.searchsorted(self.shingles, query)
+        at[at == len(self.shingles)] = 0
+        at = at[self.shingles[at] == query] if len(self.shingles) else at[:0]
+        return [self.who[i:j].tolist() for i, j in zip(self.starts[at], self.ends[at], strict=True)]
+
+    def search(self, query: np.ndarray, percent: int, work: dict | None = None) -> list[int]:
+        """Places of the sets that reach the threshold with the query."""
+        some = [m for m in self.sizes if m]
+        if not len(query) or not some:
+            return []
+        found = divide_skip(self.lists(query), pair_overlap(len(query), min(some), percent), work)
+        return [i for i, n in found.items() if n >= pair_overlap(len(query), self.sizes[i], percent)]
+
+
+def _slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about SLICE_BYTES of text, so that what is made of a part is bounded too."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        cuts = np.flatnonzero(np.diff(sizes // SLICE_BYTES)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
+def _text(docs: DataFrame):
+    return docs["text"].cast("string")
+
+
+def _ranks(docs: DataFrame, width: int) -> bytes:
+    """One byte per counter of a count sketch of all documents' shingles: the logarithm of its sum over all tasks. The size is fixed by SKETCH_BITS."""
     segment = 1 << 16
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, low = np.zeros(1 << SKETCH_BITS, np.int64), np.uint64((1 << SKETCH_BITS) - 1)
-        names = ["kind", "doc_id", "n", "key", "parity", "seg", "counts", "hash"]
-        for batch in batches:
-            sets = shingle_sets(batch.column(1).to_pylist(), width)
-            if sets:
-                counts += np.bincount((np.concatenate(sets) & low).astype(np.int64), minlength=len(counts))
-            m = len(sets)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([parity(s) for s in sets], pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), batch.column(2)], names=names)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, low, seen = np.zeros(1 << SKETCH_BITS, np.int64), np.uint64((1 << SKETCH_BITS) - 1), []
+
+        def tally() -> None:
+            nonlocal counts, seen
+            if seen:
+                counts += np.bincount(np.concatenate(seen), minlength=len(counts))
+            seen = []
+
+        for batch in _slices(batches, 0):
+            seen.extend((s & low).astype(np.int32) for s in shingle_sets(batch.column(0).to_pylist(), width))
+            if sum(map(len, seen)) > len(counts) // 4:
+                tally()
+        tally()
         for i in range(0, len(counts), segment):
             part = counts[i : i + segment]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([i // segment], pa.int32()), pa.array([zlib.compress(part.astype("<i8").tobytes(), 1)], pa.binary()), pa.nulls(1, pa.int64())], names=names)
-
-    return only.mapInArrow(run, "kind int, doc_id long, n long, key binary, parity binary, seg int, counts binary, hash long")
-
-
-def _ranks(summary: DataFrame) -> bytes:
-    """One byte per counter: the logarithm of its sum over all tasks, compressed. The size is fixed by SKETCH_BITS."""
+                yield pa.RecordBatch.from_arrays([pa.array([i // segment], pa.int32()), pa.array([zlib.compress(part.astype("<i8").tobytes(), 1)], pa.binary())], names=["seg", "counts"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(zlib.decompress(b), "<i8") for b in pdf["counts"])
@@ -275,7 +305,8 @@ def _ranks(summary: DataFrame) -> bytes:
         return pd.DataFrame({"seg": [pdf["seg"].iloc[0]], "logs": [zlib.compress(logs.tobytes(), 1)]})
 
     out = np.zeros(1 << SKETCH_BITS, np.uint8)
-    for r in summary.where("kind = 1").select("seg", "counts").groupBy("seg").applyInPandas(add, "seg int, logs binary").collect():
+    counted = docs.select(_text(docs).alias("text")).mapInArrow(count, "seg int, counts binary")
+    for r in counted.groupBy("seg").applyInPandas(add, "seg int, logs binary").collect():
         part = np.frombuffer(zlib.decompress(r["logs"]), np.uint8)
         out[r["seg"] << 16 : (r["seg"] << 16) + len(part)] = part
     return out.tobytes()
@@ -290,28 +321,20 @@ def prefix(s: np.ndarray, logs: np.ndarray, percent: int) -> np.ndarray:
     return s[order[:size]]
 
 
-def _postings(docs: DataFrame, nodes: DataFrame, ranks: bytes, width: int, percent: int) -> DataFrame:
-    """h, key, n of every node's prefix."""
-    sent = docs.sparkSession.sparkContext.broadcast(ranks)
-    d = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
-    mine = d.join(nodes.where("n > 0").select("doc_id", "key"), d["_id"].eqNullSafe(F.col("doc_id"))).select("key", "text")
+def _summarise(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of every row doc_id, hash of the text, n, key, parity sketch and prefix."""
+    only = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(_text(docs)).alias("hash"), _text(docs).alias("text"))
+    sent = docs.sparkSession.sparkContext.broadcast(_ranks(docs, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = np.frombuffer(sent.value, np.uint8)
-        for batch in batches:
-            hs, keys, ns = [], [], []
-            for key, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), width), strict=True):
-                if set_key(s) == key:  # a repeated doc_id brings other texts too
-                    p = prefix(s, logs, percent)
-                    hs.append(p)
-                    keys.append(key)
-                    ns.append(len(s))
-            if hs:
-                lengths = [len(p) for p in hs]
-                who = np.repeat(np.arange(len(hs)), lengths)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(keys, pa.binary()).take(pa.array(who)), pa.array(np.repeat(np.array(ns, np.int64), lengths))], names=["h", "key", "n"])
+        for batch in _slices(batches, 2):
+            sets = shingle_sets(batch.column(2).to_pylist(), width)
+            rarest = [prefix(s, logs, percent).view(np.int64) for s in sets]
+            columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([parity(s) for s in sets], pa.binary()), pa.array(rarest, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["doc_id", "hash", "n", "key", "parity", "prefix"])
 
-    return mine.mapInArrow(run, "h long, key binary, n long")
+    return only.mapInArrow(run, "doc_id long, hash long, n long, key binary, parity binary, prefix array<long>")
 
 
 def _near_size(n, m, percent: int):
@@ -324,8 +347,10 @@ TILE = 2048
 SLAB = 1 << 19
 
 
-def _plausible(pairs: DataFrame, percent: int) -> DataFrame:
-    """u, v of the pairs (u, v, n, m, pu, pv) whose sketches may be of linked sets."""
+def _plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """u, v of the pairs whose sizes and sketches may be of linked sets."""
+    side = nodes.select("node", "n", "parity")
+    pairs = pairs.join(side.toDF("u", "n", "pu"), "u").join(side.toDF("v", "m", "pv"), "v").where(_near_size(F.col("n"), F.col("m"), percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -333,7 +358,7 @@ def _plausible(pairs: DataFrame, percent: int) -> DataFrame:
             ok = near_by_parity(batch.column("pu").to_pylist(), batch.column("pv").to_pylist(), n, m, percent)
             yield batch.select(["u", "v"]).filter(pa.array(ok))
 
-    return pairs.select("u", "v", "n", "m", "pu", "pv").mapInArrow(run, "u binary, v binary")
+    return pairs.select("u", "v", "n", "m", "pu", "pv").mapInArrow(run, "u long, v long")
 
 
 def tile_pairs(comp: np.ndarray, n: np.ndarray, block: np.ndarray, mixed: bool, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -349,134 +374,165 @@ def tile_pairs(comp: np.ndarray, n: np.ndarray, block: np.ndarray, mixed: bool,
             yield i[ok], j[ok]
 
 
-def _cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """u, v of plausible pairs that meet in a list of (h, key, n, comp, parity) and lie in different components."""
-    by_list = W.partitionBy("h")
-    tiles = F.ceil(F.count("*").over(by_list) / F.lit(TILE)).cast("int")
-    rows = lists.withColumn("tiles", tiles).withColumn("block", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Sorted rows in tables of whole groups of equal keys, and where groups begin and the last ends."""
+    left: pa.Table | None = None
+
+    def bounds(t: pa.Table) -> list[int]:
+        new = np.zeros(max(0, t.num_rows - 1), bool)
+        for k in keys:
+            x = t.column(k).to_numpy()
+            new |= x[1:] != x[:-1]
+        return [0, *(np.flatnonzero(new) + 1).tolist(), t.num_rows]
+
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = t if left is None else pa.concat_tables([left, t]).combine_chunks()
+        if t.num_rows:
+            cuts = bounds(t)
+            left = t.slice(cuts[-2])
+            if len(cuts) > 2:
+                yield t, cuts[:-1]
+    if left is not None and left.num_rows:
+        yield left, [0, left.num_rows]
+
+
+def _cross_pairs(lists: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """u < v of plausible pairs that meet in a list of (h, node, comp) and lie in different components."""
+    tiles = F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles")
+    heads = spool(lists.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), tiles).where("c0 <> c1").select("h", "tiles"))
+    rows = may_match(lists, heads, "h").join(heads, "h").join(nodes.select("node", "n", "parity"), "node")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    rows = rows.withColumn("other", other).select("h", F.least("block", "other").alias("t0"), F.greatest("block", "other").alias("t1"), "block", "key", "n", F.xxhash64("comp").alias("comp"), "parity")
+    rows = rows.withColumn("other", other).select("h", F.least("block", "other").alias("t0"), F.greatest("block", "other").alias("t1"), "block", "node", "n", "comp", "parity")
     rows = rows.repartition("h", "t0", "t1").sortWithinPartitions("h", "t0", "t1")
 
-    def compare(key, n, comp, block, sketch, mixed) -> Iterator[pa.RecordBatch]:
-        for i, j in tile_pairs(comp, n, block, mixed, percent):
-            ok = near_by_parity([sketch[x] for x in i], [sketch[x] for x in j], n[i], n[j], percent)
-            if ok.any():
-                yield pa.RecordBatch.from_arrays([pa.array([key[x] for x in i[ok]], pa.binary()), pa.array([key[x] for x in j[ok]], pa.binary())], names=["u", "v"])
+    def pairs(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left: pa.Table | None = None
-
-        def work(t: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal left
-            h, t0, t1 = (t.column(c).to_numpy() for c in ("h", "t0", "t1"))
-            cuts = np.flatnonzero((np.diff(h) != 0) | (np.diff(t0) != 0) | (np.diff(t1) != 0)) + 1
-            bounds = [0, *cuts.tolist(), len(h)]
-            if not last:
-                left = t.slice(bounds[-2])
-                bounds.pop()
-            key, sketch = t.column("key").to_pylist(), t.column("parity").to_pylist()
-            n, comp, block = (t.column(c).to_numpy() for c in ("n", "comp", "block"))
-            pairs = [(a, a + 1) for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b - a == 2]
-            if pairs:  # most lists are of two, and are compared all together
-                i, j = np.array(pairs).T
+        for t, cuts in _groups(batches, ["h", "t0", "t1"]):
+            sketch = t.column("parity").to_pylist()
+            node, n, comp, block, t0, t1 = (t.column(c).to_numpy() for c in ("node", "n", "comp", "block", "t0", "t1"))
+            two = [a for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a == 2]
+            if two:  # most lists are of two, and are compared all together
+                i = np.array(two)
+                j = i + 1
                 ok = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * percent) & ((t0[i] == t1[i]) | (block[i] != block[j]))
                 i, j = i[ok], j[ok]
                 ok = near_by_parity([sketch[x] for x in i], [sketch[x] for x in j], n[i], n[j], percent)
-                yield pa.RecordBatch.from_arrays([pa.array([key[x] for x in i[ok]], pa.binary()), pa.array([key[x] for x in j[ok]], pa.binary())], names=["u", "v"])
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                yield pairs(node[i[ok]], node[j[ok]])
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if b - a > 2:
-                    yield from compare(key[a:b], n[a:b], comp[a:b], block[a:b], sketch[a:b], t0[a] != t1[a])
+                    for i, j in tile_pairs(comp[a:b], n[a:b], block[a:b], t0[a] != t1[a], percent):
+                        i, j = i + a, j + a
+                        ok = near_by_parity([sketch[x] for x in i], [sketch[x] for x in j], n[i], n[j], percent)
+                        if ok.any():
+                            yield pairs(node[i[ok]], node[j[ok]])
 
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = t if left is None else pa.concat_tables([left, t]).combine_chunks()
-            left = None
-            if t.num_rows:
-                yield from work(t, False)
-        if left is not None:
-            yield from work(left, True)
-
-    found = rows.mapInArrow(run, "u binary, v binary")
-    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    found = spool(rows.mapInArrow(run, "u long, v long").distinct())
+    discard(heads)
+    return found
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the pairs (u, v) that reach the threshold. Each text is sent once per chunk that needs it."""
-    pairs = spool(pairs.select("u", "v").distinct())
-    per_u = pairs.groupBy("u").agg(F.count("*").alias("c"))
-    asked = pairs.join(per_u, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.ceil(F.col("c") / F.lit(CHUNK)).cast("long")).alias("part"))
-    needs = asked.select("u", "part", F.col("v").alias("key"), F.lit(1).alias("role")).union(asked.select("u", "part", F.col("u").alias("key"), F.lit(0).alias("role")).distinct())
-    used = pairs.select(F.col("u").alias("key")).union(pairs.select(F.col("v").alias("key"))).distinct()
-    wanted = nodes.join(used, "key", "left_semi").select("key", "doc_id")
-    d = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
-    texts = d.join(wanted, d["_id"].eqNullSafe(F.col("doc_id"))).select("key", "text")
-
-    def check(pdf: pd.DataFrame) -> pd.DataFrame:
-        query, sets, keys = None, [], []
-        seen = set()
-        for key, role, s in zip(pdf["key"], pdf["role"], shingle_sets(pdf["text"].tolist(), width), strict=True):
-            key = bytes(key)
-            if (key, role) in seen or set_key(s) != key:
-                continue
-            seen.add((key, role))
-            if role == 0:
-                query = s
-            else:
-                sets.append(s)
-                keys.append(key)
-        got = [] if query is None else search(query, sets, percent)
-        return pd.DataFrame({"u": [bytes(pdf["u"].iloc[0])] * len(got), "v": [keys[i] for i in got]}, columns=["u", "v"])
-
-    return needs.join(texts, "key").select("u", "part", "key", "role", "text").groupBy("u", "part").applyInPandas(check, "u binary, v binary")
+    """Those of the distinct pairs (u, v) that reach the threshold, spooled. Each text is sent once per task that needs it: v is looked for among u's candidates, which are dealt over tasks by the chunk."""
+    pairs = spool(pairs)
+    dealt = pairs.join(pairs.groupBy("u").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("long").alias("parts")), "u")
+    dealt = spool(dealt.select("u", "v", F.pmod(F.xxhash64("v"), F.col("parts")).alias("part")))
+    needs = dealt.select("u", "part", F.col("v").alias("node"), F.lit(1).alias("role")).union(dealt.select("u", "part", F.col("u").alias("node"), F.lit(0).alias("role")).distinct())
+    used = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    wanted = spool(nodes.select("node", "key", "hash").join(used, "node", "left_semi"))
+    only = docs.select(F.xxhash64(_text(docs)).alias("hash"), _text(docs).alias("text"))
+    # one text a node: copies go before the join with those that need it
+    texts = may_match(only, wanted, "hash").join(wanted, "hash").groupBy("node", "key").agg(F.first("text").alias("text"))
+    rows = needs.join(texts, "node").select("u", "part", "role", "node", "key", "text").repartition("u", "part").sortWithinPartitions("u", "part", "role")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, query, lot, size = None, None, [], 0
+
+        def search() -> Iterator[pa.RecordBatch]:
+            nonlocal lot, size
+            if lot and query is not None:
+                got = Index([s for _, s in lot]).search(query, percent)
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array([at[0]] * len(got), pa.int64()), pa.array([lot[i][0] for i in got], pa.int64())], names=["u", "v"])
+            lot, size = [], 0
+
+        for batch in _slices(batches, 5):
+            u, part, role, node, key, text = (batch.column(i).to_pylist() for i in range(6))
+            sets = shingle_sets(text, width)
+            for i, s in enumerate(sets):
+                if at != (u[i], part[i]):
+                    yield from search()
+                    at, query = (u[i], part[i]), None
+                if set_key(s) != key[i]:  # another text of the same hash
+                    continue
+                if role[i] == 0:
+                    query = s
+                    continue
+                lot.append((node[i], s))
+                size += s.nbytes
+                if len(lot) == CHUNK or size >= CHUNK_BYTES:
+                    yield from search()
+        yield from search()
+
+    links = spool(rows.mapInArrow(run, "u long, v long"))
+    discard(pairs, dealt, wanted)
+    return links
 
 
 def _indexed(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (doc_id, n, key, hash), nodes (one row per set), and the lists of two nodes or more with their least and greatest."""
+    """Rows (doc_id, n, key, hash), nodes (one row per set), and the lists (h, node, lo) of two nodes or more with their least."""
     if not 0 < percent <= 100:
         raise ValueError("percent must be in 1 .. 100")
-    summary = spool(_summarise(docs, width))
-    nodes = spool(summary.where("kind = 0 and n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("parity").alias("parity")))
-    by_list = W.partitionBy("h")
-    me = F.struct("key", "n")
-    lists = _postings(docs, nodes, _ranks(summary), width, percent)
-    lists = lists.withColumn("lo", F.min(me).over(by_list)).withColumn("hi", F.max(me).over(by_list)).where("lo.key <> hi.key")
-    return summary.where("kind = 0").select("doc_id", "n", "key", "hash"), nodes, spool(lists)
+    summary = spool(_summarise(docs, width, percent))
+    one = summary.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("hash").alias("hash"), F.min("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
+    nodes = spool(one.withColumn("node", F.monotonically_increasing_id()))
+    rows = spool(summary.select("doc_id", "n", "key", "hash"))
+    discard(summary)
+    postings = nodes.select("node", F.explode("prefix").alias("h"))
+    shared = postings.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("h", "lo")
+    shared = spool(shared)
+    lists = spool(may_match(postings, shared, "h").join(shared, "h").select("h", "node", "lo"))
+    discard(shared)
+    return rows, nodes, lists
 
 
 def _connecting(docs: DataFrame, nodes: DataFrame, lists: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (u, v) that connect what all links connect."""
-    sketch = nodes.select("key", "parity")
-    by_list = W.partitionBy("h")
-    me = F.struct("key", "n")
-
+    size = F.size("prefix")
     # what near copies were made from shares most of its prefix, and links to them where they don't link to each other
-    shared = lists.groupBy("key").agg((F.count("*") / (F.first("n") - F.ceil(F.first("n") * percent / 100) + 1)).alias("share"))
-    hub = F.max(F.struct("share", me.alias("me"))).over(by_list)["me"]
-    starred = lists.join(shared, "key").withColumn("hub", hub)
-    ends = starred.select("key", "n", F.explode(F.array("lo", "hub")).alias("end")).where("key <> end.key").where(_near_size(F.col("n"), F.col("end.n"), percent))
+    shared = lists.groupBy("node").agg(F.count("*").alias("c")).join(nodes.select("node", size.alias("size")), "node").select("node", "size", (F.col("c") / F.col("size")).alias("share"))
+    shared = spool(shared)
+    hubs = spool(lists.select("h", "node").join(shared, "node").groupBy("h").agg(F.max(F.struct("share", "node")).alias("hub")).select("h", F.col("hub.node").alias("hub")))
+    ends = lists.join(hubs, "h").select("node", F.explode(F.array("lo", "hub")).alias("end")).where("node <> end")
     # a quarter of the prefix; what this passes over is left to the second search
-    often = F.count("*") * 4 >= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    ends = ends.groupBy("key", "n", "end").agg(often.alias("often")).where("often").select(F.col("end.key").alias("u"), F.col("key").alias("v"), F.col("end.n").alias("m"), "n")
-    ends = ends.join(sketch.toDF("u", "pu"), "u").join(sketch.toDF("v", "pv"), "v")
-    links = spool(_verify(_plausible(ends, percent), docs, nodes, width, percent))
+    ends = ends.groupBy("node", "end").agg(F.count("*").alias("c")).join(shared, "node").where("c * 4 >= size").select(F.col("end").alias("u"), F.col("node").alias("v"))
+    links = _verify(_plausible(ends, nodes, percent), docs, nodes, width, percent)
+    discard(shared, hubs)
     found = spool(connected_components(links))
-
-    placed = lists.select("h", "key", "n").join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
-    placed = placed.withColumn("c0", F.min("comp").over(by_list)).withColumn("c1", F.max("comp").over(by_list)).where("c0 <> c1").drop("c0", "c1")
-    more = spool(_verify(_cross_pairs(placed.join(sketch, "key"), percent), docs, nodes, width, percent))
+    placed = lists.select("h", "node").join(found, "node", "left").select("h", "node", F.coalesce("component", "node").alias("comp"))
+    placed = spool(placed)
+    more = _verify(_cross_pairs(placed, nodes, percent), docs, nodes, width, percent)
+    discard(found, placed)
     return links.union(more)
 
 
 def _links(docs: DataFrame, nodes: DataFrame, lists: DataFrame, width: int, percent: int) -> DataFrame:
     """All links (u, v), u < v: every node is a component of its own, so that no pair is passed over."""
-    every = lists.select("h", "key", "n", F.col("key").alias("comp")).join(nodes.select("key", "parity"), "key")
-    return spool(_verify(_cross_pairs(every, percent), docs, nodes, width, percent))
+    return _verify(_cross_pairs(lists.select("h", "node", F.col("node").alias("comp")), nodes, percent), docs, nodes, width, percent)
+
+
+def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """key and comp of every node."""
+    return nodes.select("node", "key").join(connected_components(links), "node", "left").select("key", F.coalesce("component", "node").alias("comp"))
 
 
 def _placed(rows: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
     """rows with component_id."""
-    label = nodes.join(connected_components(links).withColumnRenamed("node", "key"), "key", "left").select("key", "doc_id", F.coalesce("component", "key").alias("comp"))
+    label = nodes.select("node", "key", "doc_id").join(connected_components(links), "node", "left").select("key", "doc_id", F.coalesce("component", "node").alias("comp"))
+    label = spool(label)
     least = label.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     label = label.join(least, "comp").select("key", "component_id")
     out = rows.join(label, "key", "left")
@@ -487,6 +543,7 @@ def similarity_components(docs: DataFrame, width: int = WIDTH, percent: int = PE
     """doc_id, n_shingles, component_id of every row. Links: 100 * intersection >= percent * union."""
     rows, nodes, lists = _indexed(docs, width, percent)
     out = _placed(rows, nodes, _connecting(docs, nodes, lists, width, percent))
+    discard(nodes, lists)
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
@@ -494,36 +551,28 @@ def similarity_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     """The whole join. Members: doc_id, n_shingles, set_key (null without words), component_id and n_links (other rows linked, copies too) of every row. Links: u, v (set_keys, u < v) of every two unlike sets at the threshold."""
     rows, nodes, lists = _indexed(docs, width, percent)
     links = _links(docs, nodes, lists, width, percent)
+    name = nodes.select("node", "key")
+    keyed = links.join(name.toDF("u", "ku"), "u").join(name.toDF("v", "kv"), "v")
+    keyed = spool(keyed.select(F.least("ku", "kv").alias("u"), F.greatest("ku", "kv").alias("v")))
     copies = rows.where("n > 0").groupBy("key").agg(F.count("*").alias("copies"))
-    ends = links.select(F.col("u").alias("key"), F.col("v").alias("other")).union(links.select("v", "u"))
+    ends = keyed.select(F.col("u").alias("key"), F.col("v").alias("other")).union(keyed.select("v", "u"))
     linked = ends.join(copies.toDF("other", "others"), "other").groupBy("key").agg(F.sum("others").alias("others"))
     counted = copies.join(linked, "key", "left").select("key", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     members = _placed(rows, nodes, links).join(counted, "key", "left")
+    discard(lists)
     own = F.when(F.col("n") > 0, F.col("key")).alias("set_key")
-    return members.select("doc_id", F.col("n").alias("n_shingles"), own, "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), links
-
-
-def keep_one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, by_row: bool = False) -> DataFrame:
-    """docs with one document of each component: the one of least doc_id, of its rows the first by text. Rows without a doc_id stay.
-
-    by_row: one row of each component, the first by doc_id (nulls last), set and text, whatever other rows have its doc_id; rows without words stay.
-    """
-    if by_row:
-        return _one_row_of_each(docs, width, percent)
-    kept = similarity_components(docs, width, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    found = docs.join(kept, docs["doc_id"] == kept["_kept"])
-    first = found.withColumn("_r", F.row_number().over(W.partitionBy("_kept").orderBy(F.xxhash64("text"), "text"))).where("_r = 1")
-    return first.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    return members.select("doc_id", F.col("n").alias("n_shingles"), own, "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), keyed
 
 
-def _one_row_of_each(docs: DataFrame, width: int, percent: int) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """docs with one row of each component, the first by doc_id (nulls last), set and text, whatever other rows have its doc_id; of rows equal in these, the least by all columns that have an order. Rows without words stay."""
     rows, nodes, lists = _indexed(docs, width, percent)
-    comp = connected_components(_connecting(docs, nodes, lists, width, percent)).toDF("key", "comp")
-    placed = rows.where("n > 0").join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    comp = _components(nodes, _connecting(docs, nodes, lists, width, percent))
+    placed = rows.where("n > 0").join(comp, "key")
     kept = placed.groupBy("comp").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key", "hash")).alias("k"))
-    kept = kept.select(F.col("k.doc_id").alias("_kept"), F.col("k.hash").alias("_hash"))
-    found = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_kept")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_hash")))
-    # what is left of a row's own repeats is one row
-    tie = F.row_number().over(W.partitionBy("_kept", "_hash").orderBy("text"))
-    first = found.withColumn("_r", tie).where("_r = 1")
-    return first.select(*docs.columns).unionByName(docs.where(~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(WORD)))
+    kept = spool(kept.select(F.col("k.doc_id").alias("_kept"), F.col("k.hash").alias("_hash")))
+    discard(rows, nodes, lists)
+    found = may_match(docs.withColumn("_hash", F.xxhash64(_text(docs))), kept, "_hash").join(kept, "_hash").where(F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")))
+    ordered = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    first = found.groupBy("_kept", "_hash").agg(F.min_by(F.struct(*docs.columns), F.struct(*ordered)).alias("_row"))
+    return first.select("_row.*").unionByName(docs.where(~F.coalesce(_text(docs), F.lit("")).rlike(WORD)))

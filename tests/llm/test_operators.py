@@ -2,7 +2,7 @@ import hashlib
 import math
 import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
@@ -259,7 +259,11 @@ def word_sets(rows, width):
         yield doc_id, {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
 
 
-def brute_components(rows, width, percent):
+def count_components(rows, width, percent):
+    return len({g for g, (_, s) in zip(*grouped(rows, width, percent), strict=True) if s})
+
+
+def grouped(rows, width, percent):
     sets = list(word_sets(rows, width))
     group = list(range(len(sets)))
     for i, (_, a) in enumerate(sets):
@@ -268,6 +272,11 @@ def brute_components(rows, width, percent):
             if a and b and 100 * len(a & b) >= percent * len(a | b):
                 old, new = group[i], group[j]
                 group = [new if g == old else g for g in group]
+    return group, sets
+
+
+def brute_components(rows, width, percent):
+    group, sets = grouped(rows, width, percent)
     least = {}
     for (d, s), g in zip(sets, group, strict=True):
         if d is not None:
@@ -287,8 +296,10 @@ def test_similarity_components_by_brute_force(spark, odd, width, percent):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("clash")).repartition(5)
     got = sorted(pairs_of(jaccard.similarity_components(df, width, percent), "doc_id", "n_shingles", "component_id"), key=str)
     assert got == brute_components(rows, width, percent)
-    kept = [r.doc_id for r in jaccard.keep_one_of_each(df, width, percent).collect()]
-    assert sorted(d for d in kept if d is not None) == sorted({c for d, _, c in got if d is not None and c == d})
+    kept = pairs_of(jaccard.keep_one_of_each(df, width, percent), "doc_id", "text")
+    wordless = [(d, t) for d, t in rows if not (t or "").encode().split()]
+    assert len(kept) == len(wordless) + count_components(rows, width, percent)
+    assert not Counter(kept) - Counter(rows) and not Counter(wordless) - Counter(kept)
 
 
 @pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80), (1, 50)])
@@ -318,9 +329,9 @@ def test_one_row_of_each_component_stays(spark):
     clean, alone = "a clean text of a number that comes twice in this table", "a text without a number that comes twice as a copy"
     rows = [(1, near + " end"), (2, near), (2, clean), (2, clean), (None, alone), (None, alone), (None, "another text without a number is here"), (2, ""), (2, None), (None, " ")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = pairs_of(jaccard.keep_one_of_each(df, by_row=True), "doc_id", "text")
+    got = pairs_of(jaccard.keep_one_of_each(df), "doc_id", "text")
     assert sorted(got, key=str) == sorted([rows[0], rows[2], rows[4], *rows[6:]], key=str)
-    assert jaccard.keep_one_of_each(df.limit(0), by_row=True).count() == 0
+    assert jaccard.keep_one_of_each(df.limit(0)).count() == 0
 
 
 def test_similarity_join_of_nothing(spark, odd):
@@ -340,6 +351,23 @@ def test_divide_skip():
         assert jaccard.divide_skip(lists, need) == want
 
 
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_the_index_finds_all_with_less_work_than_a_full_merge(percent):
+    rng = np.random.default_rng(percent)
+    base = [np.unique(rng.integers(0, 2**62, 300).astype(np.uint64)) for _ in range(4)]
+    sets = [np.unique(np.where(rng.random(len(b)) < 0.02 * i, rng.integers(0, 2**62, len(b)).astype(np.uint64), b)) for b in base for i in range(40)] + [np.zeros(0, np.uint64)]
+    index, least = jaccard.Index(sets), 0
+    for q in (base[0], sets[50], np.zeros(0, np.uint64), rng.integers(0, 2**62, 20).astype(np.uint64)):
+        work = {}
+        want = [i for i, s in enumerate(sets) if len(s) and len(q) and 100 * len(np.intersect1d(q, s)) >= percent * len(np.union1d(q, s))]
+        assert sorted(index.search(q, percent, work)) == want
+        entries = sum(map(len, index.lists(q)))
+        assert work.get("merged", 0) <= entries / 2 and work.get("merged", 0) + work.get("probes", 0) <= entries + len(q)
+        least = max(least, entries)
+    assert least > 1000
+    assert jaccard.Index([]).search(base[0], percent) == []
+
+
 def test_parity_never_loses_a_pair():
     rng = np.random.default_rng(5)
     for _ in range(200):
