@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shutterlake.llm.common import words
+from shutterlake.session import spool
 
 K, WIDTH = 128, 5
 #: Width of the hash range, and its least value.
@@ -58,7 +59,6 @@ def merge_sketches(df: DataFrame, keys: list[str], sketch: str = "sketch", k: in
     hashes = df.select(*keys, F.pmod(F.xxhash64(sketch), F.lit(64)).alias("_salt"), F.explode(sketch).alias("_h"))
     some = cut(cut(hashes, [*keys, "_salt"]), keys)
     got = some.groupBy(*keys).agg(F.sort_array(F.collect_list("_h")).alias(sketch))  # k hashes at most
-    null_safe = [df[c].eqNullSafe(got[c]) for c in keys]
     every = df.select(*keys).distinct()
     null_safe = [every[c].eqNullSafe(got[c]) for c in keys]
     return every.join(got, null_safe, "left").select(*[every[c] for c in keys], F.coalesce(got[sketch], F.array().cast("array<bigint>")).alias(sketch))
@@ -92,25 +92,58 @@ def fingerprint(sketch: str | Column) -> Column:
 
 #: Rows that a block of neighbouring ids holds, about; a block is hashed by one task.
 BLOCK_ROWS = 2_000
+#: Blocks at most, and sampled keys per block, from which the driver takes the bounds of blocks; their product bounds what it collects.
+MAX_BLOCKS, PER_BLOCK = 1 << 14, 16
+_CHUNK = 128
+
+
+def order_key(doc_id: str, text: str) -> Column:
+    """Text that sorts as (doc_id, first bytes of the text) do, null ids least: any 64-bit id, and no arithmetic that could overflow."""
+    signless = F.col(doc_id).bitwiseXOR(F.lit(-(1 << 63)))
+    start = F.hex(F.substring(F.col(text).cast("binary"), 1, 8))
+    return F.when(F.col(doc_id).isNull(), F.concat(F.lit("0"), start)).otherwise(F.concat(F.lit("1"), F.lpad(F.hex(signless), 16, "0"), start))
+
+
+def block_bounds(base: DataFrame, rows: int) -> list[str]:
+    """Keys that cut the rows in blocks of about so many, from a bounded sample."""
+    n = base.count()
+    blocks = min(MAX_BLOCKS, -(-n // max(1, rows)))
+    if blocks < 2:
+        return []
+    wanted = blocks * PER_BLOCK
+    sample = base if n <= 2 * wanted else base.sample(1.5 * wanted / n, seed=5)
+    keys = sorted(r[0] for r in sample.select(order_key("doc_id", "text")).limit(2 * wanted).collect())
+    return sorted({keys[len(keys) * i // blocks] for i in range(1, blocks)}) if keys else []
+
+
+def block_of(key: Column, bounds: list[str]) -> Column:
+    """How many bounds are no greater than the key; they are looked through in two steps."""
+    if not bounds:
+        return F.lit(0)
+    ends, every = (F.split(F.lit(",".join(x)), ",") for x in (bounds[_CHUNK - 1 :: _CHUNK], bounds))
+    passed = F.size(F.filter(ends, lambda x: x <= key)) if len(bounds) >= _CHUNK else F.lit(0)
+    return passed * _CHUNK + F.size(F.filter(F.slice(every, passed * _CHUNK + 1, F.lit(_CHUNK)), lambda x: x <= key))
 
 
 def with_next(docs: DataFrame, rows: int = BLOCK_ROWS, k: int = K, width: int = WIDTH) -> DataFrame:
     """doc_id, text, sketch, block, next_text, next_sketch: the next document's in descending doc_id, after the last the first's.
 
-    Ids are cut into blocks of equal width, each sorted by itself; texts move
-    once, and are hashed where they arrive, so that sketches do not move. What
-    the last row of a block needs is the first of the next block that has rows;
-    those few are looked up by block. Equal ids are ordered by text, descending;
-    null ids come last.
+    Rows are cut at sampled quantiles into blocks of about equal size, whatever
+    the ids, each sorted by itself; texts move once, and are hashed where they
+    arrive, so that sketches do not move. What the last row of a block needs is
+    the first of the next block that has rows; those few are looked up by block.
+    Equal ids are ordered by text, descending; null ids come last. Rows equal in
+    both share a block.
     """
+    spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    low, high, n = base.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    span = max(1, ((high or 0) - (low or 0) + 1) * rows // max(n, 1))
-    base = base.withColumn("block", F.coalesce(F.floor((F.col("doc_id") - F.lit(low or 0)) / F.lit(span)).cast("long"), F.lit(-1).cast("long")))
-    heads = base.groupBy("block").agg(F.max(F.struct("doc_id", "text")).alias("head"))
-    chain = W.orderBy(F.col("block").desc())  # one row per block
-    ids = heads.select("block", F.coalesce(F.lead("block").over(chain), F.max("block").over(W.partitionBy())).alias("next_block"))
-    over = ids.join(heads.select(F.col("block").alias("next_block"), F.col("head.text").alias("head_text")), "next_block").select("block", "head_text")
+    bounds = block_bounds(base, rows)
+    base = base.withColumn("_key", order_key("doc_id", "text"))
+    base = base.select("doc_id", "text", block_of(F.col("_key"), bounds).alias("block"))
+    heads = spool(base.groupBy("block").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("given"), "doc_id", "text")).alias("head")))
+    there = sorted((r[0] for r in heads.select("block").collect()), reverse=True)  # MAX_BLOCKS at most
+    follows = spark.createDataFrame(list(zip(there, [*there[1:], *there[:1]], strict=True)), "block int, next_block int")
+    over = F.broadcast(follows).join(heads.select(F.col("block").alias("next_block"), F.col("head.text").alias("head_text")), "next_block").select("block", "head_text")
     over = with_sketch(over, "head_text", "head_sketch", k, width)
     inside = W.partitionBy("block").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text").desc())
     placed = with_sketch(base.repartition("block"), "text", "sketch", k, width)
