@@ -9,14 +9,19 @@ is minimised (Kiryo et al. 2017; l is the logistic loss), where a step whose
 second part is negative climbs it back instead. g is a small network over
 features of the whole text; its logistic is the score, that quality is 1.
 
-The prior is the share of positives among the labelled rows of the training
-folds. Both samples are bounded: at most `sample` ids each, those of least hash.
-Features are shares, so a text's length does not matter, and are counted over
-bytes and words of the whole text.
+The prior is estimated from positives and unlabelled texts alone, by the best
+bin (Garg et al. 2021): a network fitted on half of both samples scores the other
+half; at any threshold, the share of unlabelled texts above it over the share of
+positives above it is no less than the prior but for chance, so the least such
+ratio plus its margin is taken. Labels of quality 0 are never used.
+
+Both samples are bounded: at most `sample` ids each, those of least hash, and
+one row an id, the one of least text hash. Features are shares, so a text's
+length does not matter, and are counted over bytes and words of the whole text.
 
 Cases: null text counts as empty, and gets a score too. No labels, or no
 positives: every score is 0.5 and every document is kept. Several labels of a
-doc_id: each counts. Repeated rows score alike; extra columns pass through
+doc_id: it is trusted if any is 1. Repeated rows score alike; extra columns pass through
 `with_score` unless they carry its names.
 """
 
@@ -31,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SAMPLE, THRESHOLD, FOLDS, SEED = 20_000, 0.3, 5, 11
-HIDDEN, STEPS, RATE, DECAY = 16, 600, 0.02, 1e-3
+HIDDEN, STEPS, PRIOR_STEPS, RATE, DECAY = 16, 600, 150, 0.02, 1e-3
 _ASCII_WORD = np.zeros(256, bool)
 _ASCII_WORD[[9, 10, 11, 12, 13, 32]] = True
 #: Byte classes whose shares are features; bytes of one class count together.
@@ -93,32 +98,58 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
+def _soft(x: np.ndarray) -> np.ndarray:
+    return np.logaddexp(0, x)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
+
+
+def risk_parts(gp: np.ndarray, gu: np.ndarray, prior: float) -> tuple[float, float]:
+    """prior * E_pos[l(g)], and what must not fall below 0: E_unl[l(-g)] - prior * E_pos[l(-g)]."""
+    return float(prior * _soft(-gp).mean()), float(_soft(gu).mean() - prior * _soft(gp).mean())
+
+
+def risk_slopes(gp: np.ndarray, gu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes by each logit of what a step descends: the sum of both parts, or the negative of the second where that is below 0."""
+    if risk_parts(gp, gu, prior)[1] >= 0:
+        return (-prior * _sigmoid(-gp) - prior * _sigmoid(gp)) / len(gp), _sigmoid(gu) / len(gu)
+    return prior * _sigmoid(gp) / len(gp), -_sigmoid(gu) / len(gu)
+
+
+def best_bin(positive: np.ndarray, unlabelled: np.ndarray, doubt: float = 0.1) -> float:
+    """The prior, from scores of positives and of unlabelled texts that no score was learned from."""
+    at = np.unique(positive)
+    above = lambda x: 1 - np.searchsorted(np.sort(x), at) / len(x)
+    p, u = above(positive), above(unlabelled)
+    margin = sum(np.sqrt(np.log(4 / doubt) / (2 * len(x))) for x in (positive, unlabelled))
+    best = int(np.argmin((u + margin) / p))
+    return float(min(1.0, u[best] / p[best]))
+
+
 class Network:
     """One hidden layer over standardised features; linear terms beside it."""
 
-    def __init__(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float):
+    def __init__(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS):
         rng = np.random.default_rng(SEED)
+        self.prior = prior
         self.mean, self.scale = unlabelled.mean(0), unlabelled.std(0) + 1e-3
         p, u = self._standard(positive), self._standard(unlabelled)
         d = p.shape[1]
         self.w = [rng.normal(0, 1 / np.sqrt(d), (d, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(d), np.zeros(1)]
         m, v = [np.zeros_like(x) for x in self.w], [np.zeros_like(x) for x in self.w]
-        for t in range(1, STEPS + 1):
-            gp, gu = self.logit(p), self.logit(u)
-            soft = lambda x: np.logaddexp(0, x)
-            negative = soft(gu).mean() - prior * soft(gp).mean()
-            sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -60, 60)))
-            if negative >= 0:
-                dp = (-prior * sig(-gp) - prior * sig(gp)) / len(gp)
-                du = sig(gu) / len(gu)
-            else:
-                dp, du = prior * sig(gp) / len(gp), -sig(gu) / len(gu)
-            grads = [a + b + DECAY * w for a, b, w in zip(self._back(p, dp), self._back(u, du), self.w, strict=True)]
-            for i, g in enumerate(grads):
+        for t in range(1, steps + 1):
+            for i, g in enumerate(self.gradient(p, u)):
                 m[i] = 0.9 * m[i] + 0.1 * g
                 v[i] = 0.999 * v[i] + 0.001 * g * g
                 self.w[i] = self.w[i] - RATE * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
 
+    def gradient(self, p: np.ndarray, u: np.ndarray) -> list[np.ndarray]:
+        """Of the weights: the step's slopes by standardised samples, and half the decay's squares."""
+        dp, du = risk_slopes(self.logit(p), self.logit(u), self.prior)
+        return [a + b + DECAY * w for a, b, w in zip(self._back(p, dp), self._back(u, du), self.w, strict=True)]
+
     def _standard(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.scale, -8, 8)
 
@@ -147,21 +178,49 @@ def _featured(docs: DataFrame, keep: list[str]) -> DataFrame:
     return only.mapInArrow(run, T.StructType([*[only.schema[c] for c in keep], T.StructField("features", T.ArrayType(T.DoubleType()))]))
 
 
+#: Positives that a prior can be estimated from; with fewer it is FEW_PRIOR.
+LEAST, FEW_PRIOR = 40, 0.5
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among the unlabelled, by the best bin over halves that learn for each other."""
+    if min(len(positive), len(unlabelled)) < LEAST:
+        return FEW_PRIOR
+    found = []
+    for i in (0, 1):
+        net = Network(positive[i::2], unlabelled[i::2], FEW_PRIOR, PRIOR_STEPS)
+        found.append(best_bin(net.logit(net._standard(positive[1 - i :: 2])), net.logit(net._standard(unlabelled[1 - i :: 2]))))
+    return min(0.99, max(0.01, float(np.mean(found))))
+
+
+def _some_ids(ids: DataFrame, sample: int, salt: str) -> DataFrame:
+    """At most `sample` distinct ids, those of least hash. A cut by the hash goes first, so that tasks do not send so many each."""
+    ids = ids.where("doc_id is not null").select("doc_id")
+    n = ids.agg(F.approx_count_distinct("doc_id")).first()[0]
+    h = F.xxhash64("doc_id", F.lit(salt))
+    if n > 4 * sample:
+        ids = ids.where(h < int(-(2**63) + 2**64 * 2 * sample / n))
+    return ids.distinct().orderBy(h, "doc_id").limit(sample)
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | None:
     """The network, from at most `sample` trusted positives and `sample` unlabelled documents."""
-    known = labels.where(~held_out() & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-    n, pos = known.agg(F.count("*"), F.count_if(F.col("quality") == 1)).first()
-    if not pos:
+    known = labels.where(~held_out() & (F.col("quality") == 1))
+    trusted = _some_ids(known, sample, "trusted").withColumn("trusted", F.lit(True))
+    ids = F.broadcast(trusted.union(_some_ids(docs, sample, "web").withColumn("trusted", F.lit(False))))  # at most 2 * sample ids
+    text = F.col("text").cast("string")
+    # one row an id, however often it repeats
+    one = docs.select("doc_id", text.alias("text")).join(ids, "doc_id").groupBy("doc_id", "trusted").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    got = _featured(one.select("doc_id", "trusted", F.col("t.text").alias("text")), ["doc_id", "trusted"]).toPandas().sort_values(["trusted", "doc_id"])
+    if got.empty:
         return None
-    trusted = known.where("quality = 1").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumn("trusted", F.lit(True))
-    web = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id", F.lit("web")), "doc_id").limit(sample).withColumn("trusted", F.lit(False))
-    ids = F.broadcast(trusted.union(web))  # at most 2 * sample ids
-    got = _featured(docs.join(ids, "doc_id"), ["doc_id", "trusted"]).orderBy("trusted", "doc_id").select("trusted", "features").toPandas()
     x = np.array(got["features"].tolist())
     mine = got["trusted"].to_numpy(bool)
     if not mine.any() or mine.all():
         return None
-    return Network(x[mine], x[~mine], min(0.99, max(0.01, pos / n)))
+    shuffled = np.random.default_rng(SEED).permutation  # ids may follow the order in which texts were written
+    positive, unlabelled = x[mine][shuffled(int(mine.sum()))], x[~mine][shuffled(int((~mine).sum()))]
+    return Network(positive, unlabelled, estimate_prior(positive, unlabelled))
 
 
 def with_score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, columns: list[str] | None = None) -> DataFrame:
