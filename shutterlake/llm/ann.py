@@ -7,13 +7,14 @@ candidates whose partial distance already says, at the test's confidence, that
 they are farther than the query's bound (after t of d rotated dimensions:
 partial * d / t > ((1 + EPSILON / sqrt(t)) * bound)**2). Survivors are measured
 exactly, on the original vectors in double precision. The bound of a query is
-its k-th distance in its nearest list, found first, and it tightens as a list
-is scanned.
+its k-th distance in its nearest list, which is searched first.
 
 The rotation and the centres are fitted on a sample of at most `sample` vectors
 (the least hashes of ids), every vector is indexed. The number of lists probed is the least
-that reached `recall` on queries of the sample. Lists are scanned in blocks of
-bounded size, so a hot list is many tasks. Equal vectors are indexed once, with
+that reached `recall` on queries of the sample. Lists are scanned in tiles of
+bounded numbers of candidates and queries, so a hot list is many tasks. Vectors
+are sent as they are (of floats, in single precision, which is exact) and turned
+where they arrive. Equal vectors are indexed once, with
 their k + 1 least ids, which is all that k neighbours can need of them.
 
 Cases: vectors that are null, empty, zero, or hold a null or non-finite
@@ -37,7 +38,9 @@ from pyspark.sql import functions as F
 from shutterlake.session import spool
 
 K, SAMPLE, RECALL, SEED = 10, 20_000, 0.96, 7
-EPSILON, COLUMN_BLOCK, SCAN_ROWS = 2.1, 16, 4096
+EPSILON, COLUMN_BLOCK = 2.1, 16
+#: Candidates and queries of a tile, about.
+SCAN_ROWS, QUERY_ROWS = 16_384, 65_536
 
 
 def valid(vec: Column) -> Column:
@@ -110,31 +113,34 @@ def scan(q_rot, q_raw, c_rot, c_raw, tie, bound: float, k: int) -> tuple[np.ndar
     return alive[best], dist[best]
 
 
-def _pack(x: np.ndarray) -> list[bytes]:
-    return [row.tobytes() for row in np.ascontiguousarray(x, np.float64)]
+def _pack(x: np.ndarray, kind: str) -> list[bytes]:
+    return [row.tobytes() for row in np.ascontiguousarray(x, kind)]
 
 
-def _stack(col: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(col), np.float64).reshape(len(col), -1)
+def _stack(col: pd.Series, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(col), kind).reshape(len(col), -1).astype(np.float64)
 
 
-def _scan_groups(index: DataFrame, probes: DataFrame, k: int) -> DataFrame:
-    """rep, cand, tie, score: the k nearest of each probed block. Both sides carry dim, list, part."""
+def _scan_groups(index: DataFrame, probes: DataFrame, k: int, model, kind: str) -> DataFrame:
+    """rep, cand, tie, score: the k nearest of each probed tile. Both sides carry dim, list, part, lot."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"rep": [], "cand": [], "tie": [], "score": []}, dtype="float64").astype({"rep": "int64", "cand": "int64", "tie": "int64"})
-        c_rot, c_raw, c_id, tie = _stack(left["rot"]), _stack(left["raw"]), left["rep"].to_numpy(np.int64), left["tie"].to_numpy(np.int64)
+        rotation = model.value[int(left["dim"].iloc[0])].rotation
+        c_raw, q_raw = _stack(left["raw"], kind), _stack(right["raw"], kind)
+        c_rot, q_rot = c_raw @ rotation, q_raw @ rotation
+        c_id, tie = left["rep"].to_numpy(np.int64), left["tie"].to_numpy(np.int64)
         reps, cands, ties, scores = [], [], [], []
-        for rep, rot, raw, bound in zip(right["rep"], right["rot"], right["raw"], right["bound"], strict=True):
-            at, dist = scan(np.frombuffer(rot), np.frombuffer(raw), c_rot, c_raw, tie, float("inf") if bound is None or bound != bound else float(bound), k)
+        for i, (rep, bound) in enumerate(zip(right["rep"], right["bound"], strict=True)):
+            at, dist = scan(q_rot[i], q_raw[i], c_rot, c_raw, tie, float("inf") if bound is None or bound != bound else float(bound), k)
             reps.append(np.full(len(at), rep, np.int64))
             cands.append(c_id[at])
             ties.append(tie[at])
             scores.append(dist)
         return pd.DataFrame({"rep": np.concatenate(reps), "cand": np.concatenate(cands), "tie": np.concatenate(ties), "score": np.concatenate(scores)})
 
-    by = ["dim", "list", "part"]
+    by = ["dim", "list", "part", "lot"]
     return index.groupBy(*by).cogroup(probes.groupBy(*by)).applyInPandas(run, "rep long, cand long, tie long, score double")
 
 
@@ -146,6 +152,7 @@ def _least(df: DataFrame, by: str, order: list[str], n: int) -> DataFrame:
 def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k nearest found. queries: a condition on id_col of `vectors`."""
     spark = vectors.sparkSession
+    kind = "<f4" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "<f8"
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.coalesce(queries, F.lit(False)).alias("asks")).where(F.col("id").isNotNull() & valid(F.col("vec")))
     rows = rows.withColumn("vec", F.transform("vec", lambda x: x + 0.0))  # one zero
     first = rows.withColumn("_r", F.dense_rank().over(W.partitionBy("vec").orderBy("id"))).where(F.col("_r") <= k + 1)
@@ -154,7 +161,10 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_col
     dims = {r["d"]: r["n"] for r in distinct.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n")).collect()}
     models = {}
     for d, n in dims.items():
-        fit = distinct.where(F.size("vec") == d).orderBy(F.xxhash64("tie"), "tie", "vec").limit(sample).select("vec").toPandas()
+        h, some = F.xxhash64("tie"), distinct.where(F.size("vec") == d)
+        if n > 4 * sample:  # so that tasks do not send so many each
+            some = some.where(h < int(-(2**63) + 2**64 * 2 * sample / n))
+        fit = some.orderBy(h, "tie", "vec").limit(sample).select("vec").toPandas()
         models[d] = Model(np.stack(fit["vec"].to_numpy()).astype(np.float64), n, k, recall)
     model = spark.sparkContext.broadcast(models)
 
@@ -163,9 +173,9 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_col
             for d, part in pdf.groupby("dim"):
                 x = np.stack(part["vec"].to_numpy()).astype(np.float64)
                 m = model.value[d]
-                yield pd.DataFrame({"dim": part["dim"], "list": m.lists_of(x), "rep": part["rep"], "tie": part["tie"], "rot": _pack(x @ m.rotation), "raw": _pack(x)})
+                yield pd.DataFrame({"dim": part["dim"], "list": m.lists_of(x), "rep": part["rep"], "tie": part["tie"], "raw": _pack(x, kind)})
 
-    index = spool(distinct.select("rep", "tie", "vec", F.size("vec").alias("dim")).mapInPandas(index_rows, "dim int, list long, rep long, tie long, rot binary, raw binary"))
+    index = spool(distinct.select("rep", "tie", "vec", F.size("vec").alias("dim")).mapInPandas(index_rows, "dim int, list long, rep long, tie long, raw binary"))
     # one number per list, at most sample / 16 of each length
     sizes = {(r["dim"], r["list"]): r["n"] for r in index.groupBy("dim", "list").agg(F.count("*").alias("n")).collect()}
     parts = {key: -(-n // SCAN_ROWS) for key, n in sizes.items()}
@@ -177,9 +187,8 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_col
             for d, part in pdf.groupby("dim"):
                 m = model.value[d]
                 x = np.stack(part["vec"].to_numpy()).astype(np.float64)
-                rots, raws = _pack(x @ m.rotation), _pack(x)
                 out = []
-                for rep, order, rot, raw in zip(part["rep"], m.order(x), rots, raws, strict=True):
+                for rep, order, raw in zip(part["rep"], m.order(x), _pack(x, kind), strict=True):
                     seen = used = 0
                     for one in order:
                         one = int(one)
@@ -188,18 +197,22 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_col
                             break
                         used += 1
                         if n:
-                            out += [(d, one, p, rep, rot, raw, seen == 0) for p in range(parts[d, one])]
+                            out += [(d, one, p, rep, raw, seen == 0) for p in range(parts[d, one])]
                             seen += n
-                yield pd.DataFrame(out, columns=["dim", "list", "part", "rep", "rot", "raw", "home"])
+                yield pd.DataFrame(out, columns=["dim", "list", "part", "rep", "raw", "home"])
 
     blocks = spark.createDataFrame([(d, i, p) for (d, i), p in parts.items()], "dim int, list long, parts long")
+    asked = spool(asking.select("rep").distinct())
+    lots = max(1, -(-asked.count() // QUERY_ROWS))
     index = index.join(F.broadcast(blocks), ["dim", "list"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts"))).drop("parts")
-    asked = distinct.join(asking.select("rep").distinct(), "rep", "left_semi").select("rep", "vec", F.size("vec").alias("dim"))
-    probes = spool(asked.mapInPandas(probe_rows, "dim int, list long, part long, rep long, rot binary, raw binary, home boolean"))
+    index = index.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
+    asked = distinct.join(asked, "rep", "left_semi").select("rep", "vec", F.size("vec").alias("dim"))
+    probes = asked.mapInPandas(probe_rows, "dim int, list long, part long, rep long, raw binary, home boolean")
+    probes = spool(probes.withColumn("lot", F.pmod(F.xxhash64("rep"), F.lit(lots)).cast("int")))
     none = F.lit(None).cast("double").alias("bound")
-    home = spool(_least(_scan_groups(index, probes.where("home").drop("home").withColumn("bound", none), k + 1), "rep", ["score", "tie"], k + 1).drop("_r"))
+    home = spool(_least(_scan_groups(index, probes.where("home").drop("home").withColumn("bound", none), k + 1, model, kind), "rep", ["score", "tie"], k + 1).drop("_r"))
     bounds = home.groupBy("rep").agg(F.when(F.count("*") > k, F.max("score")).alias("bound"))
-    rest = _scan_groups(index, probes.where("not home").drop("home").join(bounds, "rep", "left"), k + 1)
+    rest = _scan_groups(index, probes.where("not home").drop("home").join(bounds, "rep", "left"), k + 1, model, kind)
     found = _least(home.unionByName(rest), "rep", ["score", "tie"], 2 * (k + 1)).drop("_r")
     expanded = found.join(distinct.select(F.col("rep").alias("cand"), "ids"), "cand").select("rep", "score", F.explode("ids").alias("vec_id"))
     per_rep = _least(expanded, "rep", ["score", "vec_id"], 2 * (k + 1)).drop("_r")
