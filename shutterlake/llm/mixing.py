@@ -17,7 +17,7 @@ Targets: sources by code point, null last, weigh 5, 2, 1, repeating; they share
 the excess is shared again by weight.
 
 Cases: null text: size 0, takes nothing. Null source: a source of its own.
-Equal digests: ordered by doc_id, then text. Fully repeated rows count each. An
+Equal digests: ordered by doc_id, then size. Fully repeated rows count each. An
 empty table or one of sizes 0 gives targets of 0. Other columns are ignored.
 """
 
@@ -46,7 +46,7 @@ def weighted_targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share
     out = {}
     # the sources whose limit is lowest for their weight reach it first
     for name in sorted(size, key=lambda s: (repeats * size[s] / w[s], s is None, s or "")):
-        if out is not None and w[name] * (rest / total_w) > repeats * size[name]:
+        if w[name] * (rest / total_w) > repeats * size[name]:
             out[name] = float(repeats * size[name])
             rest -= repeats * size[name]
             total_w -= w[name]

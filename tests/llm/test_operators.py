@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import math
 import time
 import zlib
@@ -55,14 +56,18 @@ def brute_nearest(vectors, queries, k):
         yield q, d[:k]
 
 
-def test_ann_recall_and_exact_scores(spark, sf):
-    rows = spark.read.parquet(f"{sf}/embeddings.parquet")
+@pytest.mark.parametrize(("sf", "every", "tiles"), [("sf0.001", 10, None), ("sf0.1", 20, None), ("sf0.001", 10, (60, 7))])
+def test_ann_recall_and_exact_scores(spark, sf, every, tiles, monkeypatch):
+    if tiles:
+        monkeypatch.setattr(ann, "SCAN_ROWS", tiles[0])
+        monkeypatch.setattr(ann, "QUERY_ROWS", tiles[1])
+    rows = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
     vectors = {r.vec_id: [float(x) for x in r.embedding] for r in rows.collect()}
     got = defaultdict(dict)
-    for r in ann.nearest(rows, F.col("vec_id") % 10 == 0).collect():
+    for r in ann.nearest(rows, F.col("vec_id") % every == 0).collect():
         got[r.query_id][r.vec_id] = r.score
     hits = total = 0
-    for q, near in brute_nearest(vectors, [v for v in vectors if v % 10 == 0], 10):
+    for q, near in brute_nearest(vectors, [v for v in vectors if v % every == 0], 10):
         total += len(near)
         hits += sum(i in got[q] for _, i in near)
         assert all(abs(math.dist(vectors[q], vectors[i]) - s) < 1e-9 for i, s in got[q].items())
@@ -107,6 +112,35 @@ def test_min_cost_flow_uses_overlap_before_repeats():
     assert max(taken.values()) <= 20 and sum(max(0, t - 10) for t in taken.values()) == 5
 
 
+def least_cost(patterns, quotas, repeats):
+    """Least repetition cost of meeting as much of the quotas as can be met, by trying all."""
+    arcs = [(p, s) for p in patterns for s in p]
+    best = (0, 0)
+    for split in itertools.product(*[range(min(patterns[p] * repeats, quotas[s]) + 1) for p, s in arcs]):
+        taken, met = Counter(), Counter()
+        for (p, s), n in zip(arcs, split, strict=True):
+            taken[p] += n
+            met[s] += n
+        if all(taken[p] <= repeats * patterns[p] for p in patterns) and all(met[s] <= quotas[s] for s in quotas):
+            cost = sum(max(0, taken[p] - r * patterns[p]) for p in patterns for r in range(1, repeats))
+            best = min(best, (-sum(met.values()), cost))
+    return best
+
+
+@pytest.mark.parametrize("case", range(12))
+def test_min_cost_flow_by_trying_all(case):
+    rng = np.random.default_rng(case)
+    patterns = {p: int(rng.integers(1, 4)) for p in [("a",), ("a", "b"), ("b",), ("b", "c")][: 2 + case % 3]}
+    quotas = {s: int(rng.integers(0, 6)) for s in "abc"}
+    repeats = 2 + case % 2
+    flow = mixing.min_cost_flow(patterns, quotas, repeats)
+    taken = {p: sum(f.values()) for p, f in flow.items()}
+    met = {s: sum(f.get(s, 0) for f in flow.values()) for s in quotas}
+    assert all(taken[p] <= repeats * patterns[p] for p in patterns) and all(met[s] <= quotas[s] for s in quotas)
+    cost = sum(max(0, taken[p] - r * patterns[p]) for p in patterns for r in range(1, repeats))
+    assert (-sum(met.values()), cost) == least_cost(patterns, quotas, repeats)
+
+
 def test_mix(spark, odd):
     out = mixing.mixture(odd).collect()
     assert len(out) == odd.count()
@@ -242,6 +276,23 @@ def test_next_crosses_blocks(spark):
     assert got == {f"t{i}": f"t{ids[k - 1]}" for k, i in enumerate(ids)}
 
 
+@pytest.mark.parametrize("ids", [[0, 5, 2**62], [-(2**63), 5, 2**63 - 1], [-1, 0, None, 7], [*range(3000), 10**15, -(10**15)], [None] * 40, [7] * 40])
+def test_next_of_any_ids(spark, ids):
+    df = spark.createDataFrame([(d, f"{i:05d}") for i, d in enumerate(ids)], "doc_id long, text string").repartition(3)
+    out = sketches.with_next(df, rows=100 if len(ids) > 100 else 2).collect()
+    order = [t for _, _, t in sorted(((d is not None, d or 0, f"{i:05d}") for i, d in enumerate(ids)), reverse=True)]
+    assert {r.text: r.next_text for r in out} == dict(zip(order, [*order[1:], order[0]], strict=True))
+    sizes = Counter(r.block for r in out)
+    assert max(sizes.values()) <= max(12, len(ids) // 10) and len(out) == len(ids)
+
+
+def test_block_of_many_bounds(spark):
+    bounds = [f"{i:06d}" for i in range(0, 3000, 3)]
+    keys = [f"{i:06d}" for i in range(-3 % 7, 3100, 7)]
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    assert [r[0] for r in df.select(sketches.block_of(F.col("k"), bounds)).collect()] == [sum(b <= k for b in bounds) for k in keys]
+
+
 def test_sketch_estimates_and_merges(spark):
     a, b = " ".join(f"w{i}" for i in range(3000)), " ".join(f"w{i}" for i in range(1000, 4000))
     df = sketches.with_sketch(spark.createDataFrame([("x", a), ("x", b), ("y", None)], "g string, text string"))
@@ -422,6 +473,91 @@ def test_packing_balances_cost():
     assert abs(cost[0] - cost[1]) < 0.2 * max(cost.values())
 
 
+@pytest.mark.parametrize("case", range(30))
+def test_packing_assigns_as_plain_loops_do(case):
+    rng = np.random.default_rng(case)
+    sizes = [int(x) for x in rng.integers(0, 40, rng.integers(1, 30))]
+    room = packing.capacities(sum(sizes), 32, True)
+    left, spent, pieces, want = [*room], [0.0] * len(room), [(n, i, 0) for i, n in enumerate(sizes) if n], []
+    while pieces:
+        n, doc, start = sorted(pieces, key=lambda p: (-p[0], p[1], p[2]))[0]
+        pieces.remove((n, doc, start))
+        able = [k for k in range(len(room)) if left[k] >= n]
+        k = min(able, key=lambda k: (spent[k], k)) if able else max(range(len(room)), key=lambda k: (left[k], -k))
+        take = min(n, left[k])
+        if take < n:
+            pieces.append((n - take, doc, start + take))
+        want.append((doc, start, take, k))
+        left[k] -= take
+        spent[k] += packing.cost(take)
+    assert packing.assign(sizes, room) == want and not any(left)
+
+
+def plain_risk(gp, gu, prior):
+    loss = lambda x: math.log1p(math.exp(-x))
+    first = prior * sum(loss(g) for g in gp) / len(gp)
+    second = sum(loss(-g) for g in gu) / len(gu) - prior * sum(loss(-g) for g in gp) / len(gp)
+    return first, second
+
+
+def test_risk_and_gradient():
+    rng = np.random.default_rng(3)
+    seen = set()
+    for prior, shift in itertools.product((0.2, 0.6, 0.95), (-4.0, 0.0, 4.0)):  # the second part is above and below 0
+        net = quality.Network(rng.normal(1, 1, (25, 4)), rng.normal(0, 1, (40, 4)), prior, steps=3)
+        net.w[4] = np.array([shift])
+        p, u = rng.normal(1, 1, (25, 4)), rng.normal(0, 1, (40, 4)) - (shift < 0)
+        first, second = quality.risk_parts(net.logit(p), net.logit(u), prior)
+        assert (first, second) == pytest.approx(plain_risk(net.logit(p).tolist(), net.logit(u).tolist(), prior))
+        seen.add(second >= 0)
+
+        def objective():
+            a, b = plain_risk(net.logit(p).tolist(), net.logit(u).tolist(), prior)
+            return (a + b if second >= 0 else -b) + quality.DECAY / 2 * sum(float((w * w).sum()) for w in net.w)
+
+        for w, g in zip(net.w, net.gradient(p, u), strict=True):
+            for at in np.ndindex(w.shape):
+                kept, w[at] = w[at], w[at] + 1e-5
+                high = objective()
+                w[at] = kept - 1e-5
+                low = objective()
+                w[at] = kept
+                assert (high - low) / 2e-5 == pytest.approx(g[at], abs=1e-6)
+    assert seen == {True, False}
+
+
+@pytest.mark.parametrize("prior", [0.2, 0.5, 0.85])
+def test_prior_is_estimated_without_negatives(prior):
+    rng = np.random.default_rng(4)
+    draw = lambda n, y: rng.normal(1.5 * y, 1, (n, 3))
+    n = int(3000 * prior)
+    unlabelled = rng.permutation(np.concatenate([draw(n, 1), draw(3000 - n, -1)]))
+    assert abs(quality.estimate_prior(draw(2000, 1), unlabelled) - prior) < 0.08
+    assert quality.estimate_prior(draw(5, 1), unlabelled) == quality.FEW_PRIOR
+
+
+def test_quality_of_repeated_ids(spark):
+    good, bad = "a plain sentence of words that reads well and ends here.", "$$$ ### !!! @@@"
+    docs = spark.createDataFrame([(1, good)] * 3000 + [(2, bad)] * 50 + [(None, bad)] * 50 + [(i, good if i % 2 else bad) for i in range(3, 200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)] * 3000 + [(i, i % 2) for i in range(3, 200)] + [(5, None), (None, 1)], "doc_id long, quality int")
+    rows = {}
+    frame, quality_rows = quality._featured, quality._some_ids(docs, 10, "web")
+    assert quality_rows.count() == 10 == quality_rows.distinct().count()
+
+    def counted(df, keep):
+        rows["n"] = df.count()
+        return frame(df, keep)
+
+    quality._featured = counted
+    try:
+        net = quality.fit(docs, labels)
+    finally:
+        quality._featured = frame
+    assert rows["n"] <= 2 * 199 and net is not None
+    out = quality.scores(docs, labels)
+    assert out.count() == docs.count()
+
+
 def test_quality(spark, odd):
     sf = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
