@@ -74,15 +74,15 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _simhash_sql(source: str, keys: str) -> str:
+def simhash_sql(source: str, keys: str) -> str:
     bits = " + ".join(f"(case when sum((h >> {b}) & 1) * 2 > count(*) then {1 << b} else 0 end)" for b in range(HASH_BITS))
     return f"select {keys}, ({bits})::bigint as hash from (select {keys}, ('0x' || substr(md5(t), 1, 15))::bigint as h from (select {keys}, unnest(list_distinct(string_split(lower(x), ' '))) as t from {source})) group by {keys}"
 
 
-HASHES_SQL = f"hashes as materialized ({_simhash_sql('(select doc_id, text as x from documents)', 'doc_id')})"
+HASHES_SQL = f"hashes as materialized ({simhash_sql('(select doc_id, text as x from documents)', 'doc_id')})"
 FRAMES_SQL = (
     "lines as materialized (select doc_id, unnest(l) as x, (generate_subscripts(l, 1) - 1)::double as ts from (select doc_id, list_filter(string_split(text, chr(10)), lambda s: trim(s) <> '') as l from documents)), "
-    f"frames as materialized ({_simhash_sql('lines', 'doc_id, ts')}), media as materialized (select doc_id as path, max(ts) as duration from frames group by doc_id)"
+    f"frames as materialized ({simhash_sql('lines', 'doc_id, ts')}), media as materialized (select doc_id as path, max(ts) as duration from frames group by doc_id)"
 )
 INVENTORY_SQL = """inventory as materialized (
   select d.doc_id, source || '/' || lang || '/doc_' || d.doc_id || '.' || (['jpg', 'JPG', 'png', 'mp4', 'mov', 'txt'])[d.doc_id % 6 + 1] as path,

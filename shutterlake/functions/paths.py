@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shutterlake.functions import formats
@@ -53,11 +52,31 @@ def relative_target(template: str, seed: str = "0") -> Column:
     return F.when(named, whole).otherwise(F.concat(whole, F.lit("/"), formats.basename("path")))
 
 
-def settle_conflicts(df: DataFrame, dst: str = "dst", key: str = "path", seed: str = "0") -> DataFrame:
-    """Every file but the first (by key) of a target gets a suffix of eight digits made of its path."""
-    order = F.row_number().over(W.partitionBy(dst).orderBy(key))
-    tag = F.concat(F.lit("_"), F.substring(F.md5(F.concat(F.col(key), F.lit(":conflict:"), F.lit(seed))), 1, 8))
-    base, ext = formats.stem(F.col(dst)), formats.raw_extension(F.col(dst))
-    folder = formats.dirname(F.col(dst))
-    renamed = F.concat(F.when(folder == "", "").otherwise(F.concat(folder, F.lit("/"))), base, tag, F.when(ext == "", "").otherwise(F.concat(F.lit("."), ext)))
-    return df.withColumn("_n", order).withColumn(dst, F.when(F.col("_n") > 1, renamed).otherwise(F.col(dst))).drop("_n")
+def settle_conflicts(df: DataFrame, dst: str = "dst", key: str = "path", seed: str = "0", taken: DataFrame | None = None) -> DataFrame:
+    """Every file but the first (by key) of a target gets a suffix made of its path; where `taken` (a column of the target's name) has the target, the first too.
+
+    Eight digits; sixteen for those that still meet, as among many files of one name some will.
+    """
+    out = df
+    for digits in (8, 16):
+        first = out.groupBy(dst).agg(F.min(key).alias("_first"))  # combined before it moves, so that a common name is no hot key
+        if taken is not None:
+            first = first.join(taken.select(F.col(dst).alias(dst)).distinct().withColumn("_there", F.lit(True)), dst, "left")
+        else:
+            first = first.withColumn("_there", F.lit(None).cast("boolean"))
+        tag = F.concat(F.lit("_"), F.substring(F.md5(F.concat(F.col(key), F.lit(":conflict:"), F.lit(seed))), 1, digits))
+        base, ext = formats.stem(F.col(dst)), formats.raw_extension(F.col(dst))
+        folder = formats.dirname(F.col(dst))
+        renamed = F.concat(F.when(~F.col(dst).contains("/"), "").otherwise(F.concat(folder, F.lit("/"))), base, tag, F.when(ext == "", "").otherwise(F.concat(F.lit("."), ext)))
+        meets = (F.col(key) != F.col("_first")) | F.coalesce("_there", F.lit(False))
+        out = out.join(first, dst).withColumn(dst, F.when(meets, renamed).otherwise(F.col(dst))).drop("_first", "_there")
+    return out.select(*df.columns)
+
+
+def relative_path(path: Column, folder: str) -> Column:
+    """The path as seen from a folder, with ../ where it lies outside, and slashes for backslashes."""
+    parts = lambda c: F.filter(F.split(F.replace(c, F.lit("\\"), F.lit("/")), "/"), lambda x: x != "")
+    p, f = parts(path), parts(F.lit(folder))
+    up_to = F.least(F.size(p), F.size(f))
+    same = F.aggregate(F.sequence(F.lit(1), F.greatest(up_to, F.lit(1))), F.lit(0), lambda n, i: F.when((n == i - 1) & (i <= up_to) & (F.get(p, i - 1) == F.get(f, i - 1)), i).otherwise(n))
+    return F.array_join(F.concat(F.array_repeat(F.lit(".."), F.size(f) - same), F.slice(p, same + 1, F.greatest(F.size(p), F.lit(1)))), "/")

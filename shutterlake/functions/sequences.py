@@ -14,23 +14,35 @@ def frame_costs(a: np.ndarray, b: np.ndarray, low_byte: bool = False) -> np.ndar
     return d / 64
 
 
+def warped_costs(costs: np.ndarray, m: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The cheapest path's cost through the first m[i] rows and n[i] columns of each matrix costs[i], all matrices at once by antidiagonals."""
+    count, rows, cols = costs.shape
+    out = np.full(count, np.inf)
+    before, last = np.full((count, rows + 1), np.inf), np.full((count, rows + 1), np.inf)
+    last[:, 0] = 0  # the start, at antidiagonal 0 of a table with a border
+    for d in range(2, rows + cols + 1):
+        now = np.full((count, rows + 1), np.inf)
+        i = np.arange(max(1, d - cols), min(rows, d - 1) + 1)
+        # from above and from the left on the antidiagonal before, from the corner on the one before that
+        corner = last[:, i - 1] if d == 2 else before[:, i - 1]
+        sides = np.minimum(last[:, i - 1], last[:, i]) if d > 2 else np.full((count, len(i)), np.inf)
+        now[:, i] = costs[:, i - 1, d - i - 1] + np.minimum(corner, sides)
+        ends = np.flatnonzero(m + n == d)
+        out[ends] = now[ends, m[ends]]
+        before, last = (last, now) if d > 2 else (np.full((count, rows + 1), np.inf), now)
+    return out
+
+
 def dtw_similarity(a: np.ndarray, b: np.ndarray, low_byte: bool = False) -> float:
     """1 - the cheapest path's cost / the longer length. An empty side is infinitely far."""
     m, n = len(a), len(b)
     if not m or not n:
         return 1.0 if m == n else -np.inf
-    costs = frame_costs(a, b, low_byte)
-    row = np.full(n + 1, np.inf)
-    row[0] = 0
-    for i in range(m):
-        new = np.full(n + 1, np.inf)
-        best = np.minimum(row[:-1], row[1:])
-        left = np.inf
-        for j in range(n):
-            left = costs[i, j] + min(best[j], left)
-            new[j + 1] = left
-        row = new
-    return float(1 - row[n] / max(m, n))
+    return float(1 - warped_costs(frame_costs(a, b, low_byte)[None], np.array([m]), np.array([n]))[0] / max(m, n))
+
+
+#: Cells of the matrices that are walked together.
+CELLS = 1 << 18
 
 
 def video_similarity(hash_a, ts_a, duration_a: float, hash_b, ts_b, duration_b: float, step: float = 1.0, threshold: float = 2.0, low_byte: bool = False) -> float:
@@ -41,11 +53,32 @@ def video_similarity(hash_a, ts_a, duration_a: float, hash_b, ts_b, duration_b:
     else:
         short, long, ts = np.asarray(hash_b), np.asarray(hash_a), np.asarray(ts_a, float)
         width, whole = duration_b, duration_a
-    best, start = 0.0, 0.0
+    starts, start = [], 0.0
     while start <= whole - width:
-        window = long[(ts >= start) & (ts <= start + width)]
-        best = max(best, dtw_similarity(window, short, low_byte))
-        if best >= threshold:
-            break
+        starts.append(start)
         start += step
+    costs = frame_costs(long, short, low_byte) if len(long) and len(short) else np.zeros((len(long), len(short)))
+    inside = [np.flatnonzero((ts >= s) & (ts <= s + width)) for s in starts]
+    best, at = 0.0, 0
+    while at < len(inside) and best < threshold:
+        longest = max(1, max(map(len, inside)))
+        lot = inside[at : at + max(1, CELLS // (longest * max(1, len(short))))]
+        if threshold <= 1:
+            lot = lot[: 4 if at == 0 else 64]  # it may stop soon
+        at += len(lot)
+        sizes = np.array([len(x) for x in lot])
+        got = np.full(len(lot), -np.inf)
+        if len(short):
+            some = np.flatnonzero(sizes)
+            if len(some):
+                table = np.zeros((len(some), int(sizes[some].max()), len(short)))
+                for i, w in enumerate(some):
+                    table[i, : sizes[w]] = costs[lot[w]]
+                got[some] = 1 - warped_costs(table, sizes[some], np.full(len(some), len(short))) / np.maximum(sizes[some], len(short))
+        else:
+            got[sizes == 0] = 1.0
+        for s in got:  # in order: a window after the first at the threshold is not looked at
+            best = max(best, float(s))
+            if best >= threshold:
+                break
     return best

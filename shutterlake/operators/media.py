@@ -13,6 +13,7 @@ from shutterlake.config import Params
 from shutterlake.functions.phash import image_similarity
 from shutterlake.functions.sequences import video_similarity
 from shutterlake.operators.neighbours import hash_pairs
+from shutterlake.session import spool
 
 
 def pair_class(a: str | Column, b: str | Column) -> Column:
@@ -31,37 +32,45 @@ def exploded(media: DataFrame) -> DataFrame:
     return media.select("path", "duration", F.posexplode("frames").alias("pos", "frame")).select("path", "duration", "pos", F.col("frame.timestamp").alias("ts"), F.col("frame.hash").alias("hash"))
 
 
-def image_video_similarity(media: DataFrame) -> DataFrame:
-    """a (image), b (video), similarity: the best of all frames, 0 at least, of every pair."""
-    f = exploded(media)
-    images = f.where("duration = 0 and pos = 0").select(F.col("path").alias("a"), F.col("hash").alias("ha"))
-    videos = f.where("duration <> 0").select(F.col("path").alias("b"), F.col("hash").alias("hb")).distinct()
-    s = images.join(videos).groupBy("a", "b").agg(F.max(image_similarity("ha", "hb")).alias("s"))
-    return s.select("a", "b", F.greatest("s", F.lit(0.0)).alias("similarity"))
+def _side(f: DataFrame, key: str, hash_col: str, duration: str) -> DataFrame:
+    return f.select(F.col("path").alias(key), F.col("duration").alias(duration), F.col("hash").alias(hash_col))
+
+
+def image_video_similarity(media: DataFrame, least: float) -> DataFrame:
+    """a (image), b (video), similarity: the best of all frames, of the pairs that reach `least`."""
+    f = spool(exploded(media))
+    images, videos = f.where("duration = 0 and pos = 0"), f.where("duration <> 0").select("path", "duration", "hash").distinct()
+    near = hash_pairs(images, videos, int(64 * (1 - least) + 1e-9))
+    s = _side(images, "a", "ha", "da").join(near, "ha").join(_side(videos, "b", "hb", "db"), "hb").groupBy("a", "b").agg(F.min("distance").alias("d"))
+    return s.select("a", "b", (1 - F.col("d") / F.lit(64.0)).alias("similarity")).where(F.col("similarity") >= least)
 
 
 def candidates(media: DataFrame, p: Params) -> DataFrame:
     """a < b, class and the nearest frames' distance of files with a pair of frames near enough for their class.
 
     Lossless for videos too: a warped path of at least max(m, n) cells and a
-    cost of at most (1 - t) * max(m, n) has a cell of cost 1 - t or less.
+    cost of at most (1 - t) * max(m, n) has a cell of cost 1 - t or less. Images
+    are joined with images at their own, smaller distance.
     """
     f = exploded(media)
-    firsts = f.where("duration = 0 and pos = 0 or duration <> 0").select("path", "duration", "hash").distinct()
-    near = hash_pairs(firsts, firsts, max(p.max_bits("II"), p.max_bits("IV"), p.max_bits("VV")))
-    x = firsts.select(F.col("path").alias("a"), F.col("duration").alias("da"), F.col("hash").alias("ha"))
-    y = firsts.select(F.col("path").alias("b"), F.col("duration").alias("db"), F.col("hash").alias("hb"))
-    kind = pair_class("da", "db")
-    allowed = F.when(kind == "II", p.max_bits("II")).when(kind == "IV", p.max_bits("IV")).otherwise(p.max_bits("VV"))
-    met = x.join(near, "ha").join(y, "hb").where("a < b").withColumn("pair_class", kind).where(F.col("distance") <= allowed)
-    return met.groupBy("a", "b", "pair_class").agg(F.min("distance").alias("distance"))
+    firsts = spool(f.where("duration = 0 and pos = 0 or duration <> 0").select("path", "duration", "hash").distinct())
+    images, videos = firsts.where("duration = 0"), firsts.where("duration <> 0")
+    ways = [(images, images, "II"), (images, videos, "IV"), (videos, videos, "VV")]
+    every = None
+    for x, y, kind in ways:
+        near = hash_pairs(x, y, p.max_bits(kind))
+        met = _side(x, "x", "ha", "dx").join(near, "ha").join(_side(y, "y", "hb", "dy"), "hb")
+        met = met.where("x < y" if kind != "IV" else "x <> y").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min("distance").alias("distance"))
+        met = met.select("a", "b", F.lit(kind).alias("pair_class"), "distance")
+        every = met if every is None else every.unionByName(met)
+    return every
 
 
 def similarity_edges(media: DataFrame, p: Params = Params()) -> DataFrame:
     """a < b, similarity, pair_class of every pair at or above its class's threshold."""
     if p.no_exact_neighbours and p.least_threshold >= 1:
         return media.sparkSession.createDataFrame([], "a string, b string, similarity double, pair_class string")
-    found = candidates(media, p)
+    found = spool(candidates(media, p))
     direct = found.where("pair_class <> 'VV'").select("a", "b", (1 - F.col("distance") / F.lit(64.0)).alias("similarity"), "pair_class")
     side = lambda n: media.select(F.col("path").alias(n), F.col("duration").alias(f"d{n}"), F.transform("frames", lambda f: f["hash"]).alias(f"h{n}"), F.transform("frames", lambda f: f["timestamp"]).alias(f"t{n}"))
     pairs = found.where("pair_class = 'VV'").select("a", "b").join(side("a"), "a").join(side("b"), "b")
@@ -70,6 +79,16 @@ def similarity_edges(media: DataFrame, p: Params = Params()) -> DataFrame:
     return every.where(F.col("similarity") >= threshold(F.col("pair_class"), p))
 
 
+def connecting_edges(media: DataFrame, p: Params = Params()) -> DataFrame:
+    """a, b: edges that connect what similarity_edges connects. Files of equal duration and frames are linked to the first of them alone, so that no group of copies is written out as pairs."""
+    if p.no_exact_neighbours and p.least_threshold >= 1:
+        return similarity_edges(media, p).select("a", "b")
+    same = media.groupBy("duration", "frames").agg(F.min("path").alias("_first"))
+    same = spool(same)
+    copies = media.join(same, (media["duration"] == same["duration"]) & (media["frames"] == same["frames"])).select(F.col("_first").alias("a"), F.col("path").alias("b")).where("a <> b")
+    return similarity_edges(same.withColumnRenamed("_first", "path"), p).select("a", "b").unionByName(copies)
+
+
 def warp_pairs(pairs: DataFrame, p: Params, early_exit: bool = True) -> DataFrame:
     """a, b, similarity of pairs with hashes (ha, hb), times (ta, tb) and durations (da, db)."""
     stop = p.video_similarity if early_exit else 2.0

@@ -1,42 +1,67 @@
 """Range and nearest-neighbour joins over 64-bit hashes.
 
-Hashes within k bits agree on one of k + 1 bands of bits, so an equi-join on
-(band, value) with the distance as a residual loses nothing. Equal hashes are
+Cut in m blocks of bits, hashes within k bits agree on m - k blocks or more. So
+an equi-join on every choice of m - k blocks, with the distance as a residual,
+loses nothing. More blocks make longer keys, which fewer hashes share by chance,
+but more of them; their number follows the number of hashes. Equal hashes are
 joined once, and rows join back by hash.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shutterlake.functions.phash import hamming
+from shutterlake.session import discard, spool
 
 BITS = 64
+#: Keys of a hash at most.
+MAX_KEYS = 128
+#: Points of a block that open queries of knn_join are compared with.
+POINT_ROWS = 100_000
+
+
+def blocks_for(n: int, k: int) -> int:
+    """How many blocks make the join of n hashes within k bits cheapest: keys made, and candidates met by chance."""
+    able = [m for m in range(k + 1, min(BITS, k + 12) + 1) if comb(m, k) <= MAX_KEYS] or [k + 1]
+    return min(able, key=lambda m: comb(m, k) * (1 + n / 2.0 ** (BITS * (m - k) / m)))
+
 
+def masks(k: int, blocks: int) -> list[int]:
+    """The bits of each choice of blocks - k blocks."""
+    cuts = [BITS * i // blocks for i in range(blocks + 1)]
+    cell = [(1 << hi) - (1 << lo) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+    return [sum(c) for c in combinations(cell, blocks - k)]
 
-def bands(h: str | Column, k: int) -> Column:
-    """One (band, value) per band."""
+
+def bands(h: str | Column, k: int, blocks: int | None = None) -> Column:
+    """One (band, value) per choice of blocks."""
     h = F.col(h) if isinstance(h, str) else h
-    n = k + 1
-    cuts = [BITS * i // n for i in range(n + 1)]
-    cell = lambda i, lo, hi: F.struct(F.lit(i).alias("band"), (h if hi - lo == BITS else F.shiftrightunsigned(h, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))).alias("value"))
-    return F.array(*[cell(i, cuts[i], cuts[i + 1]) for i in range(n)])
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    return F.array(*[F.struct(F.lit(i).alias("band"), h.bitwiseAND(F.lit(signed(m)).cast("long")).alias("value")) for i, m in enumerate(masks(k, blocks or k + 1))])
+
+
+def _hashes(df: DataFrame, col: str, name: str) -> DataFrame:
+    return df.select(F.col(col).alias(name)).where(F.col(name).isNotNull()).distinct()
 
 
 def hash_pairs(left: DataFrame, right: DataFrame, k: int, a: str = "hash", b: str = "hash") -> DataFrame:
     """Distinct (ha, hb, distance) of two tables' distinct hashes within k bits."""
-    x = left.select(F.col(a).alias("ha")).where("ha is not null").distinct()
-    y = right.select(F.col(b).alias("hb")).where("hb is not null").distinct()
-    d = hamming("ha", "hb")
-    if k <= 0:
-        return x.join(y, F.col("ha") == F.col("hb")).select("ha", "hb", F.lit(0).alias("distance"))
     if k >= BITS:
         raise ValueError("k must be below 64")
-    x = x.select("ha", F.explode(bands("ha", k)).alias("cell")).select("ha", "cell.*")
-    y = y.select("hb", F.explode(bands("hb", k)).alias("cell")).select("hb", "cell.*")
-    found = x.join(y, ["band", "value"]).withColumn("distance", d).where(F.col("distance") <= k)
+    x = spool(_hashes(left, a, "ha"))
+    y = x.select(F.col("ha").alias("hb")) if left is right and a == b else spool(_hashes(right, b, "hb"))
+    if k <= 0:
+        return x.join(y, F.col("ha") == F.col("hb")).select("ha", "hb", F.lit(0).alias("distance"))
+    m = blocks_for(max(x.count(), y.count()), k)
+    x = x.select("ha", F.explode(bands("ha", k, m)).alias("cell")).select("ha", "cell.*")
+    y = y.select("hb", F.explode(bands("hb", k, m)).alias("cell")).select("hb", "cell.*")
+    found = x.join(y, ["band", "value"]).withColumn("distance", hamming("ha", "hb")).where(F.col("distance") <= k)
     return found.select("ha", "hb", "distance").distinct()
 
 
@@ -52,33 +77,42 @@ def range_join(queries: DataFrame, points: DataFrame, k: int, q: str = "query",
     return hits.select(q, p, "distance")
 
 
-def knn_join(queries: DataFrame, points: DataFrame, n: int, q: str = "query", p: str = "point", first_bits: int = 3, excluding_self: bool = True) -> DataFrame:
+def _against_all(queries: DataFrame, points: DataFrame, total: int, n: int, q: str, p: str, excluding_self: bool) -> DataFrame:
+    """The n nearest of all points: the queries go to every block of points, and each block keeps n of its own."""
+    blocks = max(1, -(-total // POINT_ROWS))
+    asked = queries.select(q, F.col("hash").alias("ha")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    held = points.select(p, F.col("hash").alias("hb")).withColumn("block", F.pmod(F.xxhash64(p), F.lit(blocks)).cast("int"))
+    near = asked.join(held, "block").select(q, p, "block", hamming("ha", "hb").alias("distance"))
+    if excluding_self:
+        near = near.where(F.col(q) != F.col(p))
+    some = near.withColumn("rank", F.row_number().over(W.partitionBy(q, "block").orderBy("distance", p))).where(F.col("rank") <= n).drop("rank", "block")
+    return some.withColumn("rank", F.row_number().over(W.partitionBy(q).orderBy("distance", p))).where(F.col("rank") <= n).select(q, p, "distance", "rank")
+
+
+def knn_join(queries: DataFrame, points: DataFrame, n: int, q: str = "query", p: str = "point", first_bits: int = 3, last_bits: int = 7, excluding_self: bool = True) -> DataFrame:
     """query, point, distance, rank of the n nearest points; equal distances by point.
 
     The radius grows until every query has n points within it: a round asks only
-    the queries that lack some, so most are settled by short bands.
+    the queries that lack some, so most are settled by long keys. Beyond
+    last_bits keys of few bits hold most points; the queries still open are then
+    compared with all points, in blocks.
     """
-    from shutterlake.session import spool
-
-    done, open_queries, k = None, queries, first_bits
-    order = F.row_number().over(W.partitionBy(q).orderBy("distance", p))
+    points = spool(points.select(p, "hash").where("hash is not null"))
+    done, open_queries, k = None, spool(queries.select(q, "hash").where("hash is not null")), first_bits
     total = points.count()
     need = min(n, max(0, total - (1 if excluding_self else 0)))
-    while True:
-        if k < 16:
-            near = range_join(open_queries, points, k, q, p)
-        else:  # bands of few bits hold most points; what is left is a plain product of the open queries
-            near = open_queries.select(q, F.col("hash").alias("ha")).crossJoin(points.select(p, F.col("hash").alias("hb"))).select(q, p, hamming("ha", "hb").alias("distance"))
+    while k <= last_bits:
+        near = range_join(open_queries, points, k, q, p)
         if excluding_self:
             near = near.where(F.col(q) != F.col(p))
-        ranked = near.withColumn("rank", order).where(F.col("rank") <= n)
-        if k >= 16:
-            return ranked if done is None else done.unionByName(ranked)
-        ranked = spool(ranked)
+        ranked = spool(near.withColumn("rank", F.row_number().over(W.partitionBy(q).orderBy("distance", p))).where(F.col("rank") <= n).select(q, p, "distance", "rank"))
         full = ranked.where(F.col("rank") == need).select(q)
         settled = ranked.join(full, q, "left_semi")
         done = settled if done is None else done.unionByName(settled)
-        open_queries = spool(open_queries.join(full, q, "left_anti"))
+        before, open_queries = open_queries, spool(open_queries.join(full, q, "left_anti"))
+        discard(before)
         if open_queries.isEmpty():
             return done
         k = 2 * k + 1
+    rest = _against_all(open_queries, points, total, n, q, p, excluding_self)
+    return rest if done is None else done.unionByName(rest)

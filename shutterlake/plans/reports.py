@@ -10,7 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shutterlake.functions import formats, text
-from shutterlake.functions.paths import has_geo
+from shutterlake.functions.paths import has_geo, relative_path
+from shutterlake.session import spool
 
 BATCH = 1000
 
@@ -53,14 +54,18 @@ def run_summary(assigned: DataFrame, errors: DataFrame | None = None) -> DataFra
 
 def report_batches(sets: DataFrame, batch: int = BATCH) -> DataFrame:
     """batch, sets, representatives, duplicates of the reports; sets are numbered by best path."""
-    placed = sets.withColumn("batch", F.floor((F.row_number().over(W.orderBy("best_path")) - 1) / batch).cast("long"))
+    # places across partitions: sorted once, and numbered from where each partition begins
+    part = spool(sets.select("best_path", "representatives", "duplicates").orderBy("best_path").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
+    begins = part.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("least"))
+    begins = begins.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # a row a partition
+    placed = part.join(F.broadcast(begins), "part").withColumn("batch", F.floor((F.col("before") + F.col("at") - F.col("least")) / batch).cast("long"))
     return placed.groupBy("batch").agg(F.count("*").alias("sets"), F.sum(F.size("representatives")).cast("long").alias("representatives"), F.sum(F.size("duplicates")).cast("long").alias("duplicates"))
 
 
 def report_items(assigned: DataFrame, folder: str) -> DataFrame:
     """cluster_id, place, and the HTML of every file of a duplicate set, best first."""
     esc = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
-    src = esc(F.when(F.col("path").startswith(folder.rstrip("/") + "/"), F.substring(F.col("path"), len(folder.rstrip("/")) + 2, 1 << 20)).otherwise(F.replace("path", F.lit("\\"), F.lit("/"))))
+    src = esc(relative_path(F.col("path"), folder))
     line = lambda name, value, when: F.when(when, F.concat(F.lit(f"<li>{name}: "), value, F.lit("</li>"))).otherwise("")
     area = (F.col("width") != 0) & (F.col("height") != 0)
     body = F.concat(

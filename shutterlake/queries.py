@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from shutterlake import fixtures as fx
 from shutterlake.config import Params
 from shutterlake.fixtures import FRAMES_SQL, HASHES_SQL, INVENTORY_SQL, table
+from shutterlake.fixtures import simhash_sql as _simhash_sql
 from shutterlake.functions import formats, text
 from shutterlake.functions.frames import in_range, reduce_indices, select_adaptive
 from shutterlake.functions.paths import placeholder, relative_target, settle_conflicts
@@ -20,7 +21,7 @@ from shutterlake.operators import ranking as rk
 from shutterlake.operators.neighbours import knn_join, range_join, self_pairs
 from shutterlake.plans import reports
 from shutterlake.plans.transfer import transfer_plan
-from shutterlake.session import ship
+from shutterlake.session import ship, spool
 from shutterlake.sources.cache import config_struct, hits, misses
 from shutterlake.sources.files import content_hash, split_valid
 
@@ -229,7 +230,19 @@ def range_search(spark, sf_dir):
 def knn(spark, sf_dir):
     s = _signs(spark, sf_dir)
     asked = s.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), "hash")
-    near = knn_join(asked, s.select(F.col("vec_id").alias("point"), "hash"), 5, first_bits=16)
+    near = knn_join(asked, s.select(F.col("vec_id").alias("point"), "hash"), 5)
+    return near.select("query", "point", F.col("distance").cast("int").alias("distance"), F.col("rank").cast("int").alias("rank"))
+
+
+@query(f"""with {HASHES_SQL} select query, point, distance, rank from (
+    select q.doc_id as query, p.doc_id as point, bit_count(xor(q.hash, p.hash))::int as distance,
+      (row_number() over (partition by q.doc_id order by bit_count(xor(q.hash, p.hash)), p.doc_id))::int as rank
+    from hashes q join hashes p on q.doc_id % 100 = 0 and q.doc_id <> p.doc_id) where rank <= 2""")
+def knn_documents(spark, sf_dir):
+    """Documents have near copies, so some queries are settled by a small radius."""
+    h = spool(fx.hashes(spark, sf_dir))
+    asked = h.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query"), "hash")
+    near = knn_join(asked, h.select(F.col("doc_id").alias("point"), "hash"), 2)
     return near.select("query", "point", F.col("distance").cast("int").alias("distance"), F.col("rank").cast("int").alias("rank"))
 
 
@@ -246,9 +259,9 @@ _IV = f"""with {FRAMES_SQL}, i as (select f.doc_id as a, f.hash as ha from frame
   v as (select distinct f.doc_id as b, f.hash as hb from frames f join media m on m.path = f.doc_id and m.duration <> 0)"""
 
 
-@query(f"{_IV} select a, b, greatest(max(1 - bit_count(xor(ha, hb)) / 64.0::double), 0) as similarity from i join v on true group by a, b")
+@query(f"{_IV} select a, b, max(1 - bit_count(xor(ha, hb)) / 64.0::double) as similarity from i join v on bit_count(xor(ha, hb)) <= 6 group by a, b having max(1 - bit_count(xor(ha, hb)) / 64.0::double) >= 0.9")
 def image_video_best(spark, sf_dir):
-    return md.image_video_similarity(fx.media(spark, sf_dir))
+    return md.image_video_similarity(fx.media(spark, sf_dir), 0.9)
 
 
 @query(f"""{_IV} select least(a, b) as a, greatest(a, b) as b, max(1 - bit_count(xor(ha, hb)) / 64.0::double) as similarity, 'IV' as pair_class from i join v on true
@@ -260,12 +273,46 @@ def adaptive_edges(spark, sf_dir):
     return e.where(F.col("similarity") >= md.threshold(F.col("pair_class"), P))
 
 
-@query()
+def _warped_sql(limit: str = "") -> str:
+    """CTEs from seq (id, d, h, t) and asked (a, b) to windows (a, b, start, similarity): rows of the table of path costs, one after the other."""
+    cost = "bit_count(xor(long[i], short[x[1]::int])) / 64.0::double"
+    return f"""sides as (
+    select a, b, case when x.d <= y.d then x.h else y.h end as short, case when x.d <= y.d then y.h else x.h end as whole, case when x.d <= y.d then y.t else x.t end as t, least(x.d, y.d) as w, greatest(x.d, y.d) - least(x.d, y.d) as rest
+    from asked join seq x on x.id = a join seq y on y.id = b),
+  starts as (select *, unnest(range(0, floor(rest)::bigint + 1))::double as start from sides),
+  frames_of as materialized (select a, b, start, short, list_transform(list_filter(list_zip(whole, t), lambda z: z[2] >= start and z[2] <= start + w), lambda z: z[1]) as long from starts),
+  dp(a, b, start, i, row) as (
+    select a, b, start, 0, list_concat([0::double], list_transform(short, lambda x: 'infinity'::double)) from frames_of
+    union all
+    select f.a, f.b, f.start, i + 1, list_reduce(list_transform(range(1, len(short) + 1), lambda j: [j::double]), lambda acc, x: list_append(acc, {cost.replace("[i]", "[i + 1]")} + least(row[x[1]::int], row[x[1]::int + 1], acc[x[1]::int])), ['infinity'::double])
+    from dp join frames_of f on f.a = dp.a and f.b = dp.b and f.start = dp.start where i < len(long){limit}),
+  windows as materialized (
+    select f.a, f.b, f.start, case when len(long) = 0 or len(short) = 0 then '-infinity'::double else 1 - row[-1] / greatest(len(long), len(short)) end as similarity
+    from dp join frames_of f on f.a = dp.a and f.b = dp.b and f.start = dp.start and i = len(long))"""
+
+
+#: Frames stand at whole seconds without gaps here, so a window has as many as the shorter video; a pair can reach the threshold only if the frames of the shorter are near enough to any of the longer.
+_VV = f"""{FRAMES_SQL},
+  vf as materialized (select f.doc_id as id, f.ts, f.hash, duration as d from frames f join media m on m.path = f.doc_id and m.duration <> 0),
+  vh as materialized (select distinct hash from vf),
+  vp as materialized (select x.hash as ha, y.hash as hb from vh x join vh y on bit_count(xor(x.hash, y.hash)) <= {P.max_bits("VV")}),
+  met as (select distinct x.id as a, y.id as b, x.d as da, y.d as db from (select distinct id, d, hash from vf) x join vp on ha = x.hash join (select distinct id, d, hash from vf) y on y.hash = hb where x.id < y.id),
+  least_costs as (select a, b, least(da, db) + 1 as n, x.ts, min(bit_count(xor(x.hash, y.hash))) as c from met join vf x on x.id = case when da <= db then a else b end join vf y on y.id = case when da <= db then b else a end group by all),
+  asked as materialized (select a, b from least_costs group by a, b, n having sum(c) <= {1 - P.video_similarity} * 64 * n + 1e-6),
+  seq as materialized (select id, d, list(hash order by ts) as h, list(ts order by ts) as t from vf where id in (select a from asked union select b from asked) group by id, d),
+  {_warped_sql()},
+  vv as materialized (select a, b, arg_min(similarity, start) as similarity from windows where similarity >= {P.video_similarity} group by a, b)"""
+
+
+@query(f"with recursive {_VV} select a, b, similarity, 'VV' as pair_class from vv")
 def video_edges(spark, sf_dir):
     return md.similarity_edges(fx.media(spark, sf_dir), P).where("pair_class = 'VV'")
 
 
-@query()
+@query(f"""with recursive turns as materialized ({_simhash_sql("(select conv_id, turn, text as x from conversations)", "conv_id, turn")}),
+  seq as materialized (select conv_id as id, (count(*) - 1)::double as d, list(hash order by turn, hash) as h, list(turn::double order by turn, hash) as t from turns group by conv_id),
+  asked as (select x.id as a, y.id as b from seq x join seq y on y.id = x.id + 1),
+  {_warped_sql()} select a, b, greatest(max(similarity), 0) as similarity from windows group by a, b""")
 def dtw_conversations(spark, sf_dir):
     """Every conversation against the next by number, as sequences of turns."""
     turns = fx.simhash(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), ["conv_id", "turn"], "text")
@@ -306,6 +353,10 @@ def reduce_frames(spark, sf_dir):
 # clusters, ranking, roles
 
 
+SCORE_SQL = """(case when duration > 0 then 10000 else 0 end + ln(duration + 1) * 100 + (case when image_date is not null then 2000 else 0 end + case when coalesce(lat <> 0 and lon <> 0, false) then 300 else 0 end
+  + case when coalesce(length(camera), 0) > 0 then 200 else 0 end) + sqrt(width::double * height) + case when size = 0 then '-infinity'::double else ln(size) * 5 end)"""
+
+
 _CLUSTERS = f"""with recursive {HASHES_SQL}, {INVENTORY_SQL},
   d as materialized (select hash, min(doc_id) as rep from hashes group by hash),
   e as materialized (select a.rep as u, b.rep as v from d a join d b on a.hash <> b.hash and bit_count(xor(a.hash, b.hash)) <= {K}),
@@ -317,15 +368,14 @@ _CLUSTERS = f"""with recursive {HASHES_SQL}, {INVENTORY_SQL},
 def _clusters(spark, sf_dir):
     """doc_id, component, cluster_size by hashes within K bits; equal hashes are one node."""
     from shutterlake.operators.components import connected_components
-    from shutterlake.session import spool
 
     h = spool(fx.hashes(spark, sf_dir))
-    reps = h.groupBy("hash").agg(F.min("doc_id").alias("rep"))
+    reps = spool(h.groupBy("hash").agg(F.min("doc_id").alias("rep")))
     comp = connected_components(self_pairs(reps, K), "ha", "hb")
     label = reps.join(comp.withColumnRenamed("node", "hash"), "hash", "left").withColumn("g", F.coalesce("component", "hash"))
     least = label.groupBy("g").agg(F.min("rep").alias("component"))
     of = label.select("hash", "g").join(least, "g").select("hash", "component")
-    member = h.join(of, "hash").select("doc_id", "component")
+    member = spool(h.join(of, "hash").select("doc_id", "hash", "component"))
     sizes = member.groupBy("component").agg(F.count("*").alias("cluster_size"))
     return member.join(sizes, "component")
 
@@ -350,10 +400,6 @@ def merge_clusters(spark, sf_dir):
     return rk.merge_clusters(sets)
 
 
-SCORE_SQL = """(case when duration > 0 then 10000 else 0 end + ln(duration + 1) * 100 + (case when image_date is not null then 2000 else 0 end + case when coalesce(lat <> 0 and lon <> 0, false) then 300 else 0 end
-  + case when coalesce(length(camera), 0) > 0 then 200 else 0 end) + sqrt(width::double * height) + case when size = 0 then '-infinity'::double else ln(size) * 5 end)"""
-
-
 @query(f"with {INVENTORY_SQL} select doc_id, round({SCORE_SQL}, 6) as score from inventory")
 def entry_score(spark, sf_dir):
     return fx.inventory(spark, sf_dir).select("doc_id", F.round(rk.entry_score(), 6).alias("score"))
@@ -368,11 +414,9 @@ _RANKED = f"""{_CLUSTERS}, r as materialized (select i.*, component, cluster_siz
 
 def _clustered(spark, sf_dir):
     """Inventory files with one frame each, clustered by hash."""
-    from shutterlake.session import spool
-
     c = _clusters(spark, sf_dir).withColumnRenamed("component", "cluster_id")
-    one = fx.hashes(spark, sf_dir).select("doc_id", F.array(F.struct("hash", F.lit(0.0).alias("timestamp"))).alias("frames"))
-    return spool(fx.inventory(spark, sf_dir).join(c, "doc_id").join(one, "doc_id"))
+    one = c.select("doc_id", F.array(F.struct("hash", F.lit(0.0).alias("timestamp"))).alias("frames"))
+    return spool(fx.inventory(spark, sf_dir).join(c.drop("hash"), "doc_id").join(one, "doc_id"))
 
 
 def _roles(spark, sf_dir):
@@ -406,7 +450,21 @@ def duplicate_sets(spark, sf_dir):
     return rk.duplicate_sets(_roles(spark, sf_dir)).select("best_path", F.array_join("representatives", "|").alias("representatives"), F.array_join("duplicates", "|").alias("duplicates"))
 
 
-@query()
+@query(f"""with recursive {INVENTORY_SQL}, {_VV},
+  fi as materialized (select i.* replace (m.duration as duration) from inventory i join media m on m.path = i.doc_id),
+  ih as materialized (select f.doc_id as id, f.hash from frames f join media m on m.path = f.doc_id and m.duration = 0),
+  e as materialized (
+    select x.id as u, y.id as v from ih x join ih y on x.id <> y.id and x.hash = y.hash
+    union select ih.id, vf.id from ih join vf on bit_count(xor(ih.hash, vf.hash)) <= {P.max_bits("IV")} union select vf.id, ih.id from ih join vf on bit_count(xor(ih.hash, vf.hash)) <= {P.max_bits("IV")}
+    union select a, b from vv union select b, a from vv),
+  reach(u, v) as (select doc_id, doc_id from fi union select reach.u, e.v from reach join e on e.u = reach.v),
+  comp as materialized (select u as doc_id, min(path) as cluster_id, count(*) as cluster_size from reach join fi on fi.doc_id = reach.v group by u),
+  r as materialized (select fi.*, cluster_id, cluster_size, row_number() over (partition by cluster_id order by {SCORE_SQL} desc, path) as rank from fi join comp using (doc_id)),
+  best as (select cluster_id, path as best_path, duration as best_duration, width * height as best_quality, image_date as best_date from r where rank = 1),
+  caps as materialized (select r.* from r join best using (cluster_id) where cluster_size > 1 and best_duration > 0 and duration = 0 and width * height >= best_quality and (best_date is null or image_date is not null)),
+  like_caps as (select distinct x.path as p from caps x join ih a on a.id = x.doc_id join ih b on a.hash = b.hash and a.id <> b.id join caps y on y.doc_id = b.id)
+  select path, cluster_id, cluster_size, case when cluster_size = 1 then 'unique' when rank = 1 then 'representative' when path in (select path from caps) and path not in (select p from like_caps) then 'representative' else 'duplicate' end as role, best_path
+  from r join best using (cluster_id)""")
 def deduplicate_media(spark, sf_dir):
     """Lines as frames: all three classes of edges, clusters and roles."""
     from shutterlake.plans.dedupe import deduplicate

@@ -79,6 +79,37 @@ def test_transfer(spark, tmp_path):
     assert {r.kind for r in quiet.collect()} == {"unique", "duplicate"}
 
 
+def test_files_of_one_name_are_all_kept(spark, tmp_path):
+    texts = {"a": "AAAA", "b": "BBBB", "c": "CC"}
+    for d, t in texts.items():
+        (tmp_path / d).mkdir()
+        (tmp_path / d / "IMG.jpg").write_text(t)
+    (tmp_path / "dup" / "best").mkdir(parents=True)
+    (tmp_path / "dup" / "best" / "IMG.jpg").write_text("OLD!")
+    base = assigned(spark, str(tmp_path)).limit(1).drop("path", "role", "best_path")
+    rows = spark.createDataFrame([(f"{tmp_path}/{d}/IMG.jpg", "duplicate", "/x/best.jpg") for d in texts], "path string, role string, best_path string").crossJoin(base)
+    failed = spark.createDataFrame([(f"{tmp_path}/{d}/IMG.jpg",) for d in texts], "path string")
+    existing = spark.createDataFrame([(f"{tmp_path}/dup/best/IMG.jpg",)], "dst string")
+    blind = transfer_plan(rows, "/t", Params(), str(tmp_path / "dup"), move=True)
+    assert blind.select("dst").distinct().count() == 3
+    done = {r.src: r.error for r in execute(blind, dry_run=False).collect()}
+    assert "another file" in done[f"{tmp_path}/a/IMG.jpg"] and (tmp_path / "a" / "IMG.jpg").read_text() == "AAAA"
+    plan = transfer_plan(rows, "/t", Params(), str(tmp_path / "dup"), move=True, existing=existing)
+    assert plan.select("dst").distinct().count() == 3
+    for _ in range(2):  # a repeated task finds its work done
+        assert execute(plan, dry_run=False).where("error is not null").count() == 0
+    kept = sorted(f.read_text() for f in (tmp_path / "dup" / "best").iterdir())
+    assert kept == ["AAAA", "BBBB", "CC", "OLD!"] and not any((tmp_path / d / "IMG.jpg").exists() for d in texts)
+    assert transfer_plan(rows.limit(0), "/t", Params(), "/d", "/e", failed).select("dst").distinct().count() == 3
+
+
+def test_relative_path(spark):
+    from shutterlake.functions.paths import relative_path
+
+    df = spark.createDataFrame([("/a/b/c.jpg",), ("/a/x/c.jpg",), ("/q.jpg",), ("/a/b/d/e\\f.jpg",)], "p string")
+    assert [r[0] for r in df.select(relative_path(F.col("p"), "/a/b/")).collect()] == ["c.jpg", "../x/c.jpg", "../../q.jpg", "d/e/f.jpg"]
+
+
 def test_reports(spark, tmp_path):
     names = write_reports(assigned(spark, "/r"), str(tmp_path / "rep"), batch=1)
     assert names == ["report_1.html"]

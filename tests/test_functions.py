@@ -125,3 +125,53 @@ def test_components(spark):
 
 def test_params():
     assert (Params().max_bits("II"), Params().max_bits("VV")) == (0, 4)
+
+
+def plain_warp(a, b):
+    m, n = len(a), len(b)
+    if not m or not n:
+        return 1.0 if m == n else -np.inf
+    row = [0.0] + [np.inf] * n
+    for x in a:
+        new = [np.inf]
+        for j, y in enumerate(b):
+            new.append(bin((int(x) ^ int(y)) & (2**64 - 1)).count("1") / 64 + min(row[j], row[j + 1], new[j]))
+        row = new
+    return 1 - row[n] / max(m, n)
+
+
+def plain_video(ha, ta, da, hb, tb, db, threshold):
+    short, long, ts, w, whole = (ha, hb, tb, da, db) if da <= db else (hb, ha, ta, db, da)
+    best, start = 0.0, 0.0
+    while start <= whole - w:
+        best = max(best, plain_warp([h for h, t in zip(long, ts, strict=True) if start <= t <= start + w], short))
+        if best >= threshold:
+            break
+        start += 1.0
+    return best
+
+
+def test_warping_by_plain_loops():
+    rng = np.random.default_rng(0)
+    for case in range(150):
+        m, n = rng.integers(0, 12, 2)
+        a, b = (rng.integers(-(2**62), 2**62, x) for x in (m, n))
+        if case % 2 and m and n:
+            b = np.resize(a, n)
+        assert dtw_similarity(a, b) == pytest.approx(plain_warp(a, b), abs=1e-12)
+        ta, tb = (np.sort(rng.random(x) * 20) for x in (m, n))
+        da, db = ta[-1] if m else 0.0, tb[-1] if n else 0.0
+        for threshold in (2.0, 0.6):
+            assert video_similarity(a, ta, da, b, tb, db, 1.0, threshold) == pytest.approx(plain_video(a, ta, da, b, tb, db, threshold), abs=1e-12)
+
+
+def test_hashes_meet_few_others_by_chance():
+    from math import comb
+
+    from shutterlake.operators.neighbours import BITS, MAX_KEYS, blocks_for, masks
+
+    for n, most in ((10**4, 10**5), (10**9, 2 * 10**11)):
+        m = blocks_for(n, 4)
+        assert len(masks(4, m)) == comb(m, 4) <= MAX_KEYS
+        assert comb(m, 4) * n * n / 2 ** (BITS * (m - 4) / m) <= most * 10
+    assert all(mask.bit_count() >= 12 for mask in masks(4, 5))
