@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,3 +31,35 @@ def word_count(col: str | Column = "text") -> Column:
 def words(col: str | Column = "text") -> Column:
     """The words in order; white space is folded to blanks first, so that the split takes the fast path."""
     return F.array_remove(F.split(F.translate(text_of(col), "\t\n\x0b\x0c\r", "     "), " "), "")
+
+
+#: Bytes of text that a Python worker works on together; a bound on memory only.
+SLICE_BYTES = 1 << 21
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about SLICE_BYTES of the text column, so that what is made of a part is bounded too."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        cuts = np.flatnonzero(np.diff(sizes // SLICE_BYTES)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """run, and then freed memory goes back to the system: a Python worker outlives its task."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _trim()
+
+    return work

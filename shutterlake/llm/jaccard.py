@@ -41,14 +41,12 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import WORD
+from shutterlake.llm.common import WORD, slices, tidied
 from shutterlake.operators.components import connected_components
 from shutterlake.operators.prefilter import may_match
 from shutterlake.session import discard, spool
@@ -58,8 +56,6 @@ WIDTH, PERCENT = 5, 80
 SKETCH_BITS = 22
 #: Candidates that are searched together, and bytes of their texts; whichever is reached first.
 CHUNK, CHUNK_BYTES = 256, 1 << 24
-#: Bytes of text that are worked on together; a bound on memory only.
-SLICE_BYTES = 1 << 21
 #: Share of list length and probe cost in DivideSkip's choice of the long lists.
 MU = 0.0085
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -262,16 +258,6 @@ class Index:
         return [i for i, n in found.items() if n >= pair_overlap(len(query), self.sizes[i], percent)]
 
 
-def _slices(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of about SLICE_BYTES of text, so that what is made of a part is bounded too."""
-    for batch in batches:
-        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-        cuts = np.flatnonzero(np.diff(sizes // SLICE_BYTES)) + 1
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
-            if b > a:
-                yield batch.slice(a, b - a)
-
-
 def _text(docs: DataFrame):
     return docs["text"].cast("string")
 
@@ -289,7 +275,7 @@ def _ranks(docs: DataFrame, width: int) -> bytes:
                 counts += np.bincount(np.concatenate(seen), minlength=len(counts))
             seen = []
 
-        for batch in _slices(batches, 0):
+        for batch in slices(batches, 0):
             seen.extend((s & low).astype(np.int32) for s in shingle_sets(batch.column(0).to_pylist(), width))
             if sum(map(len, seen)) > len(counts) // 4:
                 tally()
@@ -299,14 +285,14 @@ def _ranks(docs: DataFrame, width: int) -> bytes:
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([i // segment], pa.int32()), pa.array([zlib.compress(part.astype("<i8").tobytes(), 1)], pa.binary())], names=["seg", "counts"])
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(b), "<i8") for b in pdf["counts"])
+    def add(t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(zlib.decompress(b.as_py()), "<i8") for b in t.column("counts"))
         logs = np.minimum(255, np.round(8 * np.log2(1 + total))).astype(np.uint8)
-        return pd.DataFrame({"seg": [pdf["seg"].iloc[0]], "logs": [zlib.compress(logs.tobytes(), 1)]})
+        return pa.table({"seg": pa.array([t.column("seg")[0].as_py()], pa.int32()), "logs": pa.array([zlib.compress(logs.tobytes(), 1)], pa.binary())})
 
     out = np.zeros(1 << SKETCH_BITS, np.uint8)
-    counted = docs.select(_text(docs).alias("text")).mapInArrow(count, "seg int, counts binary")
-    for r in counted.groupBy("seg").applyInPandas(add, "seg int, logs binary").collect():
+    counted = docs.select(_text(docs).alias("text")).mapInArrow(tidied(count), "seg int, counts binary")
+    for r in counted.groupBy("seg").applyInArrow(add, "seg int, logs binary").collect():
         part = np.frombuffer(zlib.decompress(r["logs"]), np.uint8)
         out[r["seg"] << 16 : (r["seg"] << 16) + len(part)] = part
     return out.tobytes()
@@ -328,13 +314,13 @@ def _summarise(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = np.frombuffer(sent.value, np.uint8)
-        for batch in _slices(batches, 2):
+        for batch in slices(batches, 2):
             sets = shingle_sets(batch.column(2).to_pylist(), width)
             rarest = [prefix(s, logs, percent).view(np.int64) for s in sets]
             columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([parity(s) for s in sets], pa.binary()), pa.array(rarest, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["doc_id", "hash", "n", "key", "parity", "prefix"])
 
-    return only.mapInArrow(run, "doc_id long, hash long, n long, key binary, parity binary, prefix array<long>")
+    return only.mapInArrow(tidied(run), "doc_id long, hash long, n long, key binary, parity binary, prefix array<long>")
 
 
 def _near_size(n, m, percent: int):
@@ -358,7 +344,7 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             ok = near_by_parity(batch.column("pu").to_pylist(), batch.column("pv").to_pylist(), n, m, percent)
             yield batch.select(["u", "v"]).filter(pa.array(ok))
 
-    return pairs.select("u", "v", "n", "m", "pu", "pv").mapInArrow(run, "u long, v long")
+    return pairs.select("u", "v", "n", "m", "pu", "pv").mapInArrow(tidied(run), "u long, v long")
 
 
 def tile_pairs(comp: np.ndarray, n: np.ndarray, block: np.ndarray, mixed: bool, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -430,7 +416,7 @@ def _cross_pairs(lists: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                         if ok.any():
                             yield pairs(node[i[ok]], node[j[ok]])
 
-    found = spool(rows.mapInArrow(run, "u long, v long").distinct())
+    found = spool(rows.mapInArrow(tidied(run), "u long, v long").distinct())
     discard(heads)
     return found
 
@@ -459,7 +445,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, per
                     yield pa.RecordBatch.from_arrays([pa.array([at[0]] * len(got), pa.int64()), pa.array([lot[i][0] for i in got], pa.int64())], names=["u", "v"])
             lot, size = [], 0
 
-        for batch in _slices(batches, 5):
+        for batch in slices(batches, 5):
             u, part, role, node, key, text = (batch.column(i).to_pylist() for i in range(6))
             sets = shingle_sets(text, width)
             for i, s in enumerate(sets):
@@ -477,7 +463,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, per
                     yield from search()
         yield from search()
 
-    links = spool(rows.mapInArrow(run, "u long, v long"))
+    links = spool(rows.mapInArrow(tidied(run), "u long, v long"))
     discard(pairs, dealt, wanted)
     return links
 

@@ -27,9 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shutterlake.llm.common import slices, tidied
+
 LENGTH, LOT = 2048, 1 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
-REMEMBER = 1_000_000
+REMEMBER = 300_000
 _ENCODERS: dict = {}
 
 
@@ -192,7 +194,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = LE
             i64 = pa.int64()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (kind, i64, i64, pa.binary(), i64, i64, i64, pa.float64()), strict=True)], names=names)
 
-        for batch in batches:
+        for batch in slices(batches, 1):
             kind = batch.schema.field(0).type
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.frombuffer((enc.encode(text) if text else b"") + end, "<u4")
@@ -203,7 +205,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = LE
         if held:
             yield flush(True)
 
-    return only.mapInArrow(run, schema)
+    return only.mapInArrow(tidied(run), schema)
 
 
 def crc32_of_ids(pieces: DataFrame) -> DataFrame:

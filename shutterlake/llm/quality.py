@@ -35,6 +35,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shutterlake.llm.common import slices, tidied
+
 SAMPLE, THRESHOLD, FOLDS, SEED = 20_000, 0.3, 5, 11
 HIDDEN, STEPS, PRIOR_STEPS, RATE, DECAY = 16, 600, 150, 0.02, 1e-3
 _ASCII_WORD = np.zeros(256, bool)
@@ -171,11 +173,11 @@ def _featured(docs: DataFrame, keep: list[str]) -> DataFrame:
     only = docs.select(*keep, F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, len(keep)):
             f = pa.array([features(t) for t in batch.column(len(keep)).to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], f], names=[*keep, "features"])
 
-    return only.mapInArrow(run, T.StructType([*[only.schema[c] for c in keep], T.StructField("features", T.ArrayType(T.DoubleType()))]))
+    return only.mapInArrow(tidied(run), T.StructType([*[only.schema[c] for c in keep], T.StructField("features", T.ArrayType(T.DoubleType()))]))
 
 
 #: Positives that a prior can be estimated from; with fewer it is FEW_PRIOR.
@@ -232,7 +234,7 @@ def with_score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = model.value
-        for batch in batches:
+        for batch in slices(batches, len(keep)):
             texts = batch.column(len(keep)).to_pylist()
             if net is None or not texts:
                 score = np.full(len(texts), 0.5)
@@ -240,7 +242,7 @@ def with_score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, columns
                 score = net.score(np.array([features(t) for t in texts]))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    return only.mapInArrow(run, schema)
+    return only.mapInArrow(tidied(run), schema)
 
 
 def scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

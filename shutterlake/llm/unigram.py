@@ -26,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shutterlake.llm.common import tidied
+
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Words that a worker remembers.
-REMEMBER = 1_000_000
+REMEMBER = 300_000
 _LOADED: dict = {}
 
 
@@ -143,7 +145,7 @@ def count_tokens(df: DataFrame, path: str, text_col: str = "text", out_col: str
             n = pa.array([c.count(t) for t in batch.column(at).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, n], names=[*batch.schema.names, out_col])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidied(run), schema)
 
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
@@ -156,4 +158,4 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
             n = pa.array([c.count(t) for t in batch.column(1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), n], names=["doc_id", "n_tokens"])
 
-    return only.mapInArrow(run, T.StructType([only.schema["doc_id"], T.StructField("n_tokens", T.LongType())]))
+    return only.mapInArrow(tidied(run), T.StructType([only.schema["doc_id"], T.StructField("n_tokens", T.LongType())]))
