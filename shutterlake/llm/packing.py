@@ -31,7 +31,7 @@ from shutterlake.llm.common import slices, tidied
 
 LENGTH, LOT = 2048, 1 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
-REMEMBER = 300_000
+REMEMBER = 600_000
 _ENCODERS: dict = {}
 
 
