@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Params:
+    # The defaults of the command line.
     resolution: int = 64
     min_frames: int = 5
     max_scene_frames: int = 100

@@ -40,7 +40,7 @@ def is_supported(ext: Column) -> Column:
 
 def file_type(ext: Column, strict: bool = False) -> Column:
     """'image' or 'video'; of others null, or an error if strict."""
-    other = F.raise_error(F.concat(F.lit("Unsupported file type for file "), ext)).cast("string") if strict else F.lit(None).cast("string")
+    other = F.raise_error(F.concat(F.lit("neither an image nor a video: "), ext)).cast("string") if strict else F.lit(None).cast("string")
     return F.when(ext.isin(*IMAGE_EXTENSIONS), "image").when(ext.isin(*VIDEO_EXTENSIONS), "video").otherwise(other)
 
 

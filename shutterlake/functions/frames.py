@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-STATE = "struct<kept:array<struct<ts:double,scene:double>>,last:double>"
+def _column(c: str | Column) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+_PLACES = T.ArrayType(T.IntegerType())
 
 
 def in_range(frames: str | Column, start: Column, end: Column) -> Column:
@@ -15,15 +21,24 @@ def in_range(frames: str | Column, start: Column, end: Column) -> Column:
     return F.filter(frames, lambda f: (f["timestamp"] >= start) & (f["timestamp"] <= end))
 
 
-def select_adaptive(frames: Column, scene_threshold: Column, min_gap: Column, interval: Column) -> Column:
-    """Of ordered (ts, scene): the first, scene changes min_gap after the last selected, and any frame interval after it."""
-    def step(s: Column, f: Column) -> Column:
-        gap = f["ts"] - s["last"]
-        take = s["last"].isNull() | ((f["scene"] > scene_threshold) & (gap >= min_gap)) | (gap >= interval)
-        return F.when(take, F.struct(F.concat(s["kept"], F.array(f)).alias("kept"), f["ts"].alias("last"))).otherwise(s)
+@F.pandas_udf(_PLACES)
+def _selected(ts: pd.Series, scene: pd.Series, scene_threshold: pd.Series, min_gap: pd.Series, interval: pd.Series) -> pd.Series:
+    out = []
+    for times, scenes, least, gap, every in zip(ts, scene, scene_threshold, min_gap, interval, strict=True):
+        kept, last = [], None
+        for i, (t, x) in enumerate(zip(times, scenes, strict=True) if times is not None else ()):
+            if last is None or (x is not None and x > least and t - last >= gap) or t - last >= every:
+                kept.append(i)
+                last = t
+        out.append(kept)
+    return pd.Series(out)
 
-    start = F.struct(F.array().cast("array<struct<ts:double,scene:double>>").alias("kept"), F.lit(None).cast("double").alias("last")).cast(STATE)
-    return F.aggregate(frames, start, step, lambda s: s["kept"])
+
+def select_adaptive(frames: str | Column, scene_threshold: Column, min_gap: Column, interval: Column) -> Column:
+    """Of ordered (ts, scene), best a plain column, as each selected frame looks into it: the first, scene changes min_gap after the last selected, and any frame interval after it."""
+    ts, scene = F.transform(frames, lambda f: f["ts"].cast("double")), F.transform(frames, lambda f: f["scene"].cast("double"))
+    at = _selected(ts, scene, scene_threshold.cast("double"), min_gap.cast("double"), interval.cast("double"))
+    return F.transform(at, lambda i: F.get(_column(frames), i))
 
 
 def intervals(duration: Column, fps: float, min_frames: int) -> tuple[Column, Column, Column]:
@@ -32,27 +47,24 @@ def intervals(duration: Column, fps: float, min_frames: int) -> tuple[Column, Co
     return target, duration / F.least(target, F.lit(min_frames)), F.lit(1.0 / fps)
 
 
-def reduce_indices(n: Column, target: Column) -> Column:
-    """floor(0), floor(step), ... below n, the step added up in floating point as a loop would; may give target + 1 places."""
-    step = n / target.cast("double")
-    start = F.struct(F.array().cast("array<int>").alias("at"), F.lit(0.0).alias("i"))
+@F.pandas_udf(_PLACES)
+def _reduced(n: pd.Series, target: pd.Series) -> pd.Series:
+    return pd.Series([reduce_list(int(a), int(b)) for a, b in zip(n, target, strict=True)])
 
-    def one(s: Column, _: Column) -> Column:
-        grown = F.struct(F.concat(s["at"], F.array(F.floor(s["i"]).cast("int"))).alias("at"), (s["i"] + step).alias("i"))
-        return F.when(s["i"] < n, grown).otherwise(s)
 
-    run = F.aggregate(F.sequence(F.lit(1), (target + 2).cast("int")), start, one, lambda s: s["at"])
-    return F.when(n <= target, F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(F.array().cast("array<int>"))).otherwise(run)
+def reduce_indices(n: Column, target: Column) -> Column:
+    """floor(0), floor(step), ... below n, the step added up in floating point as a loop would; may give target + 1 places."""
+    return _reduced(n.cast("long"), target.cast("long"))
 
 
-def reduce(frames: Column, target: Column) -> Column:
-    return F.transform(reduce_indices(F.size(frames), target), lambda i: F.element_at(frames, i + 1))
+def reduce(frames: str | Column, target: Column) -> Column:
+    return F.transform(reduce_indices(F.size(frames), target), lambda i: F.get(_column(frames), i))
 
 
-def cap(frames: Column, target: Column, max_scene: int) -> Column:
+def cap(frames: str | Column, target: Column, max_scene: int) -> Column:
     """Frames as they are unless they are more than both the target and max_scene."""
     n = F.size(frames)
-    return F.when((n > target) & (n > max_scene), reduce(frames, F.greatest(target, F.lit(max_scene)))).otherwise(frames)
+    return F.when((n > target) & (n > max_scene), reduce(frames, F.greatest(target, F.lit(max_scene)))).otherwise(_column(frames))
 
 
 def reduce_list(n: int, target: int) -> list[int]:

@@ -93,3 +93,17 @@ def hamming_arrays(a: str | Column, b: str | Column) -> Column:
     n = F.least(F.size(a), F.size(b))
     bits = F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("bigint"))
     return F.aggregate(bits, F.lit(0).cast("bigint"), lambda s, x: s + x)
+
+
+def hash_hex(h: str | Column) -> Column:
+    """A hash as 16 hexadecimal digits, its lowest byte first."""
+    return F.lower(F.concat(*[F.lpad(F.hex(F.shiftrightunsigned(h, 8 * i).bitwiseAND(F.lit(255))), 2, "0") for i in range(8)]))
+
+
+def hash_from_hex(text: str | Column) -> Column:
+    """The hash of such digits."""
+    part = lambda i: F.shiftleft(F.conv(F.substring(text, 2 * i + 1, 2), 16, 10).cast("bigint"), 8 * i)
+    out = part(0)
+    for i in range(1, 8):
+        out = out.bitwiseOR(part(i))
+    return out

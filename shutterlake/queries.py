@@ -15,7 +15,7 @@ from shutterlake.fixtures import simhash_sql as _simhash_sql
 from shutterlake.functions import formats, text
 from shutterlake.functions.frames import in_range, reduce_indices, select_adaptive
 from shutterlake.functions.paths import placeholder, relative_target, settle_conflicts
-from shutterlake.functions.phash import hamming, hamming_arrays, image_similarity, phash_udf
+from shutterlake.functions.phash import hamming, hamming_arrays, hash_from_hex, hash_hex, image_similarity, phash_udf
 from shutterlake.operators import media as md
 from shutterlake.operators import ranking as rk
 from shutterlake.operators.neighbours import knn_join, range_join, self_pairs
@@ -197,6 +197,12 @@ def embedding_sign_hash(spark, sf_dir):
 _PAIRS = f"with {HASHES_SQL}, h as (select hash, count(*) as n from hashes group by hash), p as (select a.hash as ha, b.hash as hb, bit_count(xor(a.hash, b.hash))::int as distance from h a join h b on a.hash < b.hash and bit_count(xor(a.hash, b.hash)) <= {K})"
 
 
+@query(f"with {HASHES_SQL} select doc_id, array_to_string(list_transform(range(0, 8), lambda i: lpad(to_hex((hash >> (8 * i)::int) & 255), 2, '0')), '').lower() as digits, hash as again from hashes")
+def hash_digits(spark, sf_dir):
+    digits = fx.hashes(spark, sf_dir).select("doc_id", hash_hex("hash").alias("digits"))
+    return digits.withColumn("again", hash_from_hex("digits"))
+
+
 @query(f"{_PAIRS} select ha, hb, distance from p")
 def hamming_pairs(spark, sf_dir):
     return self_pairs(fx.hashes(spark, sf_dir), K).select("ha", "hb", F.col("distance").cast("int").alias("distance"))
@@ -333,7 +339,7 @@ def dtw_conversations(spark, sf_dir):
 def adaptive_frames(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us"), (F.col("value") / 100).alias("scene"))
     f = e.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct((F.col("us") / 1e6).alias("ts"), "scene"))).alias("f"))
-    kept = select_adaptive(F.col("f"), F.lit(0.5), F.lit(20000.0), F.lit(80000.0))
+    kept = select_adaptive("f", F.lit(0.5), F.lit(20000.0), F.lit(80000.0))
     k = f.select("user_id", kept.alias("k"))
     return k.select("user_id", F.size("k").cast("bigint").alias("kept"), F.aggregate("k", F.lit(0.0), lambda s, x: s + x["ts"]).alias("total"))
 
@@ -532,6 +538,19 @@ def transfer_plan_query(spark, sf_dir):
     return transfer_plan(good, "/target", P, "/dup", "/err", bad)
 
 
+@query("""with p as (select 'in/' || doc_id || '/IMG' || (doc_id % 3) || '.jpg' as src, case when doc_id % 4 = 0 then '/err/' else '/dup/best/' end || 'IMG' || (doc_id % 3) || '.jpg' as dst, case when doc_id % 4 = 0 then 'error' else 'duplicate' end as kind from documents),
+  there as (select '/dup/best/IMG1.jpg' as dst),
+  n as (select *, row_number() over (partition by dst order by src) as n, dst in (select dst from there) as taken from p)
+  select src, case when n = 1 and not taken then dst else regexp_replace(dst, '\\.jpg$', '_' || substr(md5(src || ':conflict:0'), 1, 8) || '.jpg') end as dst, kind, 'move' as action from n""")
+def transfer_conflicts(spark, sf_dir):
+    """Duplicates and files in error of few names, and a target that is there already."""
+    i = F.col("doc_id")
+    files = table(spark, sf_dir, "documents").select(i, F.concat(F.lit("in/"), i, F.lit("/IMG"), i % 3, F.lit(".jpg")).alias("path"))
+    good = files.where("doc_id % 4 <> 0").select("path", F.lit("duplicate").alias("role"), F.lit("x/best.jpg").alias("best_path"), *[F.lit(None).cast(t).alias(c) for c, t in (("image_date", "timestamp"), ("created_at", "timestamp"), ("lat", "double"), ("lon", "double"), ("camera", "string"), ("duration", "double"))])
+    there = spark.createDataFrame([("/dup/best/IMG1.jpg",)], "dst string")
+    return transfer_plan(good, "/target", P, "/dup", "/err", files.where("doc_id % 4 = 0"), move=True, existing=there)
+
+
 @query(f"""{_RANKED} select count(*) as files, count_if(role = 'unique')::bigint as unique_files, count_if(rank = 1 and cluster_size > 1)::bigint as duplicate_sets,
   count_if(role = 'representative')::bigint as representatives, count_if(role = 'duplicate')::bigint as duplicates, count_if(error is not null)::bigint as errors from roles""")
 def run_summary(spark, sf_dir):

@@ -13,15 +13,51 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shutterlake.functions import formats
+from shutterlake.session import spool
 
 
 def scan(spark: SparkSession, folders: list[str], supported_only: bool = True) -> DataFrame:
-    """path, ext, file_type, size, modified_at of the files below the folders; contents are not read."""
+    """path, size, modified_at, ext, file_type of the files below the folders, of any store; contents are not read. A folder that cannot be read fails the scan: see `walk`."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(folders)
-    path = F.col("path")
-    df = found.select(path, formats.extension(path).alias("ext"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"))
-    df = df.withColumn("file_type", formats.file_type(F.col("ext")))
-    return df.where(formats.is_supported(F.col("ext"))) if supported_only else df
+    return typed(found.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified_at")), supported_only)
+
+
+def walk(spark: SparkSession, folders: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Files (path, size, modified_at) below folders that every executor mounts, and the folders that could not be read (path, error), which are passed over. Links to folders are not followed."""
+
+    def one(folder: str) -> Iterator[tuple]:
+        try:
+            with os.scandir(local_path(folder)) as entries:
+                for e in entries:
+                    if e.is_dir(follow_symlinks=False):
+                        yield "folder", e.path, None, None, None
+                    elif e.is_file():
+                        st = e.stat()
+                        yield "file", e.path, st.st_size, dt.datetime.fromtimestamp(st.st_mtime, dt.timezone.utc).replace(tzinfo=None), None
+        except OSError as x:
+            yield "error", folder, None, None, str(x)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [r for f in pdf["path"] for r in one(f)]
+            yield pd.DataFrame(rows, columns=["kind", "path", "size", "modified_at", "error"]).astype({"size": "Int64", "modified_at": "datetime64[us]"})
+
+    level = spark.createDataFrame([(f,) for f in folders], "path string").distinct()
+    found = None
+    while not level.isEmpty():
+        here = spool(level.repartition(spark.sparkContext.defaultParallelism, "path").mapInPandas(run, "kind string, path string, size long, modified_at timestamp, error string"))
+        found = here if found is None else found.union(here)
+        level = here.where("kind = 'folder'").select("path")
+    if found is None:
+        found = spark.createDataFrame([], "kind string, path string, size long, modified_at timestamp, error string")
+    found = found.dropDuplicates(["path"])
+    return found.where("kind = 'file'").select("path", "size", "modified_at"), found.where("kind = 'error'").select("path", "error")
+
+
+def typed(files: DataFrame, supported_only: bool = True) -> DataFrame:
+    """Adds ext and file_type; by default other files go."""
+    out = files.withColumn("ext", formats.extension("path")).withColumn("file_type", formats.file_type(F.col("ext")))
+    return out.where(formats.is_supported(F.col("ext"))) if supported_only else out
 
 
 def content_hash(content: str | Column, max_chunk: int) -> Column:
@@ -31,16 +67,6 @@ def content_hash(content: str | Column, max_chunk: int) -> Column:
     return F.when(F.octet_length(c) <= max_chunk, F.md5(c)).otherwise(F.md5(F.concat(F.substring(c, 1, half), F.substring(c, -half, half))))
 
 
-def with_content_hash(files: DataFrame, max_chunk: int) -> DataFrame:
-    """Adds content_hash by reading files whole; see `file_stats` for large ones."""
-    spark = files.sparkSession
-    paths = [os.path.dirname(r[0]) for r in files.select(F.concat(formats.dirname("path"), F.lit("/x")).alias("p")).distinct().collect()]
-    if not paths:
-        return files.withColumn("content_hash", F.lit(None).cast("string"))
-    read = spark.read.format("binaryFile").load(paths).select("path", content_hash("content", max_chunk).alias("content_hash"))
-    return files.join(read, "path")
-
-
 def local_path(path: str) -> str:
     """A file: address as a path; a plain path is left alone, even with a percent sign in it."""
     parsed = urlparse(path)

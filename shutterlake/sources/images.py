@@ -9,7 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shutterlake.functions.phash import phash, tables
+from shutterlake.config import Params
+from shutterlake.functions import formats
+from shutterlake.functions.frames import cap, intervals, select_adaptive
+from shutterlake.functions.phash import phash, phash_udf, tables
+from shutterlake.session import spool
 
 
 def grey(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
@@ -33,7 +37,8 @@ def squeeze(a: np.ndarray, size: int) -> np.ndarray:
 
 def image_frames(spark: SparkSession, paths: str | list[str], size: int) -> DataFrame:
     """path, hash, error of image files: one frame at time 0. Files that do not decode give an error."""
-    pics = spark.read.format("image").option("recursiveFileLookup", True).load(paths).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+    some = "{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in formats.IMAGE_EXTENSIONS) + "}"
+    pics = spark.read.format("image").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{some}").load(paths).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         consts = tables(size)
@@ -54,6 +59,17 @@ def pair_frames(times: DataFrame, buffers: DataFrame) -> DataFrame:
     return times.join(buffers, ["path", "pos"])
 
 
+def video_frames(times: DataFrame, buffers: DataFrame, durations: DataFrame, p: Params = Params()) -> DataFrame:
+    """path, ts, hash of the frames to compare: of decoded frames (times: path, pos, ts, scene; buffers: path, pos, grey pixels) those that selection and cap leave."""
+    framed = spool(pair_frames(times, buffers))
+    ordered = framed.groupBy("path").agg(F.sort_array(F.collect_list(F.struct(F.col("ts").cast("double").alias("ts"), F.col("scene").cast("double").alias("scene"), "pos"))).alias("f"))
+    ordered = ordered.join(durations.select("path", "duration"), "path")
+    target, interval, gap = intervals(F.col("duration"), p.target_fps, p.min_frames)
+    picked = ordered.select("path", "duration", select_adaptive("f", F.lit(p.scene_threshold), gap, interval).alias("f"))
+    picked = picked.select("path", F.explode(cap("f", target, p.max_scene_frames)).alias("k")).select("path", "k.pos")
+    return framed.join(picked, ["path", "pos"]).select("path", "ts", phash_udf(p.resolution)("pixels").alias("hash"))
+
+
 def media_table(frames: DataFrame, durations: DataFrame) -> DataFrame:
     """path, duration, frames (ordered) from frame rows (path, ts, hash); missing durations are 0, which means an image."""
     packed = frames.groupBy("path").agg(F.sort_array(F.collect_list(F.struct(F.col("ts").alias("timestamp"), "hash"))).alias("f"))

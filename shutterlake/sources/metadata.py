@@ -1,8 +1,9 @@
-"""Metadata from file headers: JPEG (EXIF), PNG, GIF and MP4/MOV, without native tools."""
+"""Metadata from file headers, without native tools: JPEG, TIFF and the raw formats built on it (EXIF), PNG, GIF, BMP, WebP, HEIF (size), MP4/MOV."""
 
 from __future__ import annotations
 
 import datetime as dt
+import os
 import struct
 from collections.abc import Iterator
 
@@ -11,13 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shutterlake.functions.text import coerce_date
+from shutterlake.sources.files import local_path
 
 FIELDS = "width int, height int, lat double, lon double, camera string, date_original string, date_created string, duration double, error string"
-#: Bytes between the epoch of MP4 times, 1904, and that of Unix, in seconds.
+#: Seconds between the epoch of MP4 times, 1904, and that of Unix.
 MP4_EPOCH = 2082844800
 
 
-def _exif(data: bytes) -> dict:
+def _exif(data: bytes, sized: bool = False) -> dict:
     order = {b"II": "<", b"MM": ">"}[data[:2]]
     out: dict = {}
 
@@ -38,6 +40,8 @@ def _exif(data: bytes) -> dict:
         return None
 
     first = entries(struct.unpack_from(order + "I", data, 4)[0])
+    if sized and 0x0100 in first and 0x0101 in first:
+        out["width"], out["height"] = value(first[0x0100]), value(first[0x0101])
     if 0x0110 in first:
         out["camera"] = value(first[0x0110]) or None
     if 0x8769 in first:
@@ -67,6 +71,25 @@ def _jpeg(b: bytes) -> dict:
     return out
 
 
+def _webp(b: bytes) -> dict:
+    kind, p = b[12:16], 20
+    if kind == b"VP8X":
+        out = {"width": 1 + int.from_bytes(b[p + 4 : p + 7], "little"), "height": 1 + int.from_bytes(b[p + 7 : p + 10], "little")}
+        at = 12
+        while at + 8 <= len(b):
+            name, size = b[at : at + 4], struct.unpack_from("<I", b, at + 4)[0]
+            if name == b"EXIF":
+                body = b[at + 8 : at + 8 + size]
+                out = _exif(body.removeprefix(b"Exif\0\0")) | out
+            at += 8 + size + size % 2
+        return out
+    if kind == b"VP8L":
+        bits = struct.unpack_from("<I", b, p + 1)[0]
+        return {"width": 1 + (bits & 0x3FFF), "height": 1 + (bits >> 14 & 0x3FFF)}
+    w, h = struct.unpack_from("<HH", b, p + 6)
+    return {"width": w & 0x3FFF, "height": h & 0x3FFF}
+
+
 def _mp4(b: bytes) -> dict:
     out: dict = {}
 
@@ -80,8 +103,14 @@ def _mp4(b: bytes) -> dict:
             end = min(hi, lo + size)
             if size < head:
                 return
-            if kind in (b"moov", b"trak"):
+            if kind in (b"moov", b"trak", b"iprp", b"ipco"):
                 boxes(lo + head, end)
+            elif kind == b"meta":  # a box with a version
+                boxes(lo + head + 4, end)
+            elif kind == b"ispe" and end <= len(b):  # the largest picture is the main one
+                w, h = struct.unpack_from(">II", b, lo + head + 4)
+                if w * h > out.get("width", 0) * out.get("height", 0):
+                    out["width"], out["height"] = w, h
             elif kind == b"mvhd" and lo + head + 32 <= len(b):
                 p = lo + head
                 made, scale, length = struct.unpack_from(">IxxxxII", b, p + 4) if b[p] == 0 else struct.unpack_from(">QxxxxxxxxIQ", b, p + 4)
@@ -109,28 +138,63 @@ def parse_header(b: bytes) -> dict:
             return dict(zip(("width", "height"), struct.unpack_from("<HH", b, 6), strict=True))
         if b[4:8] == b"ftyp":
             return _mp4(b)
+        if b[:4] in (b"II*\0", b"MM\0*"):
+            return _exif(b, sized=True)
+        if b[:4] == b"RIFF" and b[8:12] == b"WEBP":
+            return _webp(b)
+        if b[:2] == b"BM" and len(b) >= 26:
+            w, h = struct.unpack_from("<ii", b, 18)
+            return {"width": abs(w), "height": abs(h)}
     except (struct.error, KeyError, IndexError, TypeError) as e:
         raise ValueError(f"damaged header: {e}") from e
     return {}
 
 
+#: Bytes read of a file's start; boxes of MP4 files are looked for by seeking.
+HEAD = 1 << 20
+
+
+def read_head(path: str) -> bytes:
+    """What parse_header needs of a file: its first bytes, or the boxes of an MP4 file without its media."""
+    with open(local_path(path), "rb") as f:
+        b = f.read(HEAD)
+        if b[4:8] != b"ftyp":
+            return b
+        out, at, end = b"", 0, f.seek(0, os.SEEK_END)
+        while at + 8 <= end:
+            f.seek(at)
+            head = f.read(16)
+            size, kind = struct.unpack_from(">I", head)[0], head[4:8]
+            if size == 1 and len(head) == 16:
+                size = struct.unpack_from(">Q", head, 8)[0]
+            size = size or end - at
+            if size < 8:
+                break
+            if kind in (b"ftyp", b"moov", b"meta"):
+                f.seek(at)
+                out += f.read(size)
+            at += size
+        return out
+
+
 def read_metadata(contents: DataFrame) -> DataFrame:
-    """Of (path, content): width and height (0 if unknown), lat, lon, camera, image_date, duration, error."""
+    """Of (path, content), or of (path) whose files every executor mounts: width and height (0 if unknown), lat, lon, camera, image_date, duration, error."""
+    given = "content" in contents.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["width", "height", "lat", "lon", "camera", "date_original", "date_created", "duration", "error"]
         for pdf in batches:
             rows = []
-            for content in pdf["content"]:
+            for x in pdf["content" if given else "path"]:
                 try:
-                    d = parse_header(bytes(content) if content is not None else b"")
-                except ValueError as e:
+                    d = parse_header((bytes(x) if x is not None else b"") if given else read_head(x))
+                except (ValueError, OSError) as e:
                     d = {"error": str(e)}
                 rows.append([d.get("width", 0), d.get("height", 0), *(d.get(n) for n in names[2:7]), float(d.get("duration", 0.0)), d.get("error")])
             out = pd.DataFrame(rows, columns=names)
             out.insert(0, "path", pdf["path"].to_numpy())
             yield out
 
-    raw = contents.select("path", "content").mapInPandas(run, "path string, " + FIELDS)
+    raw = contents.select("path", *["content"] * given).mapInPandas(run, "path string, " + FIELDS)
     date = coerce_date(F.col("date_original"), F.col("date_created"))
     return raw.select("path", "width", "height", "lat", "lon", "camera", date.alias("image_date"), "duration", "error")

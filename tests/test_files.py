@@ -33,8 +33,9 @@ def test_scan_stats_and_frames(spark, tmp_path):
     found = fs.scan(spark, [str(root)])
     assert sorted(r.ext for r in found.collect()) == ["jpg", "mp4", "png", "png"]
     stats = {r.path.rsplit("/", 1)[1]: r for r in fs.file_stats(found, 50).collect()}
-    seen = {r.path.rsplit("/", 1)[1]: r.content_hash for r in fs.with_content_hash(found, 50).collect()}
-    assert {k: v.content_hash for k, v in stats.items()} == seen
+    whole = spark.read.format("binaryFile").load([str(root), str(root / "sub")]).select("path", fs.content_hash("content", 50).alias("h"))
+    seen = {r.path.rsplit("/", 1)[1]: r.h for r in whole.collect()}
+    assert {k: v.content_hash for k, v in stats.items()} == {k: v for k, v in seen.items() if k in stats}
     assert stats["a.PNG"].content_hash == stats["b.png"].content_hash
     good, bad = fs.split_valid(fs.file_stats(spark.createDataFrame([("/none",)], "path string"), 50))
     assert (good.count(), bad.count()) == (0, 1)
