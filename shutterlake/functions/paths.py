@@ -52,13 +52,13 @@ def relative_target(template: str, seed: str = "0") -> Column:
     return F.when(named, whole).otherwise(F.concat(whole, F.lit("/"), formats.basename("path")))
 
 
-def settle_conflicts(df: DataFrame, dst: str = "dst", key: str = "path", seed: str = "0", taken: DataFrame | None = None) -> DataFrame:
+def settle_conflicts(df: DataFrame, dst: str = "dst", key: str = "path", seed: str = "0", taken: DataFrame | None = None, rounds: tuple[int, ...] = (8, 16)) -> DataFrame:
     """Every file but the first (by key) of a target gets a suffix made of its path; where `taken` (a column of the target's name) has the target, the first too.
 
-    Eight digits; sixteen for those that still meet, as among many files of one name some will.
+    Eight digits; sixteen for those that still meet, as among many files of one name some will. With rounds of (8,) those stay as they are.
     """
     out = df
-    for digits in (8, 16):
+    for digits in rounds:
         first = out.groupBy(dst).agg(F.min(key).alias("_first"))  # combined before it moves, so that a common name is no hot key
         if taken is not None:
             first = first.join(taken.select(F.col(dst).alias(dst)).distinct().withColumn("_there", F.lit(True)), dst, "left")
