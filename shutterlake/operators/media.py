@@ -7,13 +7,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shutterlake.config import Params
 from shutterlake.functions.phash import image_similarity
 from shutterlake.functions.sequences import video_similarity
-from shutterlake.operators.neighbours import hash_pairs
-from shutterlake.session import spool
+from shutterlake.operators.neighbours import BITS, hash_pairs
+from shutterlake.session import discard, spool
 
 
 def pair_class(a: str | Column, b: str | Column) -> Column:
@@ -45,7 +46,7 @@ def image_video_similarity(media: DataFrame, least: float) -> DataFrame:
     return s.select("a", "b", (1 - F.col("d") / F.lit(64.0)).alias("similarity")).where(F.col("similarity") >= least)
 
 
-def candidates(media: DataFrame, p: Params) -> DataFrame:
+def candidates(media: DataFrame, p: Params, kinds: tuple[str, ...] = ("II", "IV", "VV")) -> DataFrame:
     """a < b, class and the nearest frames' distance of files with a pair of frames near enough for their class.
 
     Lossless for videos too: a warped path of at least max(m, n) cells and a
@@ -57,7 +58,7 @@ def candidates(media: DataFrame, p: Params) -> DataFrame:
     images, videos = firsts.where("duration = 0"), firsts.where("duration <> 0")
     ways = [(images, images, "II"), (images, videos, "IV"), (videos, videos, "VV")]
     every = None
-    for x, y, kind in ways:
+    for x, y, kind in (w for w in ways if w[2] in kinds):
         near = hash_pairs(x, y, p.max_bits(kind))
         met = _side(x, "x", "ha", "dx").join(near, "ha").join(_side(y, "y", "hb", "dy"), "hb")
         met = met.where("x < y" if kind != "IV" else "x <> y").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min("distance").alias("distance"))
@@ -70,23 +71,99 @@ def similarity_edges(media: DataFrame, p: Params = Params()) -> DataFrame:
     """a < b, similarity, pair_class of every pair at or above its class's threshold."""
     if p.no_exact_neighbours and p.least_threshold >= 1:
         return media.sparkSession.createDataFrame([], "a string, b string, similarity double, pair_class string")
-    found = spool(candidates(media, p))
-    direct = found.where("pair_class <> 'VV'").select("a", "b", (1 - F.col("distance") / F.lit(64.0)).alias("similarity"), "pair_class")
-    side = lambda n: media.select(F.col("path").alias(n), F.col("duration").alias(f"d{n}"), F.transform("frames", lambda f: f["hash"]).alias(f"h{n}"), F.transform("frames", lambda f: f["timestamp"]).alias(f"t{n}"))
-    pairs = found.where("pair_class = 'VV'").select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    warped = warp_pairs(pairs, p).select("a", "b", "similarity", F.lit("VV").alias("pair_class"))
-    every = direct.unionByName(warped)
-    return every.where(F.col("similarity") >= threshold(F.col("pair_class"), p))
+    media = spool(media.select("path", "duration", "frames"))
+    first = spool(_classes(media))
+    members = media.join(first, (media["duration"] == first["duration"]) & (media["frames"] == first["frames"])).select(first["path"].alias("first"), media["path"].alias("path"))
+    return _direct_edges(media, p).unionByName(_video_edges(first, members, p))
+
+
+def _classes(media: DataFrame) -> DataFrame:
+    """path (the least), duration, frames, copies of files of equal duration and frames."""
+    return media.groupBy("duration", "frames").agg(F.min("path").alias("path"), F.count("*").alias("copies"))
+
+
+def _direct_edges(media: DataFrame, p: Params) -> DataFrame:
+    """The edges of similarity_edges that have an image."""
+    e = candidates(media, p, ("II", "IV")).select("a", "b", (1 - F.col("distance") / F.lit(64.0)).alias("similarity"), "pair_class")
+    return e.where(F.col("similarity") >= threshold(F.col("pair_class"), p))
+
+
+def _video_edges(first: DataFrame, members: DataFrame | None, p: Params) -> DataFrame:
+    """The edges of similarity_edges between videos, from one of each class (see _classes); without members (first, path), those of the first alone."""
+    if members is None:
+        first = first.withColumn("copies", F.lit(1))
+    pairs = _video_candidates(first, p)
+    side = lambda n, k: first.select(F.col("path").alias(n), F.col("duration").alias(f"d{k}"), F.transform("frames", lambda f: f["hash"]).alias(f"h{k}"), F.transform("frames", lambda f: f["timestamp"]).alias(f"t{k}"))
+    asked = pairs.select(F.col("s").alias("a"), F.col("l").alias("b")).join(side("a", "a"), "a").join(side("b", "b"), "b")
+    warped = warp_pairs(asked, p).where(F.col("similarity") >= p.video_similarity)
+    got = warped.withColumnsRenamed({"a": "s", "b": "l"}).join(pairs, ["s", "l"])
+    if members is not None:
+        of = lambda n, x: members.select(F.col("first").alias(n), F.col("path").alias(x))
+        got = got.join(of("s", "x"), "s").join(of("l", "y"), "l")
+    else:
+        got = got.withColumn("x", F.col("s")).withColumn("y", F.col("l"))
+    # of videos of equal duration the lesser path counts as the shorter, so both orders were compared
+    return got.where("shorter or x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity", F.lit("VV").alias("pair_class"))
+
+
+def _least_gap(t: str) -> Column:
+    """The least difference of times; null for fewer than two."""
+    ts = F.array_sort(t)
+    n = F.greatest(F.size(t) - 1, F.lit(0))
+    return F.array_min(F.zip_with(F.slice(ts, 2, n), F.slice(ts, 1, n), lambda later, one: later - one))
+
+
+def _most_frames(width: Column, gap: Column, frames: Column) -> Column:
+    """How many frames a window can hold at most, of a video of so many."""
+    return F.when(gap > 0, F.least(frames.cast("double"), F.floor(width / gap + 1e-6) + 1.0)).otherwise(frames.cast("double"))
+
+
+def _video_candidates(first: DataFrame, p: Params) -> DataFrame:
+    """s, l, shorter: every pair of videos that can reach the threshold with s as the shorter side (`shorter`: it is, by duration), and some that cannot.
+
+    A warped path meets every frame of s, so it costs the sum of the frames'
+    distances to their nearest of l at least, and (1 - t) * 64 * N bits at most,
+    where N is the larger of s and of the most frames that a window can hold.
+    So of any floor((1 - t) * 64 * N / (k + 1)) + 1 frames of s one has a frame
+    of l within k bits: pairs are made from the rarest so many alone, and lines
+    that stand in many files make few. What is left is held against the sum.
+    A path also has a cell of its mean cost or less, so all frames are enough
+    where N is large.
+    """
+    cost = (1 - p.video_similarity) * BITS
+    k = min(p.max_bits("VV") + 1, BITS - 1) if p.max_bits("VV") < BITS else BITS
+    videos = first.where("duration <> 0")
+    v = videos.select("path", "duration", "copies", F.transform("frames", lambda f: f["hash"]).alias("h"), F.size("frames").alias("n"), _least_gap(F.transform("frames", lambda f: f["timestamp"])).alias("gap"))
+    v = spool(v.where("n > 0"))
+    bound = v.agg(F.min("gap").alias("gap"), F.max("n").alias("n")).first()
+    frames = v.select("path", "duration", "n", F.posexplode("h").alias("pos", "hash")).where("hash is not null")
+    held = spool(frames.select("path", "duration", "hash").distinct())
+    near = spool(hash_pairs(held, held, k))
+    weight = near.join(held.groupBy(F.col("hash").alias("hb")).agg(F.count("*").alias("files")), "hb").groupBy(F.col("ha").alias("hash")).agg(F.sum("files").alias("weight"))
+    ranked = frames.join(weight, "hash").withColumn("place", F.row_number().over(W.partitionBy("path").orderBy("weight", "pos")))
+    ranked = spool(ranked.select("path", "duration", "n", "place", "hash"))
+    most = F.greatest(F.col("n").cast("double"), _most_frames(F.col("duration"), F.lit(bound["gap"]).cast("double"), F.lit(bound["n"])))
+    rare = ranked.where(F.col("place") <= F.floor(cost * most / (k + 1) + 1e-6) + 1).select(F.col("path").alias("s"), F.col("duration").alias("ds"), F.col("hash").alias("ha")).distinct()
+    met = rare.join(near.select("ha", "hb"), "ha").join(held.select(F.col("path").alias("l"), F.col("duration").alias("dl"), F.col("hash").alias("hb")), "hb").where("ds <= dl").select("s", "l")
+    one = ranked.groupBy(F.col("path").alias("s")).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "hash"))), lambda x: x["hash"]).alias("hs"))
+    one = one.join(v.select(F.col("path").alias("s"), F.col("duration").alias("ds"), F.col("n").alias("ns"), F.col("copies").alias("_copies")), "s")
+    other = v.select(F.col("path").alias("l"), F.col("duration").alias("dl"), F.col("n").alias("nl"), "gap", F.array_distinct("h").alias("hl"))
+    pairs = met.repartition("s").dropDuplicates(["s", "l"]).join(one, "s").where("s <> l or _copies > 1").join(other, "l")
+    pairs = pairs.withColumn("limit", cost * F.greatest(F.col("ns").cast("double"), _most_frames(F.col("ds"), F.col("gap"), F.col("nl"))) + 1e-6)
+    nearest = lambda x: F.array_min(F.transform("hl", lambda y: F.bit_count(x.bitwiseXOR(y))))
+    least = F.aggregate("hs", F.lit(0), lambda sum_, x: F.when(sum_ > F.col("limit"), sum_).otherwise(sum_ + nearest(x)))
+    out = spool(pairs.where(least <= F.col("limit")).select("s", "l", (F.col("ds") < F.col("dl")).alias("shorter")))
+    discard(v, held, near, ranked)
+    return out
 
 
 def connecting_edges(media: DataFrame, p: Params = Params()) -> DataFrame:
     """a, b: edges that connect what similarity_edges connects. Files of equal duration and frames are linked to the first of them alone, so that no group of copies is written out as pairs."""
     if p.no_exact_neighbours and p.least_threshold >= 1:
         return similarity_edges(media, p).select("a", "b")
-    same = media.groupBy("duration", "frames").agg(F.min("path").alias("_first"))
-    same = spool(same)
-    copies = media.join(same, (media["duration"] == same["duration"]) & (media["frames"] == same["frames"])).select(F.col("_first").alias("a"), F.col("path").alias("b")).where("a <> b")
-    return similarity_edges(same.withColumnRenamed("_first", "path"), p).select("a", "b").unionByName(copies)
+    first = spool(_classes(media))
+    copies = media.join(first, (media["duration"] == first["duration"]) & (media["frames"] == first["frames"])).select(first["path"].alias("a"), media["path"].alias("b")).where("a <> b")
+    return _direct_edges(first, p).unionByName(_video_edges(first, None, p)).select("a", "b").unionByName(copies)
 
 
 def warp_pairs(pairs: DataFrame, p: Params, early_exit: bool = True) -> DataFrame:
