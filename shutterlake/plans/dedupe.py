@@ -12,4 +12,5 @@ from shutterlake.session import spool
 
 def deduplicate(files: DataFrame, p: Params = Params()) -> DataFrame:
     """files (path, duration, frames, width, height, lat, lon, camera, image_date, size, ...) with cluster, score and role."""
+    files = spool(files)
     return roles(spool(clusters(files, connecting_edges(files.select("path", "duration", "frames"), p))), p)
