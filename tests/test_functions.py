@@ -175,3 +175,31 @@ def test_hashes_meet_few_others_by_chance():
         assert len(masks(4, m)) == comb(m, 4) <= MAX_KEYS
         assert comb(m, 4) * n * n / 2 ** (BITS * (m - 4) / m) <= most * 10
     assert all(mask.bit_count() >= 12 for mask in masks(4, 5))
+
+
+def test_open_queries_write_out_no_pairs(spark, monkeypatch):
+    """Queries without near points are compared in blocks: no operator makes a row of each pair."""
+    from shutterlake.operators import neighbours as nb
+
+    rng = np.random.default_rng(5)
+    h = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 700)]
+    pts = spark.createDataFrame([*enumerate(h), (700, h[0]), (701, None)], "point long, hash long")
+    asked = pts.where("point % 10 = 0").withColumnRenamed("point", "query")
+    monkeypatch.setattr(nb, "POINT_ROWS", 90)
+    monkeypatch.setattr(nb, "QUERY_ROWS", 20, raising=False)
+    ids = dict([*enumerate(h), (700, h[0])])
+    bits = lambda x, y: bin((x ^ y) & (2**64 - 1)).count("1")
+    for n in (3, 200):
+        out = nb.knn_join(asked, pts, n)
+        got = {(r.query, r["rank"]): (r.point, r.distance) for r in out.collect()}
+        want = {(q, i + 1): (p, bits(ids[p], ids[q])) for q in ids if q % 10 == 0 for i, p in enumerate(sorted((p for p in ids if p != q), key=lambda p: (bits(ids[p], ids[q]), p))[:n])}
+        assert got == want
+    assert "FlatMapCoGroupsInPandas" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_nearest_of_a_block():
+    from shutterlake.operators.neighbours import _nearest
+
+    point, h = np.array([1, 2, 2, 5]), np.array([0, 1, 3, -1])
+    i, j, d = _nearest(np.array([2, 9]), np.array([1, -1]), point, h, 2, True)
+    assert {*zip(i, j, d, strict=True)} == {(0, 0, 1), (0, 3, 63), (1, 3, 0), (1, 2, 62)}
