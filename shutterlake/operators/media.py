@@ -3,19 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shutterlake.config import Params
 from shutterlake.functions.phash import image_similarity
-from shutterlake.functions.sequences import video_similarity
+from shutterlake.functions.sequences import video_similarities
 from shutterlake.operators.neighbours import BITS, hash_pairs
 from shutterlake.session import discard, spool
 
+#: A frame that more files hold or nearly hold is common: those who ask by it are compared in lots.
+COMMON = 64
+#: Askers of a lot and holders of a block.
+ASKERS, HOLDERS = 4096, 8192
+
 
 def pair_class(a: str | Column, b: str | Column) -> Column:
     """II, IV or VV of two durations; 0 means an image."""
@@ -67,14 +74,20 @@ def candidates(media: DataFrame, p: Params, kinds: tuple[str, ...] = ("II", "IV"
     return every
 
 
-def similarity_edges(media: DataFrame, p: Params = Params()) -> DataFrame:
-    """a < b, similarity, pair_class of every pair at or above its class's threshold."""
+def similarity_edges(media: DataFrame, p: Params = Params(), kinds: tuple[str, ...] = ("II", "IV", "VV")) -> DataFrame:
+    """a < b, similarity, pair_class of every pair of the given classes at or above its class's threshold."""
     if p.no_exact_neighbours and p.least_threshold >= 1:
         return media.sparkSession.createDataFrame([], "a string, b string, similarity double, pair_class string")
     media = spool(media.select("path", "duration", "frames"))
-    first = spool(_classes(media))
-    members = media.join(first, (media["duration"] == first["duration"]) & (media["frames"] == first["frames"])).select(first["path"].alias("first"), media["path"].alias("path"))
-    return _direct_edges(media, p).unionByName(_video_edges(first, members, p))
+    found = []
+    direct = tuple(k for k in kinds if k != "VV")
+    if direct:
+        found.append(_direct_edges(media, p, direct))
+    if "VV" in kinds:
+        first = spool(_classes(media))
+        copies = spool(_copies(media, first).select(F.col("a").alias("first"), F.col("b").alias("path")))
+        found.append(_video_edges(first, first.select(F.col("path").alias("first"), "path").unionByName(copies), p))
+    return reduce(DataFrame.unionByName, found)
 
 
 def _classes(media: DataFrame) -> DataFrame:
@@ -82,9 +95,15 @@ def _classes(media: DataFrame) -> DataFrame:
     return media.groupBy("duration", "frames").agg(F.min("path").alias("path"), F.count("*").alias("copies"))
 
 
-def _direct_edges(media: DataFrame, p: Params) -> DataFrame:
+def _copies(media: DataFrame, first: DataFrame) -> DataFrame:
+    """a, b: the first file of each class of more than one, and each other one."""
+    many = first.where("copies > 1")
+    return media.join(many, (media["duration"] == many["duration"]) & (media["frames"] == many["frames"])).select(many["path"].alias("a"), media["path"].alias("b")).where("a <> b")
+
+
+def _direct_edges(media: DataFrame, p: Params, kinds: tuple[str, ...] = ("II", "IV")) -> DataFrame:
     """The edges of similarity_edges that have an image."""
-    e = candidates(media, p, ("II", "IV")).select("a", "b", (1 - F.col("distance") / F.lit(64.0)).alias("similarity"), "pair_class")
+    e = candidates(media, p, kinds).select("a", "b", (1 - F.col("distance") / F.lit(64.0)).alias("similarity"), "pair_class")
     return e.where(F.col("similarity") >= threshold(F.col("pair_class"), p))
 
 
@@ -92,11 +111,13 @@ def _video_edges(first: DataFrame, members: DataFrame | None, p: Params) -> Data
     """The edges of similarity_edges between videos, from one of each class (see _classes); without members (first, path), those of the first alone."""
     if members is None:
         first = first.withColumn("copies", F.lit(1))
+    side = lambda n, k: first.select(F.col("path").alias(n), F.col("duration").alias(f"d{k}"), F.transform("frames", lambda f: f["hash"]).alias(f"h{k}"), F.transform("frames", lambda f: f["timestamp"]).alias(f"t{k}"), _least_gap(F.transform("frames", lambda f: f["timestamp"])).alias(f"gap{k}"))
     pairs = _video_candidates(first, p)
-    side = lambda n, k: first.select(F.col("path").alias(n), F.col("duration").alias(f"d{k}"), F.transform("frames", lambda f: f["hash"]).alias(f"h{k}"), F.transform("frames", lambda f: f["timestamp"]).alias(f"t{k}"))
-    asked = pairs.select(F.col("s").alias("a"), F.col("l").alias("b")).join(side("a", "a"), "a").join(side("b", "b"), "b")
-    warped = warp_pairs(asked, p).where(F.col("similarity") >= p.video_similarity)
-    got = warped.withColumnsRenamed({"a": "s", "b": "l"}).join(pairs, ["s", "l"])
+    asked = _payable(pairs.join(side("a", "a").drop("gapa"), "a").join(side("b", "b"), "b"), p)
+    got = spool(warp_pairs(asked, p).where(F.col("similarity") >= p.video_similarity))
+    discard(pairs)
+    of = lambda n, k: first.select(F.col("path").alias(n), F.col("duration").alias(f"d{k}"))
+    got = got.join(of("a", "a"), "a").join(of("b", "b"), "b").select(F.col("a").alias("s"), F.col("b").alias("l"), (F.col("da") < F.col("db")).alias("shorter"), "similarity")
     if members is not None:
         of = lambda n, x: members.select(F.col("first").alias(n), F.col("path").alias(x))
         got = got.join(of("s", "x"), "s").join(of("l", "y"), "l")
@@ -119,42 +140,121 @@ def _most_frames(width: Column, gap: Column, frames: Column) -> Column:
 
 
 def _video_candidates(first: DataFrame, p: Params) -> DataFrame:
-    """s, l, shorter: every pair of videos that can reach the threshold with s as the shorter side (`shorter`: it is, by duration), and some that cannot.
-
-    A warped path meets every frame of s, so it costs the sum of the frames'
-    distances to their nearest of l at least, and (1 - t) * 64 * N bits at most,
-    where N is the larger of s and of the most frames that a window can hold.
-    So of any floor((1 - t) * 64 * N / (k + 1)) + 1 frames of s one has a frame
-    of l within k bits: pairs are made from the rarest so many alone, and lines
-    that stand in many files make few. What is left is held against the sum.
-    A path also has a cell of its mean cost or less, so all frames are enough
-    where N is large.
+    """a, b: every pair of videos that can reach the threshold with a as the shorter side, and some that cannot; a = b where a class has more than one file.
+
+    A warped path meets every frame of a, so it costs the sum of the frames'
+    distances to their nearest of b at least, and (1 - t) * 64 * N bits at most,
+    where N is the larger of a and of the most frames that a window can hold.
+    So of any floor((1 - t) * 64 * N / (k + 1)) + 1 frames of a one has a frame
+    of b within k bits: pairs are made from the rarest so many alone, and lines
+    that stand in many files make few. Frames that are near no other file's are
+    the rarest; they are counted and make none. What is left is held against
+    the sum by _payable. A path also has a cell of its mean cost or less, so all
+    frames are enough where N is large.
     """
     cost = (1 - p.video_similarity) * BITS
     k = min(p.max_bits("VV") + 1, BITS - 1) if p.max_bits("VV") < BITS else BITS
-    videos = first.where("duration <> 0")
-    v = videos.select("path", "duration", "copies", F.transform("frames", lambda f: f["hash"]).alias("h"), F.size("frames").alias("n"), _least_gap(F.transform("frames", lambda f: f["timestamp"])).alias("gap"))
-    v = spool(v.where("n > 0"))
+    v = first.where("duration <> 0").select("path", "duration", "copies", F.transform("frames", lambda f: f["hash"]).alias("h"), F.size("frames").alias("n"), _least_gap(F.transform("frames", lambda f: f["timestamp"])).alias("gap")).where("n > 0")
     bound = v.agg(F.min("gap").alias("gap"), F.max("n").alias("n")).first()
-    frames = v.select("path", "duration", "n", F.posexplode("h").alias("pos", "hash")).where("hash is not null")
-    held = spool(frames.select("path", "duration", "hash").distinct())
-    near = spool(hash_pairs(held, held, k))
-    weight = near.join(held.groupBy(F.col("hash").alias("hb")).agg(F.count("*").alias("files")), "hb").groupBy(F.col("ha").alias("hash")).agg(F.sum("files").alias("weight"))
-    ranked = frames.join(weight, "hash").withColumn("place", F.row_number().over(W.partitionBy("path").orderBy("weight", "pos")))
-    ranked = spool(ranked.select("path", "duration", "n", "place", "hash"))
     most = F.greatest(F.col("n").cast("double"), _most_frames(F.col("duration"), F.lit(bound["gap"]).cast("double"), F.lit(bound["n"])))
-    rare = ranked.where(F.col("place") <= F.floor(cost * most / (k + 1) + 1e-6) + 1).select(F.col("path").alias("s"), F.col("duration").alias("ds"), F.col("hash").alias("ha")).distinct()
-    met = rare.join(near.select("ha", "hb"), "ha").join(held.select(F.col("path").alias("l"), F.col("duration").alias("dl"), F.col("hash").alias("hb")), "hb").where("ds <= dl").select("s", "l")
-    one = ranked.groupBy(F.col("path").alias("s")).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "hash"))), lambda x: x["hash"]).alias("hs"))
-    one = one.join(v.select(F.col("path").alias("s"), F.col("duration").alias("ds"), F.col("n").alias("ns"), F.col("copies").alias("_copies")), "s")
-    other = v.select(F.col("path").alias("l"), F.col("duration").alias("dl"), F.col("n").alias("nl"), "gap", F.array_distinct("h").alias("hl"))
-    pairs = met.repartition("s").dropDuplicates(["s", "l"]).join(one, "s").where("s <> l or _copies > 1").join(other, "l")
-    pairs = pairs.withColumn("limit", cost * F.greatest(F.col("ns").cast("double"), _most_frames(F.col("ds"), F.col("gap"), F.col("nl"))) + 1e-6)
-    nearest = lambda x: F.array_min(F.transform("hl", lambda y: F.bit_count(x.bitwiseXOR(y))))
-    least = F.aggregate("hs", F.lit(0), lambda sum_, x: F.when(sum_ > F.col("limit"), sum_).otherwise(sum_ + nearest(x)))
-    out = spool(pairs.where(least <= F.col("limit")).select("s", "l", (F.col("ds") < F.col("dl")).alias("shorter")))
-    discard(v, held, near, ranked)
-    return out
+    v = v.withColumn("rare", F.floor(cost * most / (k + 1) + 1e-6) + 1).withColumn("known", F.size(F.filter("h", lambda h: h.isNotNull())))
+    frames = v.select("path", "duration", "rare", "known", F.posexplode("h").alias("pos", "hash")).where("hash is not null")
+    held = v.select("path", F.explode(F.array_distinct("h")).alias("hash")).where("hash is not null").groupBy("hash").agg(F.count("*").alias("files"))
+    held = spool(held)
+    near = spool(hash_pairs(held, held, k, equal=False).select("ha", "hb"))
+    others = near.join(held.select(F.col("hash").alias("hb"), "files"), "hb").groupBy(F.col("ha").alias("hash")).agg(F.sum("files").alias("others"))
+    shared = held.join(others, "hash", "left").select("hash", (F.col("files") + F.coalesce("others", F.lit(0))).alias("weight")).where("weight > 1")
+    of = W.partitionBy("path")
+    ranked = frames.join(shared, "hash").withColumn("place", F.col("known") - F.count("*").over(of) + F.row_number().over(of.orderBy("weight", "pos")))
+    ranked = spool(ranked.select("path", "duration", "hash", "weight", (F.col("place") <= F.col("rare")).alias("asks")))
+    rare = spool(ranked.where("asks").select(F.col("path").alias("a"), F.col("duration").alias("da"), F.col("hash").alias("ha"), (F.col("weight") > COMMON).alias("common")).distinct())
+    holds = ranked.select(F.col("path").alias("b"), F.col("duration").alias("db"), F.col("hash").alias("hb")).distinct()
+    few = rare.where("not common").select("a", "da", "ha")
+    few = few.withColumn("hb", F.col("ha")).unionByName(few.join(near, "ha")).drop("ha")
+    met = few.join(holds, "hb").where("da <= db and a <> b").select("a", "b")
+    met = met.unionByName(_met_by_common(rare.where("common").select("a", "ha"), near, holds.select("b", "hb"), v, cost))
+    pairs = spool(met.distinct().unionByName(v.where("copies > 1").select(F.col("path").alias("a"), F.col("path").alias("b"))))
+    discard(held, near, ranked, rare)
+    return pairs
+
+
+def _met_by_common(asks: DataFrame, near: DataFrame, holds: DataFrame, v: DataFrame, cost: float) -> DataFrame:
+    """a, b as _payable leaves them, of the videos a that ask by a frame (a, ha) of many files.
+
+    For each frame lots of askers meet blocks of holders in a task, which keeps
+    the few pairs that pass; the others are never written out.
+    """
+    common = asks.select("ha").distinct()
+    held = common.withColumn("hb", F.col("ha")).unionByName(common.join(near, "ha")).join(holds, "hb").select("ha", "b").distinct()
+    sizes = asks.groupBy("ha").agg(F.ceil(F.count("*") / ASKERS).cast("int").alias("lots")).join(held.groupBy("ha").agg(F.ceil(F.count("*") / HOLDERS).cast("int").alias("blocks")), "ha")
+    place = lambda c, count: F.pmod(F.xxhash64(c), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    known = F.filter("h", lambda h: h.isNotNull())
+    x = asks.join(sizes, "ha").join(v.select(F.col("path").alias("a"), F.col("duration").alias("d"), "n", known.alias("h")), "a")
+    x = x.select("ha", "a", "d", "n", "h", place("a", "lots").alias("lot"), every("blocks").alias("block"))
+    y = held.join(sizes, "ha").join(v.select(F.col("path").alias("b"), F.col("duration").alias("d"), "n", "gap", F.array_distinct(known).alias("h")), "b")
+    y = y.select(F.col("ha").alias("hb"), "b", F.col("d").alias("db"), F.col("n").alias("nb"), "gap", F.col("h").alias("held"), place("b", "blocks").alias("of_block"), every("lots").alias("of_lot"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out_a, out_b = [], []
+        if len(left) and len(right):
+            order = np.argsort(right.column("db").to_numpy(), kind="stable")
+            right = right.take(pa.array(order)).combine_chunks()
+            h = right.column("held").combine_chunks()
+            flat, ends = h.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(h.value_lengths().to_numpy())]).astype(np.int64)
+            d, n, gap = (right.column(c).to_numpy().astype(float) for c in ("db", "nb", "gap"))
+            common = np.array([left.column("ha")[0].as_py()], np.int64).view(np.uint64)[0]
+            for at, (ds, ns, hs) in enumerate(zip(left.column("d").to_pylist(), left.column("n").to_pylist(), left.column("h").to_pylist(), strict=True)):
+                lo = int(np.searchsorted(d, ds, "left"))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    most = np.where(gap[lo:] > 0, np.minimum(n[lo:], np.floor(ds / gap[lo:] + 1e-6) + 1), n[lo:])
+                got = _within(np.array(hs, np.int64).view(np.uint64), common, flat, ends, lo, cost * np.maximum(ns, most) + 1e-6)
+                out_a.append(np.full(len(got), at))
+                out_b.append(got)
+        i, j = (pa.array(np.concatenate(o) if o else np.zeros(0, np.int64), pa.int64()) for o in (out_a, out_b))
+        return pa.table({"a": left.column("a").take(i), "b": right.column("b").take(j)})
+
+    kind = v.schema["path"].dataType.simpleString()
+    return x.groupBy("ha", "lot", "block").cogroup(y.groupBy("hb", "of_lot", "of_block")).applyInArrow(run, f"a {kind}, b {kind}").where("a <> b")
+
+
+def _within(asked: np.ndarray, common: np.uint64, flat: np.ndarray, ends: np.ndarray, lo: int, limits: np.ndarray) -> np.ndarray:
+    """Places, from lo on, of the files (frames ends[i] to ends[i + 1] of flat) whose nearest frames to the asked ones differ in no more bits than their limit. The common frame comes last, as it settles least."""
+    at, total = np.arange(lo, len(ends) - 1), np.zeros(len(limits), np.int64)
+    for h in np.concatenate([asked[asked != common], asked[asked == common]]):
+        if not len(at):
+            break
+        if 2 * len(at) > len(limits):
+            d = np.minimum.reduceat(np.bitwise_count(flat[ends[lo] :] ^ h), ends[lo:-1] - ends[lo])[at - lo]
+        else:
+            count = ends[at + 1] - ends[at]
+            starts = np.cumsum(count) - count
+            d = np.minimum.reduceat(np.bitwise_count(flat[np.arange(count.sum()) + np.repeat(ends[at] - starts, count)] ^ h), starts)
+        total = total + d
+        kept = total <= limits[at - lo]
+        at, total = at[kept], total[kept]
+    return at
+
+
+def _payable(pairs: DataFrame, p: Params) -> DataFrame:
+    """The pairs (a, da, ha, ta, b, db, hb, tb, gapb) of which a path under the threshold could meet every frame of the shorter a."""
+    cost = (1 - p.video_similarity) * BITS
+    limit = cost * F.greatest(F.size("ha").cast("double"), _most_frames(F.col("da"), F.col("gapb"), F.size("hb"))) + 1e-6
+    columns = pairs.drop("gapb").columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, other, limits = batch.column("ha"), batch.column("hb"), batch.column("_limit").to_numpy()
+            x, y = (c.values.fill_null(0).to_numpy().view(np.uint64) for c in (one, other))
+            at, to = one.offsets.to_numpy(), other.offsets.to_numpy()
+            kept = np.zeros(len(batch), bool)
+            for i in range(len(batch)):
+                hs, hl = x[at[i] : at[i + 1]], y[to[i] : to[i + 1]]
+                kept[i] = np.bitwise_count(hs[:, None] ^ hl[None, :]).min(axis=1).sum(dtype=np.int64) <= limits[i]
+            yield batch.filter(pa.array(kept)).select(columns)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.select(columns).schema.fields)
+    return pairs.withColumn("_limit", limit).select(*columns, "_limit").mapInArrow(run, kinds)
 
 
 def connecting_edges(media: DataFrame, p: Params = Params()) -> DataFrame:
@@ -162,8 +262,7 @@ def connecting_edges(media: DataFrame, p: Params = Params()) -> DataFrame:
     if p.no_exact_neighbours and p.least_threshold >= 1:
         return similarity_edges(media, p).select("a", "b")
     first = spool(_classes(media))
-    copies = media.join(first, (media["duration"] == first["duration"]) & (media["frames"] == first["frames"])).select(first["path"].alias("a"), media["path"].alias("b")).where("a <> b")
-    return _direct_edges(first, p).unionByName(_video_edges(first, None, p)).select("a", "b").unionByName(copies)
+    return _direct_edges(first, p).unionByName(_video_edges(first, None, p)).select("a", "b").unionByName(_copies(media, first))
 
 
 def warp_pairs(pairs: DataFrame, p: Params, early_exit: bool = True) -> DataFrame:
@@ -172,7 +271,7 @@ def warp_pairs(pairs: DataFrame, p: Params, early_exit: bool = True) -> DataFram
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            s = [video_similarity(np.asarray(r.ha), np.asarray(r.ta), r.da, np.asarray(r.hb), np.asarray(r.tb), r.db, p.step_size, stop, p.low_byte_distance) for r in pdf.itertuples()]
+            s = video_similarities([(r.ha, r.ta, r.da, r.hb, r.tb, r.db) for r in pdf.itertuples()], p.step_size, stop, p.low_byte_distance)
             yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "similarity": np.array(s, float)})
 
     key = pairs.schema["a"].dataType.simpleString()

@@ -51,3 +51,25 @@ def test_video_edges_are_those_of_all_pairs(spark, even):
     got = md.similarity_edges(df, p).where("pair_class = 'VV'").collect()
     assert len(want) > 30 and len(got) == len(want)
     assert {(r.a, r.b): r.similarity for r in got} == pytest.approx(want)
+
+
+def test_askers_of_a_common_frame_are_compared_in_lots(spark, monkeypatch):
+    """300 videos of three frames, two of them common: of 44,850 pairs few are written out, and windows are walked together."""
+    from shutterlake.functions import sequences as sq
+
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(md, "ASKERS", 50)
+    monkeypatch.setattr(md, "HOLDERS", 70)
+    rows = [video(i, [7, int(rng.integers(0, 2**60)), 9 << 40]) for i in range(300)]
+    rows += [video(400 + i, [7, rows[i][2][1][0] ^ 31, 9 << 40, 5]) for i in range(20)]
+    met, payable = [], md._payable
+    monkeypatch.setattr(md, "_payable", lambda pairs, *a: met.append(pairs.count()) or payable(pairs, *a))
+    got = md.similarity_edges(spark.createDataFrame(rows, SCHEMA), Params(), ("VV",)).collect()
+    split = lambda r: ([f[0] for f in r[2]], [f[1] for f in r[2]], r[1])
+    like = lambda x, y: (x[2][1][0] ^ y[2][1][0]).bit_count() <= 13
+    assert {(r.a, r.b) for r in got} == {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and like(x, y)}
+    assert 20 <= sum(met) < 40
+    calls, walk = [], sq.warped_costs
+    monkeypatch.setattr(sq, "warped_costs", lambda *a: calls.append(1) or walk(*a))
+    s = sq.video_similarities([(*split(rows[i]), *split(rows[300 + i])) for i in range(20)], threshold=0.93)
+    assert s.tolist() == [1 - 5 / 64 / 3] * 20 and len(calls) == 1
